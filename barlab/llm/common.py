@@ -7,18 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words, as a character class of regular expressions.
+#: A word, and the white space before one, as regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]*"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the folder of ``spark.checkpoint.dir``.
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; where none is configured (tests in one process), one is made."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
 
-    The files outlive lost executors. Where no folder is configured (tests in one process), one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+def durable(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder; the files outlive lost executors."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -189,8 +189,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, found {FOUND}")
 
 
-def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the personal data of each text replaced by tags; null texts stay null."""
+def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with the personal data of each text replaced by tags; null texts stay null.
+
+    ``length_col``: a column that holds the texts' numbers of characters, to be kept right.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +201,8 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [None if (t := x.as_py()) is None else redact(t, find_spans(t)) for x in batch.column(k)]
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
+    return out if length_col is None else out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
 
 
 def digest(found: DataFrame) -> DataFrame:

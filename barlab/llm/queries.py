@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import pii, simhash, token_count, toxicity
+from barlab.llm import mixing, packing, pii, simhash, token_count, toxicity
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_mix"] = mixing.SQL
+
+
+@_query
+def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -1,0 +1,95 @@
+import re
+from collections import defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from barlab.llm import mixing
+
+
+def size(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def brute_targets(sizes):
+    """{source: words} -> {source: target}, by sharing the excess again and again."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
+    target, left, total = {}, set(order), sum(sizes.values())
+    while left:
+        share = (total - sum(target.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if share * weight[s] > 3 * sizes[s]}
+        for s in over or left:
+            target[s] = 3 * sizes[s] if over else share * weight[s]
+        left = left - over if over else set()
+    return target
+
+
+def test_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: (r.source, size(r.text)) for r in docs.collect()}
+    sizes = defaultdict(int)
+    for s, n in texts.values():
+        sizes[s] += n
+    target, taken = brute_targets(sizes), defaultdict(int)
+    rows = mixing.mixture(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        s, n = texts[r.doc_id]
+        assert (r.size, r.source_size) == (n, sizes[s]) and r.target == pytest.approx(target[s], abs=1e-5) and 0 <= r.taken <= 3 * n
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+
+
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{sf_dir}/documents.parquet'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(con.sql(mixing.SQL).fetchall(), key=str) == sorted(map(tuple, mixing.mixture(docs).collect()), key=str)
+
+
+def test_caps_bind(spark):
+    docs = spark.createDataFrame([(k, "w " * n, s) for k, (n, s) in enumerate([(10, "a"), (1000, "b"), (5, "c"), (7, None), (0, "d")])], "doc_id long, text string, source string")
+    target = {r.doc_id: r.target for r in mixing.mixture(docs).collect()}
+    want = brute_targets({"a": 10, "b": 1000, "c": 5, "d": 0, None: 7})
+    assert target == {k: pytest.approx(want[s]) for k, s in enumerate(["a", "b", "c", None, "d"])} and target[0] == 30
+
+
+def test_curriculum_holds_the_words_taken_in_order(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 4)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_mix_place", F.lit(1))
+    want = {r.doc_id: r.taken for r in mixing.mixture(docs).collect()}
+    out = mixing.curriculum(docs, length_col="n_chars")
+    assert out.columns == docs.columns
+    got, texts = defaultdict(int), {r.doc_id: r.text for r in docs.collect()}
+    for r in out.collect():
+        got[r.doc_id] += size(r.text)
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+    assert got == {d: n for d, n in want.items() if n}
+
+
+def test_drift_moves_sources_in_time(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    order = [r.source for r in mixing.curriculum(docs).collect()]
+    early = order[: len(order) // 2]
+    share = lambda s: early.count(s) / max(1, order.count(s))
+    assert share("a") > 0.5 > share("c")
+
+
+def test_nulls_repeats_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, None, "a", 1), (None, "x y", None, 2), (3, "", "a", 3), (4, "p q r", "a", 4), (4, "p q r", "a", 4), (4, "z", "a", 4)], "doc_id long, text string, source string, size int")
+    rows = mixing.mixture(docs).collect()
+    assert sorted((r.size, r.taken > 0) for r in rows)[:2] == [(0, False), (0, False)] and len(rows) == 6
+    assert sum(r.taken for r in rows) in (8, 9, 10) and {r.source_size for r in rows} == {7, 2}
+    assert sorted(mixing.mixture(docs).collect(), key=str) == sorted(rows, key=str)
+    assert mixing.curriculum(docs).columns == docs.columns
+    assert mixing.mixture(docs.limit(0)).count() == 0 and mixing.curriculum(docs.limit(0)).count() == 0
+    none = mixing.mixture(docs.withColumn("text", F.lit("")))
+    assert {(r.target, r.taken) for r in none.collect()} == {(0.0, 0)}
+
+
+def test_no_python_in_the_plan(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df in (mixing.mixture(docs), mixing.curriculum(docs)):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
