@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import mixing, packing, pii, simhash, token_count, toxicity
+from barlab.llm import mixing, mpegts, packing, pii, simhash, token_count, toxicity
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,8 @@ ORACLES["op5_mix"] = mixing.SQL
 @_query
 def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.describe(mpegts.media(table(spark, sf_dir, "documents")))
