@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import mixing, mpegts, packing, pii, simhash, token_count, toxicity
+from barlab.llm import ann, mixing, mpegts, packing, pii, simhash, token_count, toxicity
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,8 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.describe(mpegts.media(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
