@@ -57,11 +57,12 @@ _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u20
 class _Ids(dict):
     """Ids, as little-endian unsigned 32-bit bytes, of the cuts met so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not specials
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,9 +77,12 @@ class _Ids(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Text -> ids of the tokenizer file at ``path``, byte-level with words cut at white space."""
-    memo = _Ids(path)
+def encoder(path: str, specials: bool = True) -> Callable[[str], bytes]:
+    """Text -> ids of the tokenizer file at ``path``, byte-level with words cut at white space.
+
+    ``specials``: whether strings of special tokens in a text become their ids (the library's default).
+    """
+    memo = _Ids(path, specials)
     # Rules of the pre-tokenizer never join a character to white space after it, so cuts encode alone.
     return lambda text: memo.whole(text) if _ODD.search(text) else b"".join(map(memo.__getitem__, _CUT.findall(text)))
 

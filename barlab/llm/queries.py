@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import ann, mixing, mpegts, packing, pii, simhash, token_count, toxicity
+from barlab.llm import ann, chat, mixing, mpegts, packing, pii, simhash, token_count, toxicity
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,16 @@ def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    hard = r"\### Assistant: </turn> ok"
+    columns = ("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(*columns).unionByName(more)
+    return chat.read_back(chat.format_turns(turns, path), path)
+
+
+ORACLES["op1_chat_format"] = chat.SQL
