@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import ann, chat, mixing, mpegts, packing, pii, simhash, token_count, toxicity
+from barlab.llm import ann, chat, mixing, mpegts, packing, pii, simhash, token_count, toxicity, warc
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_chat_format"] = chat.SQL
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op9_warc"] = warc.SQL
