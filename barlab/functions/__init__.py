@@ -1 +1 @@
-
+"""Columns over bars: windows, formats, predicates."""

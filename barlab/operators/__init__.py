@@ -1 +1 @@
-
+"""Operators over bar tables."""
