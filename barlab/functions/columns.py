@@ -38,7 +38,7 @@ def turnover_pct(v: Column | str) -> Column:
 
 
 def format_units(v: Column | str, unit: str = "", plain_small: bool = False) -> Column:
-    """Large numbers in units of 1e8 and 1e4 with two decimals; ``plain_small`` leaves others as they are."""
+    """Large numbers in units of 1e8 and 1e4 with two decimals, half up; ``plain_small`` leaves others as they are."""
     v = _col(v).cast("double")
     small = v.cast("string") if plain_small else F.format_string("%.2f", v)
     text = F.when(v >= 1e8, F.format_string("%.2f亿", v / 1e8)).when(v >= 1e4, F.format_string("%.2f万", v / 1e4)).otherwise(small)

@@ -4,42 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.columns import MILLI, Settings
-from barlab.functions.frames import FRAME, Frame
-from barlab.operators.backtest import _spend
-from barlab.operators.metrics import by_symbol
+from barlab.operators.backtest import fold
+from barlab.operators.metrics import YEAR
 
 
-def sma_grid(bars: DataFrame, fast: Iterable[int] = range(3, 11), slow: Iterable[int] = range(15, 51), settings: Settings = Settings(), top_k: int = 10, frame: Frame = FRAME) -> DataFrame:
-    """The ``top_k`` pairs of each symbol by return of the buy-and-hold ledger on the crossing of their means.
+def _figures(equity: np.ndarray, cash: float) -> tuple[float, float, float]:
+    """Return, Sharpe ratio and drawdown of one ledger."""
+    before = equity[:-1]
+    change = np.divide(equity[1:] - before, before, out=np.full(len(before), np.nan), where=before != 0)
+    change = change[~np.isnan(change)]
+    spread = change.std() if len(change) else 0.0
+    peak = np.maximum(np.maximum.accumulate(equity), 0)
+    fall = np.divide(peak - equity, peak, out=np.zeros(len(equity)), where=peak > 0)
+    return (equity[-1] - cash) / cash if cash > 0 else 0.0, change.mean() / spread * YEAR**0.5 if spread else 0.0, max(fall.max(), 0.0)
 
-    The sums of all lengths are computed once per bar. Bars are multiplied by pairs only where a pair
-    signals, and a pair's ledger depends on its first affordable signal alone, so ledgers are made once
-    for each bar at which any pair buys.
+
+def sma_grid(bars: DataFrame, fast: Iterable[int] = range(3, 11), slow: Iterable[int] = range(15, 51), settings: Settings = Settings(), top_k: int = 10) -> DataFrame:
+    """The ``top_k`` pairs of each symbol by return, of the ledger on the crossing of their means.
+
+    A symbol's bars are read once for all pairs: multiplying bars by pairs first, as rows, was fifteen
+    times slower. Sums of all lengths are differences of one running sum, in whole numbers; each pair
+    returns one row of figures.
     """
-    fast, slow = sorted(set(fast)), sorted(set(slow))
-    rows = bars.select("symbol", "ts", "close").withColumns({"i": frame.index(), "_price": F.col("close") / MILLI}).withColumn("_spend", _spend(settings))
-    rows = rows.withColumns({f"_{n}_{back}": frame.total("close", n, back) for n in {*fast, *slow} for back in (0, 1)})
-    above = lambda f, s, back: F.col(f"_{f}_{back}") * s > F.col(f"_{s}_{back}") * f
-    fires = [F.when((F.col("i") >= s) & above(f, s, 0) & ~above(f, s, 1), F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"))) for f in fast for s in slow if f < s]
-    rows = rows.where(F.col("_spend") <= settings.cash).select("symbol", "i", F.explode(F.filter(F.array(*fires), lambda p: p.isNotNull())).alias("pair"))
-    entries = rows.groupBy("symbol", "pair").agg(F.min("i").alias("entry"))
-
-    prices = bars.select("symbol", "ts", "close").withColumns({"i": frame.index(), "close": F.col("close") / MILLI})
-    ledgers = entries.select("symbol", "entry").distinct().join(prices, "symbol")
-    held = F.col("i") >= F.col("entry")
-    cost = F.col("_at") * (1 + settings.slippage) * settings.size
-    spend = cost + F.greatest(cost * settings.fee_rate, F.lit(settings.min_fee))
-    each = F.concat_ws("@", "symbol", "entry")
-    by = Window.partitionBy("_key")
-    ledgers = ledgers.withColumn("_key", each).withColumn("_at", F.max(F.when(F.col("i") == F.col("entry"), F.col("close"))).over(by))
-    equity = F.when(held, F.lit(settings.cash) - spend + settings.size * F.col("close")).otherwise(F.lit(settings.cash))
-    figures = by_symbol(ledgers.select(F.col("_key").alias("symbol"), "ts", "i", equity.alias("equity")), settings.cash, Frame())
-
-    found = entries.withColumn("_key", each).join(figures.withColumnRenamed("symbol", "_key"), "_key")
-    best = Window.partitionBy("symbol").orderBy(F.desc("total_return"), "fast", "slow")
-    flat = found.select("symbol", "pair.fast", "pair.slow", "total_return", "sharpe", "max_drawdown")
-    return flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    pairs = [(f, s) for f in sorted(set(fast)) for s in sorted(set(slow)) if f < s]
+    lengths = sorted({n for pair in pairs for n in pair})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        close = pdf["close"].to_numpy(np.int64)
+        running = np.concatenate([np.zeros(max(lengths), np.int64), np.cumsum(close)])
+        total = {n: running[max(lengths) :] - running[max(lengths) - n : len(running) - n] for n in lengths}
+        price, rows, known = close / MILLI, [], {}
+        for f, s in pairs:
+            above = total[f] * s > total[s] * f
+            signal = np.zeros(len(close), np.int64)
+            signal[s:] = above[s:] & ~above[s - 1 : -1] if len(close) > s else 0
+            key = signal.tobytes()
+            if key not in known:
+                cash, position = fold(price, signal, settings)
+                known[key] = _figures(cash + position * price, settings.cash)
+            rows.append((pdf["symbol"].iloc[0], f, s, *known[key], int(signal.sum())))
+        return pd.DataFrame(rows, columns=["symbol", "fast", "slow", "total_return", "sharpe", "max_drawdown", "signals"])
+
+    # A number of partitions is given, as adaptive coalescing looks at bytes and the work here is per byte heavy.
+    spread = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close").repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")
+    found = spread.groupBy("symbol").applyInPandas(run, "symbol string, fast int, slow int, total_return double, sharpe double, max_drawdown double, signals long")
+    best = Window.partitionBy("symbol").orderBy(F.desc(F.round("total_return", 9)), "fast", "slow")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)

@@ -19,7 +19,7 @@ from barlab.operators import screen as G
 from barlab.operators.backtest import backtest_hold, backtest_ledger, run_backtest
 from barlab.operators.backtest import trades as ledger_trades
 from barlab.operators.grid import sma_grid
-from barlab.operators.pivots import trend_up, vertices
+from barlab.operators.pivots import vertices
 from barlab.plans import register
 from barlab.plans.adapter import BARS, CAPITAL, TICKS, capital, factors, names, prints, table, weekly_bars
 from barlab.sources import io
@@ -167,7 +167,8 @@ def nest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
   case when close >= open then 'up' else 'down' end as direction, strftime(ts, '%y-%m-%d') as label,
   case when volume is null then 0.0::double when volume / 1000.0::double <= 1 then volume / 1000.0::double * 100 else volume / 1000.0::double end as turnover,
   case when close > open then 'buy' when close < open then 'sell' else 'hold' end as side,
-  case when close * volume >= 100000000 then printf('%.2f亿', close * volume / 100000000.0::double) when close * volume >= 10000 then printf('%.2f万', close * volume / 10000.0::double) else printf('%.2f', (close * volume)::double) end as amount from bars""",
+  case when close * volume >= 100000000 then round((close * volume / 100000000.0::double)::varchar::decimal(30, 12), 2)::decimal(30, 2)::varchar || '亿'
+    when close * volume >= 10000 then round((close * volume / 10000.0::double)::varchar::decimal(30, 12), 2)::decimal(30, 2)::varchar || '万' else (close * volume)::decimal(30, 2)::varchar end as amount from bars""",
     ),
 )
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +188,7 @@ def price_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.price_rescale(e, columns=("open", "close")).select("symbol", "event_id", "close")
 
 
-@register("normalize_time", "select event_id, make_timestamp((case when event_id % 2 = 0 then epoch_ms(ts) * 1000 else epoch_ms(ts) // 1000 * 1000000 end)::bigint) as at from events")
+@register("normalize_time", "select event_id, make_timestamp((case when event_id % 2 = 0 then epoch_us(ts) // 1000 * 1000 else epoch_us(ts) // 1000000 * 1000000 end)::bigint) as at from events")
 def normalize_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     given = F.when(F.col("event_id") % 2 == 0, ms).otherwise(F.floor(ms / 1000))
@@ -222,7 +223,7 @@ _filtered("filter_sz", lambda: C.on_exchange("sz"), "symbol like 'sz%'")
 _filtered("filter_bj", lambda: C.on_exchange("bj"), "symbol like 'bj%'")
 _filtered("filter_no_buy_limit", C.no_buy_limit, "symbol like 'sh60%' or symbol like 'sz0%'")
 _filtered("filter_search", lambda: C.search_symbols("R#000000001"), "lower(symbol) like '%r#000000001%' or lower(name || '-' || symbol) like '%r#000000001%'")
-_filtered("filter_time_range", lambda: C.time_range("1994-01-03", "1995-01-02"), "ts > date '1994-01-03' and ts < date '1995-01-02'")
+_filtered("filter_time_range", lambda: C.time_range("1998-01-05", "1999-01-04"), "ts > date '1998-01-05' and ts < date '1999-01-04'")
 
 
 @register("filter_in_codes", _with(BARS, select="select symbol, ts, close from bars where symbol in (select symbol from names where name like '%1%')"))
@@ -247,6 +248,8 @@ RISE = f"coalesce(close > {_LAG('close')} and {_LAG('close')} > {_LAG('close', 2
 BULL_TABLES = f"""bs as (select *, {_S(5)} s5, {_S(10)} s10, {_S(20)} s20, {_S(30)} s30 from bars),
 bo as (select *, 2 * s5 > s10 and 2 * s10 > s20 and 3 * s20 > 2 * s30 as o from bs),
 bull as (select *, i >= 30 and o and not lag(o) over w and s5 > lag(s5) over w and s10 > lag(s10) over w and s20 > lag(s20) over w and s30 > lag(s30) over w as flag from bo window w as ({_W}))"""
+RSI_TABLES = f"""d as (select *, close - {_LAG('close')} as step from bars),
+u as (select symbol, ts, i, sum(greatest(step, 0)) over w as up, sum(greatest(-step, 0)) over w as down from d window w as ({_W} rows between 13 preceding and current row))"""
 CROSS_TABLES = f"""cs as (select *, {_S(5)} s5, {_S(20)} s20 from bars),
 cx as (select *, coalesce(i >= 20 and 4 * s5 > s20 and not 4 * lag(s5) over ({_W}) > lag(s20) over ({_W}), false) as flag from cs)"""
 #: Pivots by definition: each bar against its neighbours, then what each later bar knows of them.
@@ -283,6 +286,7 @@ _signals("rule_trend_up", "trend_up", _with(BARS, TREND_TABLES, select="select b
 _signals("rule_limit_up_gap", "limit_up_gap", _with(BARS, GAP_TABLES, select="select symbol, ts, i from gap"))
 _signals("rule_all_of", ["rise_three", "exchange_sz"], _with(BARS, f"r as (select *, {RISE} as flag from bars)", select="select symbol, ts, i from r where flag and symbol like 'sz%'"))
 _signals("rule_macd_cross", "macd_cross", None)
+_signals("rule_rsi_below", "rsi_below", _with(BARS, RSI_TABLES, select="select symbol, ts, i from u where i >= 14 and up + down > 0 and 100.0::double * up / (up + down) < 30"))
 
 
 @register("ma", _with(BARS, select=f"select symbol, ts, round(case when i >= 9 then {_S(10)} / 10 else 0 end, 6) as ma10, round(case when i >= 29 then {_S(30)} / 30 else 0 end, 6) as ma30 from bars"))
@@ -299,7 +303,7 @@ def signal_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rsi",
     _with(
         BARS,
-        f"d as (select *, close - {_LAG('close')} as step from bars), u as (select symbol, ts, i, sum(greatest(step, 0)) over (partition by symbol order by ts rows between 13 preceding and current row) as up, sum(greatest(-step, 0)) over (partition by symbol order by ts rows between 13 preceding and current row) as down from d)",
+        RSI_TABLES,
         select="select symbol, ts, round(100.0::double * up / (up + down), 6) as rsi from u where i >= 14 and up + down > 0",
     ),
 )
@@ -529,8 +533,10 @@ _GRID_PAIRS = "unnest([" + ", ".join(f"{{'n': {n}, 's': s{n}, 'p': lag(s{n}) ove
         "led as (select distinct e.symbol, entry, g.i, case when g.i >= entry then 3000::double - spend + 2 * price else 3000::double end as equity from (select distinct symbol, entry, spend from ent) e join gs g using (symbol))",
         "rr as (select symbol, entry, i, equity, equity / lag(equity) over (partition by symbol, entry order by i) - 1 as r, max(equity) over (partition by symbol, entry order by i) as peak from led)",
         "fig as (select symbol, entry, (arg_max(equity, i) - 3000::double) / 3000::double as total_return, greatest(max((peak - equity) / peak), 0) as max_drawdown, coalesce(case when stddev_pop(r) > 1e-15 then avg(r) / stddev_pop(r) * sqrt(252) end, 0) as sharpe from rr group by symbol, entry)",
-        "rk as (select symbol, fast, slow, total_return, sharpe, max_drawdown, cast(row_number() over (partition by symbol order by total_return desc, fast, slow) as integer) as rank from ent join fig using (symbol, entry))",
-        select="select symbol, fast, slow, round(total_return, 6) as total_return, round(sharpe, 6) as sharpe, round(max_drawdown, 6) as max_drawdown, rank from rk where rank <= 10",
+        "al as (select symbol, fast, slow from (select distinct symbol from bars), (select unnest(range(3, 11)) as fast), (select unnest(range(15, 51)) as slow))",
+        "pr as (select symbol, fast, slow, coalesce(total_return, 0) as total_return, coalesce(sharpe, 0) as sharpe, coalesce(max_drawdown, 0) as max_drawdown from al left join ent using (symbol, fast, slow) left join fig using (symbol, entry))",
+        "rk as (select *, cast(row_number() over (partition by symbol order by round(total_return, 9) desc, fast, slow) as integer) as rank from pr)",
+        select="select symbol, fast::integer as fast, slow::integer as slow, round(total_return, 6) as total_return, round(sharpe, 6) as sharpe, round(max_drawdown, 6) as max_drawdown, rank from rk where rank <= 10",
     ),
 )
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -624,5 +630,3 @@ def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream_upsert(stream, load, store, f"{folder}/state").awaitTermination()
     return load().select(*OHLCV)
 
-
-__all__ = ["OHLCV", "SETTINGS", "STOPS", "trend_up"]
