@@ -32,3 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_column(df: DataFrame, column: str = "text") -> DataFrame:
     """``df`` with nulls of ``column`` as empty texts."""
     return df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it if ``df`` has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

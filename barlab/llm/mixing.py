@@ -18,7 +18,7 @@ Only the table of sources, a row each, is brought into one task.
 Null texts have size 0, and so do empty ones; they are never taken, and a source without words has target
 0. Rows that share a doc_id are dealt in the order of a hash of their other columns; repeated rows count
 each. An empty table gives an empty result. Further columns are ignored by ``mixture`` and kept by
-``curriculum``; its own columns replace ones of the same names.
+``curriculum``, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +35,6 @@ EPOCHS = 3
 #: Rows of a bucket of the hash within the largest source, about.
 BUCKET = 8192
 
-_OWN = "_mix_"  # prefix of helper columns
-
-
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -60,51 +57,49 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, drifts: tuple
     return t.withColumn("goal", F.round("target").cast("long")).select("source_key", "source_size", "target", "goal", "drift")
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, size: Column, once) -> DataFrame:
-    """``docs`` with helper columns: size, source_size, target, goal, drift and the place before each document."""
-    source = F.col(source_col).cast("string")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = once(docs.withColumns({f"{_OWN}source_key": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), f"{_OWN}size": size, f"{_OWN}key": key, f"{_OWN}tie": F.xxhash64(*docs.columns)}))
-    totals = rows.groupBy(F.col(f"{_OWN}source_key").alias("source_key")).agg(F.sum(f"{_OWN}size").alias("source_size"), F.count("*").alias("n"))
-    totals = durable(totals.withColumn("source", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 1 << 30))))
+def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, once) -> DataFrame:
+    """Rows of ``docs`` as one column ``doc``, with size, source_size, target, goal, drift and the place before each."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    field = F.col("doc").getField
+    key = F.md5(F.coalesce(field(id_col).cast("string"), F.lit("")).cast("binary"))
+    source_key = F.coalesce(F.concat(F.lit("s"), field(source_col).cast("string")), F.lit("n"))
+    rows = once(rows.withColumns({"source_key": source_key, "size": words(field(text_col)), "key": key, "tie": F.xxhash64("doc")}))
+    totals = durable(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("source", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 1 << 30))))
     digits, most = 0, totals.agg(F.max("n")).first()[0] or 0
     while most > BUCKET * 16**digits:
         digits += 1
-    rows = rows.withColumn(f"{_OWN}bucket", F.substring(f"{_OWN}key", 1, digits))
-    sums = rows.groupBy(F.col(f"{_OWN}source_key").alias("source_key"), F.col(f"{_OWN}bucket").alias("bucket")).agg(F.sum(f"{_OWN}size").alias("own"))
+    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
+    sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("own"))
     earlier = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("base", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(targets(totals), "source_key")
-    offsets = durable(offsets.select(*[F.col(c).alias(_OWN + c) for c in ("source_key", "bucket", "base", "source_size", "target", "goal", "drift")]))
-    inside = W.partitionBy(f"{_OWN}source_key", f"{_OWN}bucket").orderBy(f"{_OWN}key", id_col, f"{_OWN}tie").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn(f"{_OWN}place", F.sum(f"{_OWN}size").over(inside) - F.col(f"{_OWN}size")).join(offsets, [f"{_OWN}source_key", f"{_OWN}bucket"])
-    return rows.withColumn(f"{_OWN}place", F.col(f"{_OWN}place") + F.col(f"{_OWN}base"))
-
-
-def _c(name: str) -> Column:
-    return F.col(_OWN + name)
+    offsets = durable(offsets.drop("own"))
+    inside = W.partitionBy("source_key", "bucket").orderBy("key", F.col("doc").getField(id_col), "tie").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("place", F.sum("size").over(inside) - F.col("size")).join(offsets, ["source_key", "bucket"])
+    return rows.withColumn("place", F.col("place") + F.col("base"))
 
 
 def _taken(copy: Column | int) -> Column:
     """Words that pass number ``copy`` over the source takes of a document."""
-    left = _c("goal") - _c("source_size") * copy - _c("place")
-    return F.greatest(F.lit(0), F.least(left, _c("size")))
+    left = F.col("goal") - F.col("source_size") * copy - F.col("place")
+    return F.greatest(F.lit(0), F.least(left, F.col("size")))
 
 
 def _position(copy: Column | int) -> Column:
     """Training time at which the source's demand reaches the document's place."""
-    u = (_c("source_size") * copy + _c("place")) / _c("goal")
-    a = _c("drift")
+    u = (F.col("source_size") * copy + F.col("place")) / F.col("goal")
+    a = F.col("drift")
     root = F.sqrt(F.greatest((1 - a) * (1 - a) + 4 * a * u, F.lit(0.0)))
     return F.when(a == 0, u).otherwise((root - (1 - a)) / (2 * F.when(a != 0, a)))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", epochs: int = EPOCHS) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and position, its first place in training in parts of 10**9 (null if not taken)."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("words"))
-    rows = _placed(slim, "doc_id", "source", F.col("words"), durable)
+    # Only the id and what is computed from the text are kept and moved.
+    keep = lambda df: durable(df.withColumn("doc", F.struct(F.col("doc").getField(id_col).alias(id_col))))
+    rows = _placed(docs.select(id_col, source_col, text_col), id_col, source_col, text_col, keep)
     taken = sum((_taken(k) for k in range(1, epochs)), _taken(0))
-    rows = rows.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, _position(0)))
-    out = rows.withColumn("position", F.floor(F.col("position") * 1e9)).select("doc_id", _c("size").alias("size"), _c("source_size").alias("source_size"), F.round(_c("target"), 6).alias("target"), "taken", "position")
+    rows = rows.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, F.floor(_position(0) * 1e9)))
+    out = rows.select(F.col("doc").getField(id_col).alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", "position")
     # Rows that are not taken follow in the order of a hash, as a range of one value would be one partition.
     out = out.withColumn("at", F.coalesce("position", 10**9 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))))
     return out.repartitionByRange("at", "doc_id").sortWithinPartitions("at", "doc_id").drop("at")
@@ -116,15 +111,17 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     Of a document taken in part, the text holds the words taken. ``length_col``: a column that holds the
     texts' numbers of characters, to be kept right.
     """
-    rows = _placed(docs, id_col, source_col, words(F.col(text_col)), lambda df: df)
-    rows = rows.withColumn(f"{_OWN}copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn(f"{_OWN}taken", _taken(_c("copy"))).where(_c("taken") > 0)
-    spaced = F.regexp_extract_all(text_col, F.lit(SPACES + WORD), F.lit(0))
-    cut = F.array_join(F.slice(spaced, F.lit(1), _c("taken").cast("int")), "")
-    kind = docs.schema[text_col].dataType
-    rows = rows.withColumn(text_col, F.when(_c("taken") < _c("size"), cut).otherwise(F.col(text_col)).cast(kind)).withColumn(f"{_OWN}at", _position(_c("copy")))
+    rows = _placed(docs, id_col, source_col, text_col, lambda df: df)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("taken", _taken(F.col("copy"))).where("taken > 0")
+    text = F.col("doc").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACES + WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), "")
+    read = F.when(F.col("taken") < F.col("size"), cut).otherwise(text).cast(docs.schema[text_col].dataType)
+    rows = rows.withColumn("at", _position(F.col("copy"))).select("at", F.col("doc").getField(id_col).alias("id"), "doc", read.alias("read"))
+    rows = rows.repartitionByRange("at", "id").sortWithinPartitions("at", "id")
+    own = {text_col: F.col("read")}
     if length_col is not None:
-        rows = rows.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return rows.repartitionByRange(f"{_OWN}at", id_col).sortWithinPartitions(f"{_OWN}at", id_col).select(*docs.columns)
+        own[length_col] = F.char_length("read").cast(docs.schema[length_col].dataType)
+    return rows.select(*[own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 #: ``mixture`` over the table documents.

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import durable
+from barlab.llm.common import durable, unused
 
 RADIUS = 4
 SHINGLE = 4
@@ -55,11 +55,10 @@ def fingerprint(text: str | None) -> int:
     hashed = xxhash.xxh64_intdigest
     if n == 1:
         return hashed(joined, 42)
-    starts, ends = starts[:n].tolist(), ends[SHINGLE - 1 :].tolist()
-    h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], "<u8")
-    ones = np.zeros(64, np.int64)
+    starts, ends, ones = starts[:n], ends[SHINGLE - 1 :], np.zeros(64, np.int64)
     for k in range(0, n, _SLICE):
-        ones += np.unpackbits(h[k : k + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts[k : k + _SLICE].tolist(), ends[k : k + _SLICE].tolist(), strict=True)], "<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -252,4 +251,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = F.xxhash64(*[F.col(c) for c in docs.columns])
     found = components(durable(fingerprints(docs, id_col, text_col, row_key=key)))
     kept = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key")).distinct()
-    return docs.withColumn("row_key", key).join(durable(kept), "row_key", "left_semi").dropDuplicates(["row_key"]).drop("row_key")
+    name = unused(docs, "row_key")
+    return docs.withColumn(name, key).join(durable(kept).withColumnRenamed("row_key", name), name, "left_semi").dropDuplicates([name]).drop(name)

@@ -58,14 +58,14 @@ def test_caps_bind(spark):
 
 def test_curriculum_holds_the_words_taken_in_order(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 4)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_mix_place", F.lit(1))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"place": F.lit(1), "taken": F.lit(2), "doc": F.lit(3)})
     want = {r.doc_id: r.taken for r in mixing.mixture(docs).collect()}
     out = mixing.curriculum(docs, length_col="n_chars")
     assert out.columns == docs.columns
     got, texts = defaultdict(int), {r.doc_id: r.text for r in docs.collect()}
     for r in out.collect():
         got[r.doc_id] += size(r.text)
-        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) and (r.place, r.taken, r.doc) == (1, 2, 3)
     assert got == {d: n for d, n in want.items() if n}
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from barlab.llm import simhash
 
@@ -93,8 +94,8 @@ def test_documents(spark, sf_dir):
 
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(5, None, 1), (4, "", 2), (None, "one two three four five", 3), (7, "one two three four five", 3), (7, "one two three four five", 3), (None, "other words of a text here", 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumn("row_key", F.lit(9))
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == [(4, 4), (5, 4), (7, 7), (7, 7), (None, 7), (None, None)]
-    assert sorted(((r.doc_id, r.fp) for r in simhash.keep_one(docs).collect()), key=str) == [(4, 2), (7, 3), (None, 4)]
+    assert sorted(((r.doc_id, r.fp, r.row_key) for r in simhash.keep_one(docs).collect()), key=str) == [(4, 2, 9), (7, 3, 9), (None, 4, 9)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
