@@ -10,7 +10,8 @@ Reading parses the tables to find the stream's PID, checks sync bytes, table CRC
 counters, reassembles elementary packets and collects times and random-access points; what is damaged
 raises ``ValueError``. Both directions work on arrays of packets, not packet by packet.
 
-Spark deals the rows over tasks and nothing is shuffled. Null and empty texts are payloads of 64 zero
+Spark deals the rows over tasks and nothing is shuffled; streams are kept as binary rows of a Parquet
+table in the shared folder. Null and empty texts are payloads of 64 zero
 bytes; equal texts give equal values; repeated rows are stored each; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -18,6 +19,7 @@ result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlab.llm.common import scratch
+
 PACKET, UNIT = 188, 64
 #: Payload bytes of an elementary packet, elementary packets from one random-access point to the next, ticks between them.
 FRAME, GROUP, TICKS = 32_768, 8, 3600
@@ -213,3 +217,11 @@ def describe(stored: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return stored.mapInArrow(run, SCHEMA)
+
+
+def through_table(docs: DataFrame, folder: str | None = None, **columns: str) -> DataFrame:
+    """Stores the streams of ``docs`` as a table in ``folder`` (a new one in the shared folder by default) and describes what is read back."""
+    spark = docs.sparkSession
+    folder = folder or f"{scratch(spark)}/media-{uuid.uuid4().hex}"
+    media(docs, **columns).write.option("compression", "zstd").parquet(folder)
+    return describe(spark.read.parquet(folder))

@@ -56,7 +56,7 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegts.describe(mpegts.media(table(spark, sf_dir, "documents")))
+    return mpegts.through_table(table(spark, sf_dir, "documents"))
 
 
 @_query

@@ -52,7 +52,7 @@ def test_damage_is_seen():
 
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = {r.doc_id: r for r in mpegts.describe(mpegts.media(docs)).collect()}
+    got = {r.doc_id: r for r in mpegts.through_table(docs).collect()}
     for d in docs.collect():
         raw = d.text.encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
@@ -63,6 +63,6 @@ def test_documents(spark, sf_dir):
 
 def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, b"x"), (2, "", b"x"), (None, "a" * 64, b"x"), (3, "é" * 2_000_000, b"x"), (3, "é" * 2_000_000, b"x")], "doc_id long, text string, media binary")
-    got = sorted(((r.n_bytes, r.payload_bytes) for r in mpegts.describe(mpegts.media(docs)).collect()))
+    got = sorted(((r.n_bytes, r.payload_bytes) for r in mpegts.through_table(docs).collect()))
     assert got == [(0, 64), (0, 64), (64, 64), (4_000_000, 4_000_000), (4_000_000, 4_000_000)]
-    assert mpegts.describe(mpegts.media(docs.limit(0))).count() == 0
+    assert mpegts.through_table(docs.limit(0)).count() == 0
