@@ -27,14 +27,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.packing import encoder
+from barlab.llm.packing import encoder, token_bytes
 
 # Control strings, in the order of their reserved ids.
 HEADERS = {"system": "### System:", "user": "### User:", "assistant": "### Assistant:"}
@@ -69,33 +68,19 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-@lru_cache(maxsize=2)
-def _bytes_of(path: str) -> list[bytes]:
-    """The bytes of each id of a byte-level tokenizer; characters stand for bytes by the usual rule."""
-    from tokenizers import Tokenizer
-
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-    vocabulary = Tokenizer.from_file(path).get_vocab()
-    table = [b""] * (max(vocabulary.values()) + 1)
-    for token, k in vocabulary.items():
-        table[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return table
-
-
 class Template:
     """Turns to ids and loss mask, and back."""
 
     def __init__(self, path: str, loss_roles: tuple[str, ...] = ("assistant",)):
         self.encode = encoder(path, specials=False)
-        self.bytes_of = _bytes_of(path)
+        self.bytes_of = token_bytes(path)
         self.first = len(self.bytes_of)  # reserved ids follow the vocabulary's
         self.reserved = {s: self.first + k for k, s in enumerate(CONTROLS)}
         self.loss_roles = loss_roles
 
     def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         mark = lambda s: np.array([self.reserved[s]], np.int32)
-        content = lambda s: np.frombuffer(self.encode(escape(s)), np.int32)
+        content = lambda s: np.frombuffer(next(self.encode([escape(s)])), np.int32)
         head = [mark(HEADERS[role])] if role in HEADERS else [mark(OTHER), content(role), mark(OTHER_END)]
         body = content(text)
         ids = np.concatenate([*head, body, mark(END)])

@@ -21,12 +21,19 @@ def ids(text):
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from([*" \n\t\r\'sta.1é\x85\xa0 　\x1f", "<|endoftext|>"]), st.characters(exclude_categories=["Cs"])), max_size=40).map("".join))
 def test_ids(text):
-    assert packing.encoder(PATH)(text) == ids(text).tobytes()
+    assert list(packing.encoder(PATH)([text, "", text])) == [ids(text).tobytes(), b"", ids(text).tobytes()]
 
 
 def test_ids_of_long_and_special_texts():
     for text in ("", "  a <|endoftext|>  b", "x" * 20_000, " " * 20_000, "a\n\n b" * 5000, "<|endoftext|>"):
-        assert packing.encoder(PATH)(text) == ids(text).tobytes()
+        assert list(packing.encoder(PATH)([text])) == [ids(text).tobytes()]
+
+
+def test_forgetting_does_not_matter(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 3)
+    monkeypatch.setattr(packing, "GROUP", 10)
+    texts = ["one two three", "four five", "two <|endoftext|> six", "seven\x1c eight", "one two three"] * 3
+    assert list(packing.Encoder(PATH)(texts)) == [ids(t).tobytes() for t in texts]
 
 
 def test_price_is_the_best_knapsack():
