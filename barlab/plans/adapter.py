@@ -45,7 +45,7 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share capital of symbols from dates on: (symbol, ts, float_stock, total_stock)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 == 0).withColumn("ts", F.col("o_orderdate").cast("date"))
+    o = table(spark, sf_dir, "orders").withColumn("ts", F.col("o_orderdate").cast("date"))
     # An order stands for the supplier of its customer's number, among those that there are.
     suppliers = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("most"))
     o = o.join(F.broadcast(suppliers)).withColumn("n", F.pmod("o_custkey", F.col("most") + 1))
@@ -75,6 +75,6 @@ TICKS = "ticks as (select user_id::varchar as symbol, ts, event_id, cast(floor(v
 
 #: Tables ``capital`` and ``factors``.
 CAPITAL = f"""
-co as (select o_custkey % ((select max(s_suppkey) from supplier) + 1) as n, cast(o_orderdate as date) as ts, o_orderkey from orders where o_orderkey % 10 = 0),
+co as (select o_custkey % ((select max(s_suppkey) from supplier) + 1) as n, cast(o_orderdate as date) as ts, o_orderkey from orders),
 capital as (select {_symbol_sql("n")} as symbol, ts, max(o_orderkey) + 1000 as float_stock, max(o_orderkey) + 5000 as total_stock from co group by n, ts),
 factors as (select symbol, ts, case when float_stock % 2 = 0 then 2.0::double else 0.5::double end as factor from capital)"""
