@@ -42,7 +42,7 @@ TABLES, MISS = 3, 0.02
 SLOT = 1.6
 SAMPLE, QUANTILE = 2000, 0.9
 #: Vectors of a bucket in one group, and distances computed at once.
-PART, BLOCK = 4096, 1 << 15
+PART, BLOCK = 1024, 1 << 15
 
 
 @dataclass(frozen=True)

@@ -86,7 +86,7 @@ def _taken(copy: Column | int) -> Column:
 
 def _position(copy: Column | int) -> Column:
     """Training time at which the source's demand reaches the document's place."""
-    u = (F.col("source_size") * copy + F.col("place")) / F.col("goal")
+    u = (F.col("source_size") * copy + F.col("place")) / F.nullif("goal", F.lit(0))
     a = F.col("drift")
     root = F.sqrt(F.greatest((1 - a) * (1 - a) + 4 * a * u, F.lit(0.0)))
     return F.when(a == 0, u).otherwise((root - (1 - a)) / (2 * F.when(a != 0, a)))
