@@ -9,8 +9,8 @@ of each bucket compares its document counts among toxic (p) and other (q) texts.
 differ by over ``Z_MIN`` standard errors enter, scaled by r, a logistic regression with an L2 penalty.
 
 Training reads a bounded sample: at most about ``MAX_LABELLED`` labelled rows, chosen by a hash of the
-id; only ids and labels of that sample are broadcast. Counting runs in tasks, which return one vector of
-counts each; the sample's rows come to the driver as the few selected features that they hold. Scoring
+id; only ids and labels of that sample are broadcast. Counts, tests and the choice of features are Spark
+aggregates; the sample's rows come to the driver as the few selected features that they hold. Scoring
 covers every whole text, in tasks, without a shuffle.
 
 Null and empty texts score like a text without features. Labels of a repeated id count as toxic if any
@@ -35,8 +35,10 @@ from barlab.llm.common import durable
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
 MAX_LABELLED = 20_000
-MAX_FEATURES = 1 << 14
+MAX_FEATURES = 1 << 12
 Z_MIN = 4.0
+#: Partitions of the sample.
+TASKS = 8
 #: Characters hashed at once.
 CHUNK = 200_000
 
@@ -47,36 +49,48 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, normalized texts) in runs of about ``CHUNK`` characters; a longer text comes alone."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
-        held.append(" ".join((text or "").replace("\0", " ").lower().split()))
-        size += len(held[-1])
-        if size >= CHUNK:
+        plain = " ".join((text or "").replace("\0", " ").lower().split())
+        if held and size + len(plain) > CHUNK:
             yield first, held
-            first, held, size = i + 1, [], 0
+            first, held, size = i, [], 0
+        held.append(f" {plain} " if plain else "")
+        size += len(plain)
     if held:
         yield first, held
 
 
+def _ngrams(held: list[str], keep: np.ndarray | None) -> np.ndarray:
+    """index * BUCKETS + bucket of the n-grams of each text, each once, sorted."""
+    gap = "\0" * max(ORDERS)
+    codes = np.frombuffer((gap.join(held) + gap).encode("utf-32-le"), "<u4")
+    starts = np.cumsum([0] + [len(t) + len(gap) for t in held[:-1]])
+    inside = codes != 0
+    rolled, found = codes, []
+    for n in range(2, max(ORDERS) + 1):
+        rolled = rolled[:-1] * np.uint32(0x01000193) ^ codes[n - 1 :]
+        if n not in ORDERS:
+            continue
+        mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1)
+        bucket = mixed >> np.uint32(32 - BUCKETS.bit_length() + 1)
+        # Gaps are as long as the longest n-gram, so one that touches a gap starts or ends in it.
+        at = inside[: len(bucket)] & inside[n - 1 :]
+        at = np.flatnonzero(at & keep[bucket] if keep is not None else at)
+        found.append((np.searchsorted(starts, at, "right") - 1) * np.int64(BUCKETS) + bucket[at])
+    return np.unique(np.concatenate(found))
+
+
 def features(texts: list[str | None], keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (index of the text, bucket), each once; only buckets that ``keep`` marks, if it is given."""
-    gap = "\0" * max(ORDERS)
     for first, held in _chunks(texts):
-        codes = np.frombuffer((gap.join(f" {t} " if t else "" for t in held) + gap).encode("utf-32-le"), "<u4")
-        starts = np.cumsum([0] + [len(t) + 2 * bool(t) + len(gap) for t in held[:-1]])
-        inside = codes != 0
-        rolled, found = codes, []
-        for n in range(2, max(ORDERS) + 1):
-            rolled = rolled[:-1] * np.uint32(0x01000193) ^ codes[n - 1 :]
-            if n not in ORDERS:
-                continue
-            mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1)
-            bucket = mixed >> np.uint32(32 - BUCKETS.bit_length() + 1)
-            # Gaps are as long as the longest n-gram, so one that touches a gap starts or ends in it.
-            at = inside[: len(bucket)] & inside[n - 1 :]
-            at = np.flatnonzero(at & keep[bucket] if keep is not None else at)
-            found.append((np.searchsorted(starts, at, "right") - 1) * np.int64(BUCKETS) + bucket[at])
-        pairs = np.unique(np.concatenate(found))
+        if len(held) == 1:
+            # Pieces of a long text overlap by what an n-gram may need of the next.
+            text = held[0]
+            pairs = np.unique(np.concatenate([_ngrams([text[k : k + CHUNK + max(ORDERS) - 1]], keep) for k in range(0, max(1, len(text)), CHUNK)]))
+        else:
+            pairs = _ngrams(held, keep)
         yield first + (pairs >> (BUCKETS.bit_length() - 1)), pairs & (BUCKETS - 1)
 
 
@@ -115,23 +129,32 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, id_col
     return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("label", F.col(text_col).alias("text"))
 
 
-def _count(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Documents with each bucket among toxic and other rows, and numbers of rows."""
+def select_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The buckets whose rates differ most, sorted, with their log-count ratios; numbers of toxic and other rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+        counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False)
-            n += np.bincount(label, minlength=2)
             for doc, bucket in features(batch.column(1).to_pylist()):
                 for k in (0, 1):
-                    counts[k] += np.bincount(bucket[label[doc] == k], minlength=BUCKETS).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"n0": [int(n[0])], "n1": [int(n[1])], "c0": [counts[0].tobytes()], "c1": [counts[1].tobytes()]})
+                    counts[k] += np.bincount(bucket[label[doc] == k], minlength=BUCKETS)
+        held = np.flatnonzero(counts.any(axis=0))
+        for at in np.array_split(held, 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1][at]), pa.array(counts[0][at])], ["bucket", "p", "q"])
 
-    p, q, n1, n0 = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0, 0
-    for r in rows.mapInArrow(run, "n0 long, n1 long, c0 binary, c1 binary").toLocalIterator():
-        p, q, n1, n0 = p + np.frombuffer(r.c1, np.int32), q + np.frombuffer(r.c0, np.int32), n1 + r.n1, n0 + r.n0
-    return p, q, n1, n0
+    by_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n1, n0 = by_label.get(1, 0), by_label.get(0, 0)
+    if not (n0 and n1):
+        return np.zeros(0, np.int64), np.zeros(0), n1, n0
+    counts = durable(rows.mapInArrow(run, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+    total = counts.agg(F.sum("p"), F.sum("q")).first()
+    rate = (F.col("p") + F.col("q")) / (n1 + n0)
+    z = F.abs(F.col("p") / n1 - F.col("q") / n0) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    best = sorted(counts.withColumn("z", z).where(F.col("z") > Z_MIN).orderBy(F.desc("z"), "bucket").limit(MAX_FEATURES).collect())
+    p, q = (np.array([r[c] for r in best], float) for c in ("p", "q"))
+    ratio = np.log((p + 1) / ((total[0] or 0) + BUCKETS)) - np.log((q + 1) / ((total[1] or 0) + BUCKETS))
+    return np.array([r["bucket"] for r in best], np.int64), ratio, n1, n0
 
 
 def _descend(indptr: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
@@ -150,17 +173,10 @@ def _descend(indptr: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.n
     return theta[:-1], float(theta[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, l2: float = 1e-4, steps: int = 200, **columns: str) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, l2: float = 1e-3, steps: int = 120, **columns: str) -> Model:
     """The classifier, from a bounded sample of the labelled documents that are not held out."""
-    rows = durable(sample(docs, labels, bound, **columns).coalesce(16))
-    p, q, n1, n0 = _count(rows)
-    if not (n0 and n1):
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))))
-    r = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
-    rate = (p + q) / (n1 + n0)
-    z = np.abs(p / n1 - q / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / n0))
-    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(best[z[best] > Z_MIN])
+    rows = durable(sample(docs, labels, bound, **columns).coalesce(TASKS))
+    chosen, ratio, n1, n0 = select_buckets(rows)
     if not len(chosen):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))))
 
@@ -176,11 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, l2: float
             own = [bucket[a:b].astype("<u2").tobytes() for a, b in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_pydict({"label": batch.column(0), "held": pa.array(own, pa.binary())})
 
-    found = rows.mapInArrow(select, "label int, held binary").toLocalIterator()
+    found = rows.mapInArrow(select, "label int, held binary").collect()
     y, held = zip(*((x.label, np.frombuffer(x.held, "<u2")) for x in found), strict=True)
     indptr = np.cumsum([0, *map(len, held)])
-    weights, bias = _descend(indptr, np.concatenate(held).astype(np.int64), r[chosen], np.array(y, float), l2, steps)
-    return Model(chosen.astype(np.int64), weights * r[chosen], bias)
+    weights, bias = _descend(indptr, np.concatenate(held).astype(np.int64), ratio, np.array(y, float), l2, steps)
+    return Model(chosen, weights * ratio, bias)
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

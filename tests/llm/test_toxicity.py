@@ -19,7 +19,7 @@ def test_features_are_the_ngrams_of_each_text():
     assert found[5] == alone == found[11]
 
 
-@pytest.mark.parametrize("chunk", [50, 10**9])
+@pytest.mark.parametrize("chunk", [7, 50, 10**9])
 def test_chunks_do_not_matter(monkeypatch, chunk):
     monkeypatch.setattr(toxicity, "CHUNK", chunk)
     texts = [f"text number {i} of some" for i in range(40)]
