@@ -248,6 +248,11 @@ RISE = f"coalesce(close > {_LAG('close')} and {_LAG('close')} > {_LAG('close', 2
 BULL_TABLES = f"""bs as (select *, {_S(5)} s5, {_S(10)} s10, {_S(20)} s20, {_S(30)} s30 from bars),
 bo as (select *, 2 * s5 > s10 and 2 * s10 > s20 and 3 * s20 > 2 * s30 as o from bs),
 bull as (select *, i >= 30 and o and not lag(o) over w and s5 > lag(s5) over w and s10 > lag(s10) over w and s20 > lag(s20) over w and s30 > lag(s30) over w as flag from bo window w as ({_W}))"""
+MACD_TABLES = f"""em as (select symbol, ts, i, close::double as fast, close::double as slow, 0::double as dea from bars where i = 0
+  union all select b.symbol, b.ts, b.i, em.fast * (11 / 13::double) + b.close * (2 / 13::double), em.slow * (25 / 27::double) + b.close * (2 / 27::double),
+    em.dea * 0.8::double + (em.fast * (11 / 13::double) + b.close * (2 / 13::double) - (em.slow * (25 / 27::double) + b.close * (2 / 27::double))) * 0.2::double
+  from em join bars b on b.symbol = em.symbol and b.i = em.i + 1),
+mc as (select *, fast - slow > dea and not coalesce(lag(fast - slow > dea) over ({_W}), true) as flag from em)"""
 RSI_TABLES = f"""d as (select *, close - {_LAG('close')} as step from bars),
 u as (select symbol, ts, i, sum(greatest(step, 0)) over w as up, sum(greatest(-step, 0)) over w as down from d window w as ({_W} rows between 13 preceding and current row))"""
 CROSS_TABLES = f"""cs as (select *, {_S(5)} s5, {_S(20)} s20 from bars),
@@ -285,7 +290,7 @@ _signals("rule_sma_cross", "sma_cross", _with(BARS, CROSS_TABLES, select="select
 _signals("rule_trend_up", "trend_up", _with(BARS, TREND_TABLES, select="select b.symbol, b.ts, b.i from bars b join tr on b.symbol = tr.symbol and b.i = tr.i"))
 _signals("rule_limit_up_gap", "limit_up_gap", _with(BARS, GAP_TABLES, select="select symbol, ts, i from gap"))
 _signals("rule_all_of", ["rise_three", "exchange_sz"], _with(BARS, f"r as (select *, {RISE} as flag from bars)", select="select symbol, ts, i from r where flag and symbol like 'sz%'"))
-_signals("rule_macd_cross", "macd_cross", None)
+_signals("rule_macd_cross", "macd_cross", _with(BARS, MACD_TABLES, select="select symbol, ts, i from mc where flag"))
 _signals("rule_rsi_below", "rsi_below", _with(BARS, RSI_TABLES, select="select symbol, ts, i from u where i >= 14 and up + down > 0 and 100.0::double * up / (up + down) < 30"))
 
 
