@@ -43,24 +43,29 @@ def backtest_hold(signals: DataFrame, settings: Settings = Settings(), frame: Fr
     return rows.select("symbol", "i", "ts", "signal", F.col("_price").alias("close"), "cash", "position", equity.alias("equity"))
 
 
+def spend(close: np.ndarray, s: Settings) -> np.ndarray:
+    """What buying at each bar costs, with its fee."""
+    cost = close * (1 + s.slippage) * s.size
+    return cost + np.maximum(cost * s.fee_rate, s.min_fee)
+
+
 def fold(close: np.ndarray, signal: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(cash, position) at each bar, jumping from one event to the next."""
     n = len(close)
     cash, position = np.empty(n), np.zeros(n, np.int64)
     buy, sell = close * (1 + s.slippage), close * (1 - s.slippage)
-    cost = buy * s.size
-    spend = cost + np.maximum(cost * s.fee_rate, s.min_fee)
+    cost = spend(close, s)
     wanted = np.flatnonzero(signal == 1)
     now, at = s.cash, 0
     while at < n:
         k = np.searchsorted(wanted, at)
         ahead = wanted[k:]
-        affordable = ahead[spend[ahead] <= now] if len(ahead) else ahead
+        affordable = ahead[cost[ahead] <= now] if len(ahead) else ahead
         entry = int(affordable[0]) if len(affordable) else n
         cash[at:entry] = now
         if entry == n:
             break
-        now -= spend[entry]
+        now -= cost[entry]
         change = (sell[entry + 1 :] - buy[entry]) / buy[entry] if buy[entry] > 0 else np.zeros(n - entry - 1)
         leaves = np.zeros(len(change), bool)
         if s.stop_loss > 0 and buy[entry] > 0:

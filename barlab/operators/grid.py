@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.columns import MILLI, Settings
-from barlab.operators.backtest import fold
+from barlab.operators.backtest import fold, spend
 from barlab.operators.metrics import YEAR
 
 
@@ -32,24 +32,33 @@ def sma_grid(bars: DataFrame, fast: Iterable[int] = range(3, 11), slow: Iterable
     times slower. Sums of all lengths are differences of one running sum, in whole numbers; each pair
     returns one row of figures.
     """
-    pairs = [(f, s) for f in sorted(set(fast)) for s in sorted(set(slow)) if f < s]
-    lengths = sorted({n for pair in pairs for n in pair})
+    fasts, slows = sorted(set(fast)), np.array(sorted(set(slow)))
+    longest = max(*fasts, *slows)
+    hold = settings.stop_loss <= 0 and settings.take_profit <= 0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
         close = pdf["close"].to_numpy(np.int64)
-        running = np.concatenate([np.zeros(max(lengths), np.int64), np.cumsum(close)])
-        total = {n: running[max(lengths) :] - running[max(lengths) - n : len(running) - n] for n in lengths}
+        running = np.concatenate([np.zeros(longest, np.int64), np.cumsum(close)])
+        total = lambda n: running[longest:] - running[longest - n : len(running) - n]
         price, rows, known = close / MILLI, [], {}
-        for f, s in pairs:
-            above = total[f] * s > total[s] * f
-            signal = np.zeros(len(close), np.int64)
-            signal[s:] = above[s:] & ~above[s - 1 : -1] if len(close) > s else 0
-            key = signal.tobytes()
-            if key not in known:
-                cash, position = fold(price, signal, settings)
-                known[key] = _figures(cash + position * price, settings.cash)
-            rows.append((pdf["symbol"].iloc[0], f, s, *known[key], int(signal.sum())))
+        by_slow = np.stack([total(n) for n in slows])
+        enough = np.arange(len(close)) >= slows[:, None]
+        payable = spend(price, settings) <= settings.cash
+        for f in fasts:
+            above = total(f) * slows[:, None] > by_slow * f
+            crosses = np.zeros_like(above)
+            crosses[:, 1:] = above[:, 1:] & ~above[:, :-1]
+            crosses &= enough
+            for s, signal in zip(slows.tolist(), crosses, strict=True):
+                if s <= f:
+                    continue
+                # Without exits the ledger depends on its first affordable signal alone.
+                key = int((signal & payable).argmax()) if hold and (signal & payable).any() else (-1 if hold else signal.tobytes())
+                if key not in known:
+                    cash, position = fold(price, signal.astype(np.int64), settings)
+                    known[key] = _figures(cash + position * price, settings.cash)
+                rows.append((pdf["symbol"].iloc[0], f, s, *known[key], int(signal.sum())))
         return pd.DataFrame(rows, columns=["symbol", "fast", "slow", "total_return", "sharpe", "max_drawdown", "signals"])
 
     # A number of partitions is given, as adaptive coalescing looks at bytes and the work here is per byte heavy.
