@@ -78,18 +78,21 @@ class Template:
         self.reserved = {s: self.first + k for k, s in enumerate(CONTROLS)}
         self.loss_roles = loss_roles
 
-    def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-        mark = lambda s: np.array([self.reserved[s]], np.int32)
-        content = lambda s: np.frombuffer(next(self.encode([escape(s)])), np.int32)
-        head = [mark(HEADERS[role])] if role in HEADERS else [mark(OTHER), content(role), mark(OTHER_END)]
-        body = content(text)
-        ids = np.concatenate([*head, body, mark(END)])
-        delta = np.zeros(len(ids) + 1, np.int8)
-        if role in self.loss_roles:
-            begin = len(ids) - 1 - len(body)
-            delta[begin] += 1
-            delta[begin + len(body)] -= 1
-        return ids, np.cumsum(delta)[:-1].astype(bool)
+    def turns(self, pairs: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and loss mask of each turn (role, text). Segments are encoded each for itself, in one call."""
+        segments = [s for role, text in pairs for s in ((text,) if role in HEADERS else (role, text))]
+        encoded = (np.frombuffer(ids, np.int32) for ids in self.encode(map(escape, segments)))
+        mark = {s: np.array([k], np.int32) for s, k in self.reserved.items()}
+        for role, _ in pairs:
+            head = [mark[HEADERS[role]]] if role in HEADERS else [mark[OTHER], next(encoded), mark[OTHER_END]]
+            body = next(encoded)
+            ids = np.concatenate([*head, body, mark[END]])
+            delta = np.zeros(len(ids) + 1, np.int8)
+            if role in self.loss_roles:
+                begin = len(ids) - 1 - len(body)
+                delta[begin] += 1
+                delta[begin + len(body)] -= 1
+            yield ids, np.cumsum(delta)[:-1].astype(bool)
 
     def text(self, ids: np.ndarray) -> str:
         """What ids without reserved ones stand for, still escaped."""
@@ -122,7 +125,7 @@ def format_turns(conversations: DataFrame, path: str, loss_roles: tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(path, loss_roles)
         for batch in batches:
-            pairs = [template.turn(r.as_py(), t.as_py()) for r, t in zip(batch.column(2), batch.column(3), strict=True)]
+            pairs = list(template.turns(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))))
             ids, loss = pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, loss], [*batch.schema.names, "ids", "loss"])
 

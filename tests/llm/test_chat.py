@@ -18,7 +18,7 @@ TEXTS = st.lists(st.one_of(st.sampled_from(PIECES), st.characters(exclude_catego
 @given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", "tool", ""]), TEXTS), TEXTS), max_size=4))
 def test_any_turns_come_back(turns):
     template = chat.Template(PATH)
-    made = [template.turn(r, t) for r, t in turns]
+    made = list(template.turns(turns))
     ids, loss = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int32) for k in (0, 1))
     read = list(template.read(ids, loss.astype(bool)))
     assert [(r, t) for r, t, _, _ in read] == turns
