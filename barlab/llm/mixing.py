@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 DRIFTS = (-0.5, 0.0, 0.5)
 EPOCHS = 3
 #: Rows of a bucket of the hash within the largest source, about.
-BUCKET = 8192
+BUCKET = 1024
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -65,10 +65,10 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, once)
     source_key = F.coalesce(F.concat(F.lit("s"), field(source_col).cast("string")), F.lit("n"))
     rows = once(rows.withColumns({"source_key": source_key, "size": words(field(text_col)), "key": key, "tie": F.xxhash64("doc")}))
     totals = durable(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("source", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 1 << 30))))
-    digits, most = 0, totals.agg(F.max("n")).first()[0] or 0
-    while most > BUCKET * 16**digits:
-        digits += 1
-    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
+    most = totals.agg(F.max("n")).first()[0] or 0
+    bits = min(32, max(0, (most - 1) // BUCKET).bit_length())
+    # The leading bits of the hash, so that buckets follow its order.
+    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
     sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("own"))
     earlier = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("base", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(targets(totals), "source_key")
