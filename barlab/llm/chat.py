@@ -14,7 +14,7 @@ so control strings inside a text, and backslashes, get a backslash in front befo
 away again restores the text.
 
 Formatting is by row, in any partition. Reading back goes through each conversation in the order of turn
-(nulls first), then role and text: conversations are dealt by a hash of their id, sorted within tasks and
+(nulls first), then role and a hash of the text: conversations are dealt by a hash of their id, sorted within tasks and
 read as a stream, so memory holds one batch whatever a conversation's length. A digest over a whole
 conversation is sequential by nature; all else has been done by then.
 
@@ -172,7 +172,8 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
         if digest is not None:
             yield batch_of([digest.row(now)])
 
-    spread = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    slim = formatted.select("conv_id", "turn", "role", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tie"), "ids", "loss")
+    spread = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
     return spread.select("conv_id", "ids", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -184,9 +185,9 @@ with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 s as (select *, case r {" ".join(f"when '{r}' then {len(h)}" for r, h in HEADERS.items())} else {len(OTHER) + len(OTHER_END)} + length(r) + {_ROLE_COUNTS} end
   + length(t) + {_COUNTS} + {len(END)} as chars from c)
-select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, r, t)) as turns_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, r, md5(t))) as turns_sha256,
   cast(sum(case when r = 'assistant' then length(t) else 0 end) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(t, '' order by turn nulls first, r, t) filter (where r = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(t, '' order by turn nulls first, r, md5(t)) filter (where r = 'assistant'), '')) as loss_sha256,
   cast(sum(chars) as bigint) as formatted_chars
 from s group by conv_id
 """
