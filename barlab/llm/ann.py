@@ -10,7 +10,7 @@ precision, ties by the smaller id.
 
 The distance r is the ``QUANTILE`` of the k-th nearest distance over a bounded, documented sample
 (``SAMPLE`` vectors against each other, scaled to the table's size by a fit of distance to rank); every
-row is indexed. Buckets fall into groups by a hash of table and bucket, a bucket of over ``PART`` vectors
+row is indexed. Buckets fall into groups by a hash of table and bucket, a bucket of over half a group
 is split over several groups by a hash of the id, and a query goes to the groups that its buckets lie in,
 where it ranks its candidates block by block; only the best k of a group go on. So no bucket, whatever
 its share of the rows, meets in one task, and nothing that grows is broadcast.
@@ -41,8 +41,9 @@ TABLES, MISS = 3, 0.02
 #: Slot width as a multiple of r.
 SLOT = 1.6
 SAMPLE, QUANTILE = 2000, 0.9
-#: Vectors of a bucket in one group, and distances computed at once.
-PART, BLOCK = 1024, 1 << 15
+#: Bytes of vectors in one group, about; half as much of one bucket. Vectors of a group below which groups
+#: are not made smaller for the sake of more tasks, and distances computed at once.
+GROUP_BYTES, FEW, BLOCK = 32 << 20, 4096, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -173,6 +174,10 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
     h = hashes or Hashes.draw(dimension, fit_reach(rows, n, k), width_for(n))
     tables = len(h.axes)
     enough = 1 - miss ** (1 / tables)
+    # A query brings k rows from each group that it visits, so groups are as large as memory allows.
+    entries_of_group = max(2, GROUP_BYTES // (8 * dimension))
+    groups = max(1, -(-n * tables // entries_of_group), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n * tables // FEW)))
+    part = max(1, -(-n * tables // groups) // 2)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +196,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
     # Everything is indexed; buckets that no query visits are left out by the join below.
     entries = rows.mapInArrow(index, "vec_id long, v array<double>, bucket long")
     visits = durable(rows.where(F.col("vec_id") % every == 0).mapInArrow(visit, "query_id long, bucket long").distinct())
-    sizes = durable(rows.mapInArrow(index, "vec_id long, v array<double>, bucket long").groupBy("bucket").count().withColumn("parts", F.ceil(F.col("count") / PART).cast("int")).drop("count"))
-    groups = max(1, -(-n * tables // (2 * PART)))
+    sizes = durable(rows.mapInArrow(index, "vec_id long, v array<double>, bucket long").groupBy("bucket").count().withColumn("parts", F.ceil(F.col("count") / part).cast("int")).drop("count"))
     group = F.pmod(F.xxhash64("bucket", "part"), F.lit(groups)).cast("int")
     visited = durable(sizes.join(visits.select("bucket").distinct(), "bucket", "left_semi"))
     right = visits.join(visited, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("query_id", "bucket", group.alias("group"))
@@ -214,11 +218,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
             rows_at = np.concatenate([np.arange(first[i], last[i]) for i in at]) if len(at) else np.zeros(0, np.int64)
             rows_at = rows_at[ids[rows_at] != q]
             near, score = nearest(ids[rows_at], x[rows_at], query, k * tables)
+            # The same vector of several tables counts once; such rows follow each other.
+            once = np.append(True, (near[1:] != near[:-1]) | (score[1:] != score[:-1]))[: len(near)]
+            near, score = near[once][:k], score[once][:k]
             found.append([np.full(len(near), q, np.int64), near, score])
         return pa.table({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
     ranked = left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    # An id is found in several tables; a query brings at most k rows for each group and table.
+    # An id is found in several tables, whose buckets lie in several groups.
     once = ranked.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     nearest_first = W.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -51,7 +51,7 @@ def test_probes_come_by_falling_success_and_sum_to_enough():
 
 
 def test_a_hot_vector(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART", 16)
+    monkeypatch.setattr(ann, "GROUP_BYTES", 32 * 8 * 8)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 8))
     x[200:450] = x[0]
