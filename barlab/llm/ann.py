@@ -109,13 +109,23 @@ def probes(place: np.ndarray, sigma: float, enough: float) -> np.ndarray:
     return slots[np.arange(n)[None, :], np.array(found)]
 
 
+def _best(ids: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
+    """Where the k nearest ids are, each at its least distance; by distance, then id."""
+    order, some = np.lexsort((ids, distance)), 4 * k
+    while True:
+        first = np.unique(ids[order[:some]], return_index=True)[1]
+        if len(first) >= k or some >= len(order):
+            return order[np.sort(first)[:k]]
+        some *= 4
+
+
 def nearest(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, distances) of the k nearest, by exact distance in double precision, then id."""
+    """(ids, distances) of the k nearest ids, by exact distance in double precision, then id; an id counts once."""
     kept_ids, kept = np.zeros(0, np.int64), np.zeros(0)
     for a in range(0, len(ids), BLOCK):
         distance = np.sqrt(((vectors[a : a + BLOCK] - query) ** 2).sum(axis=1))
         kept_ids, kept = np.append(kept_ids, ids[a : a + BLOCK]), np.append(kept, distance)
-        best = np.lexsort((kept_ids, kept))[:k]
+        best = _best(kept_ids, kept, k)
         kept_ids, kept = kept_ids[best], kept[best]
     return kept_ids, kept
 
@@ -135,9 +145,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def fit_reach(rows: DataFrame, n: int, k: int, sample: int = SAMPLE) -> float:
-    """Estimated distance within which ``QUANTILE`` of the vectors have their k nearest among ``n`` rows."""
+    """Estimated distance within which ``QUANTILE`` of the vectors have their k nearest among ``n`` ids.
+
+    One vector of each sampled id: copies under one id are no neighbours and would make the distance too small.
+    """
     share = min(1.0, sample / max(1, n))
-    few = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * sample).toArrow()
+    few = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("vec_id").agg(F.min("v").alias("v")).select("v").limit(2 * sample).toArrow()
     x = _matrix(few["v"])
     if len(x) < 2:
         return 1.0
@@ -166,12 +179,13 @@ def width_for(n: int) -> int:
 def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", miss: float = MISS, hashes: Hashes | None = None) -> DataFrame:
     """The k nearest found of each query (ids divisible by ``every``): query_id, rank, vec_id, score."""
     rows = usable(vectors, id_col, vector_col)
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("count"), F.approx_count_distinct("vec_id", 0.01).alias("ids"))
+    common = sizes.orderBy(F.desc("count"), F.desc("d")).first()
     if common is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    dimension, n = common
+    dimension, n, distinct = common
     rows = rows.where(F.size("v") == dimension)
-    h = hashes or Hashes.draw(dimension, fit_reach(rows, n, k), width_for(n))
+    h = hashes or Hashes.draw(dimension, fit_reach(rows, min(n, distinct), k), width_for(n))
     tables = len(h.axes)
     enough = 1 - miss ** (1 / tables)
     # A query brings k rows from each group that it visits, so groups are as large as memory allows.
@@ -217,10 +231,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
             at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == b)] if len(names) else at[:0]
             rows_at = np.concatenate([np.arange(first[i], last[i]) for i in at]) if len(at) else np.zeros(0, np.int64)
             rows_at = rows_at[ids[rows_at] != q]
-            near, score = nearest(ids[rows_at], x[rows_at], query, k * tables)
-            # The same vector of several tables counts once; such rows follow each other.
-            once = np.append(True, (near[1:] != near[:-1]) | (score[1:] != score[:-1]))[: len(near)]
-            near, score = near[once][:k], score[once][:k]
+            near, score = nearest(ids[rows_at], x[rows_at], query, k)
             found.append([np.full(len(near), q, np.int64), near, score])
         return pa.table({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 

@@ -68,3 +68,21 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = found(ann.search(rows))
     assert {q: [v for v, _ in near] for q, near in got.items()} == {0: [1, 200], 200: [0, 1]}
     assert ann.search(rows.limit(0)).count() == 0 and ann.search(rows.where("vec_id = 0")).count() == 0
+
+
+@pytest.mark.parametrize("times", [2, 40])
+def test_repeated_rows_do_not_take_the_place_of_ids(spark, times):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = found(ann.search(rows.crossJoin(spark.range(times).select()))), brute(np.arange(700), x)
+    assert set(got) == set(want) and all(len({v for v, _ in near}) == 10 for near in got.values())
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_an_id_counts_once_among_the_nearest(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    ids = np.append(np.repeat(np.arange(5), 60), np.arange(5, 20))
+    x = np.append(np.repeat(np.arange(5.0), 60) + np.tile(np.arange(60) / 100, 5), np.arange(5.0, 20))[:, None]
+    near, score = ann.nearest(ids, x, np.zeros(1), 10)
+    assert near.tolist() == list(range(10)) and score.tolist() == list(map(float, range(10)))
