@@ -8,7 +8,9 @@ fails its validator is dropped without retries:
 
 Two further kinds are added beside them and never remove a base span:
 
-- ``iban``: country letters, two check digits and 11 to 30 letters or digits whose remainder mod 97 is 1;
+- ``iban``: country letters, two check digits and 11 to 30 letters or digits whose remainder mod 97 is 1.
+  Capitals or digits may follow, so each end of a word is tried; of those that pass, the one of the country's
+  length counts, or else the last that overlaps no such span;
 - ``ssn``: nine digits as 3-2-4 with valid groups. Alone they score below the threshold; a word such as
   "ssn" or "social security" within ``NEAR`` characters lifts them over it.
 
@@ -49,6 +51,19 @@ CONTEXT = {
 }
 
 
+#: Characters of an account number by country.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
 class Span(NamedTuple):
     start: int
     kind: int
@@ -61,7 +76,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DIGITS = re.compile("[0-9]+")
 _CARD = re.compile("[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
+_WORD = re.compile("[A-Z0-9]+")
+_ALNUM = re.compile("[A-Za-z0-9]")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _ANY = re.compile("[0-9@]")
 
@@ -129,9 +146,29 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    found: list[tuple[int, int]] = []
+    other: list[tuple[int, list[int]]] = []
     for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield m.span()
+        ends, held = {}, ""
+        for word in _WORD.finditer(text, *m.span(1)):
+            held += word[0]
+            if len(held) >= 15 and not _ALNUM.match(text, word.end()) and mod97(held):
+                ends[len(held)] = word.end()
+        if end := ends.get(IBAN_LENGTH.get(held[:2], 0)):
+            if not found or m.start() >= found[-1][1]:
+                found.append((m.start(), end))
+        elif ends:
+            other.append((m.start(), sorted(ends.values(), reverse=True)))
+    # Other lengths pass by chance, too, and take only what is left.
+    done, k = 0, 0
+    for start, all_ends in other:
+        while k < len(found) and found[k][1] <= start:
+            done, k = found[k][1], k + 1
+        limit = found[k][0] if k < len(found) else len(text)
+        if start >= done and (end := next((e for e in all_ends if e <= limit), 0)):
+            yield start, end
+            done = end
+    yield from found
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:

@@ -72,3 +72,15 @@ def test_redaction_nulls_repeats_and_empty_tables(spark):
     assert sorted(((r.doc_id, r.text) for r in pii.redact_pii(docs).collect()), key=str) == [(1, None), (2, ""), (3, "to [EMAIL] or [PHONE]."), (3, "to [EMAIL] or [PHONE].")]
     assert [len(r.found) for r in sorted(pii.find_pii(docs).collect())] == [0, 0, 2, 2]
     assert pii.digest(pii.find_pii(docs.limit(0))).count() == 0
+
+
+def test_an_iban_ends_before_capitals_and_numbers():
+    ibans = lambda t: [t[s.start : s.end] for s in pii.find_spans(t) if pii.KINDS[s.kind] == "iban"]
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for before in ("", "IBAN ", "AB12 ", "REF 2024 XY99 "):
+            for after in ("", " BIC COBADEFFXXX", " 12.50 EUR", " OK", " A B C 1 2 3", ".", " and more", " DE", " 1", "\nBIC"):
+                assert ibans(before + iban + after) == [iban]
+    assert ibans("DE89370400440532013000 GB82 WEST 1234 5698 7654 32 OK") == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+    assert ibans("DE89370400440532013001 BIC COBADEFFXXX") == ibans("DE89370400440532013000x") == ibans("xDE89370400440532013000") == []
+    assert pii.redact("IBAN DE89370400440532013000 BIC X", pii.find_spans("IBAN DE89370400440532013000 BIC X")) == "IBAN [IBAN] BIC X"
+    pii.find_spans("AB12 " * 200_000)
