@@ -3,14 +3,16 @@
 Documents become pieces of at most ``CAPACITY`` tokens. How many pieces have each length is a histogram
 of at most ``CAPACITY`` numbers, whatever the number of documents, so the plan is made on it alone:
 
-1. The configuration program (as few patterns of lengths as cover the histogram, fractionally) is solved
-   by multiplicative weights: prices start in proportion to length and fall as a length is covered; a
-   knapsack dynamic program over the capacity prices patterns, for all lengths at once (the best pattern
-   that holds each length), and those near the best price get weight.
-2. The fractional solution is rounded: patterns by falling weight, each as often as its weight and what
-   remains allow; the program is solved again for what remains until a round brings little.
-3. The rest, whose size depends on the number of patterns but not of documents, is packed best-fit
-   decreasing, on the histogram.
+1. The configuration program (as few patterns of lengths as cover the histogram) is solved by multiplicative
+   weights: prices start in proportion to length and fall as a length is covered; a knapsack dynamic program
+   over the capacity prices patterns, for all lengths at once (the best pattern that holds each length), and
+   those near the best price are used, each step for a share of a length's pieces, in whole numbers.
+2. Where a step places little, the next admits patterns further from the best price and larger shares, so that
+   lengths without a nearly full pattern are covered too. Steps end when nothing is left or nothing more fits,
+   after ``STEPS`` at most. ``plan`` logs the share of the pieces that they placed.
+3. The rest is packed best-fit decreasing by runs of equal pieces in equal sequences: its time depends on the
+   number of lengths, not of pieces. Best-fit decreasing of the whole histogram is made as well and taken
+   if it needs fewer sequences.
 
 The plan (patterns and how often they are used) is broadcast; it has at most some tens of thousands of
 patterns. Pieces of one length are numbered across tasks without gathering them: range partitions count
@@ -24,6 +26,8 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import json
+import logging
+import math
 import os
 import re
 import zlib
@@ -44,8 +48,9 @@ CAPACITY = 2048
 CLOSING = 0
 #: Cuts of text whose ids a task remembers, the longest of them, and texts encoded together, in characters.
 MEMO, MEMO_CHARS, GROUP = 500_000, 24, 2_000_000
-#: Prices within this share of the best enter a solution; steps of a solution; rounds of rounding.
-NEAR, STEPS, ROUNDS = 0.01, 24, 6
+#: Prices within this share of the best are used at first, for this share of a length's pieces in a step; both grow
+#: to 1, by a factor after each step that places less than a share of all pieces; steps at most.
+NEAR, SHARE, WIDER, LITTLE, STEPS = 0.01, 1 / 12, 1.3, 0.005, 300
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -219,77 +224,89 @@ def _patterns(lengths: np.ndarray, first: np.ndarray, capacity: int) -> np.ndarr
     return np.stack(rows, axis=1)
 
 
-def solve(counts: np.ndarray, seed: int) -> Counter[Pattern]:
-    """A fractional cover of the histogram ``counts`` by multiplicative weights."""
-    capacity = len(counts) - 1
-    lengths = np.flatnonzero(counts)
+def program(counts: np.ndarray, seed: int = 0) -> tuple[Counter[Pattern], np.ndarray]:
+    """Patterns by multiplicative weights, how often each is used, and the histogram of what they leave."""
+    capacity, total = len(counts) - 1, int(counts.sum())
     rng = np.random.default_rng(seed)
-    covered = np.zeros(capacity + 1)
-    found: Counter[Pattern] = Counter()
+    left, near = counts.copy(), NEAR
+    used: Counter[Pattern] = Counter()
     for _ in range(STEPS):
+        lengths = np.flatnonzero(left)
+        if not len(lengths):
+            break
+        covered = 1 - left[lengths] / counts[lengths]
         prices = np.full(capacity + 1, -np.inf)
-        # Jitter chooses among patterns of nearly equal price, so that steps differ.
-        prices[lengths] = lengths * np.exp(-2 * (covered[lengths] - covered[lengths].mean())) * (1 + 1e-4 * rng.random(len(lengths)))
+        # Jitter chooses among patterns of nearly equal price, so that steps differ; less of it where pieces are short keeps these for later.
+        jitter = 1 + 1e-4 * lengths / capacity * rng.random(len(lengths))
+        prices[lengths] = lengths * np.exp(-2 * (covered - covered.mean())) * jitter
         best, first = price(prices)
         value = prices[lengths] + best[capacity - lengths]
-        near = lengths[value >= (1 - NEAR) * value.max()]
-        weight: Counter[Pattern] = Counter()
-        for own in _patterns(near, first, capacity):
+        share = SHARE ** (math.log(near) / math.log(NEAR))
+        budget = np.minimum(left, np.ceil(share * counts).astype(np.int64))
+        placed = 0
+        for own in _patterns(lengths[value >= (1 - near) * value.max()], first, capacity)[::-1]:
             held = Counter(own[own > 0].tolist())
-            weight[tuple(sorted(held.items(), reverse=True))] += min(counts[k] / a for k, a in held.items())
-        more = np.zeros(capacity + 1)
-        for pattern, w in weight.items():
-            for k, a in pattern:
-                more[k] += w * a / counts[k]
-        step = 2 / STEPS / more.max()
-        for pattern, w in weight.items():
-            found[pattern] += w * step
-        covered += more * step
-        if covered[lengths].min() >= 1:
-            break
-    return found
+            # A length that a pattern holds several times may need more than its share.
+            times = min(min(int(left[n]), max(int(budget[n]), a)) // a if budget[n] > 0 else 0 for n, a in held.items())
+            if times > 0:
+                used[tuple(sorted(held.items(), reverse=True))] += times
+                for n, a in held.items():
+                    left[n] -= times * a
+                    budget[n] -= times * a
+                    placed += times * a
+        if placed < LITTLE * total:
+            if near >= 1 and not placed:
+                break
+            near = min(1.0, near * WIDER)
+    return used, left
 
 
 def best_fit(counts: np.ndarray) -> Counter[Pattern]:
-    """Best-fit decreasing over the histogram."""
+    """Best-fit decreasing over the histogram, by runs: the sequences of a run are equal and take equal pieces at once.
+
+    A sequence that takes a piece has the least room that fits, and so takes the next until none fits. A length
+    splits at most one run and opens at most two, so there are a few runs for each length, whatever the counts.
+    """
     capacity = len(counts) - 1
-    free: list[tuple[int, int]] = []  # (room, bin), sorted
-    bins: list[Counter[int]] = []
+    rooms: list[int] = []  # of the runs, sorted
+    runs: dict[int, list[tuple[Pattern, int]]] = {}
     for k in np.flatnonzero(counts)[::-1].tolist():
-        for _ in range(int(counts[k])):
-            at = bisect_left(free, (k, -1))
-            if at < len(free):
-                room, b = free.pop(at)
+        n = int(counts[k])
+        while n:
+            at = bisect_left(rooms, k)
+            if at < len(rooms):
+                room = rooms[at]
+                pattern, times = runs[room].pop()
+                if not runs[room]:
+                    del runs[room], rooms[at]
             else:
-                room, b = capacity, len(bins)
-                bins.append(Counter())
-            bins[b][k] += 1
-            if room > k:
-                insort(free, (room - k, b))
-    return Counter(tuple(sorted(b.items(), reverse=True)) for b in bins)
+                room, pattern, times = capacity, (), n
+            each = min(room // k, n)
+            filled = min(times, n // each)
+            n -= filled * each
+            for after, m, free in (((*pattern, (k, each)), filled, room - k * each), (pattern, times - filled, room)):
+                if after and m:
+                    if free not in runs:
+                        insort(rooms, free)
+                    runs.setdefault(free, []).append((after, m))
+    used: Counter[Pattern] = Counter()
+    for pattern, times in (x for own in runs.values() for x in own):
+        used[pattern] += times
+    return used
 
 
 def plan(counts: np.ndarray) -> Counter[Pattern]:
     """Patterns, and how often each is used, that hold exactly the pieces of the histogram ``counts``."""
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
-    used: Counter[Pattern] = Counter()
-    used[((capacity, 1),)] += int(left[capacity])
+    full = Counter({((capacity, 1),): int(left[capacity])})
     left[capacity] = 0
-    for k in range(ROUNDS):
-        # Below this, every piece of the rest is looked at singly.
-        if left.sum() <= 4 * capacity:
-            break
-        before = left.sum()
-        for pattern, weight in sorted(solve(left, k).items(), key=lambda x: (-x[1], x[0])):
-            times = min(int(weight), *(left[n] // a for n, a in pattern))
-            if times > 0:
-                used[pattern] += int(times)
-                for n, a in pattern:
-                    left[n] -= a * times
-        if left.sum() > 0.9 * before:
-            break
-    return +(used + best_fit(left))
+    used, rest = program(left)
+    used, plain = used + best_fit(rest), best_fit(left)
+    fewer = sum(used.values()) <= sum(plain.values())
+    share = 1 - int(rest.sum()) / max(1, int(left.sum()))
+    logging.getLogger(__name__).info("the program placed %.4f of %d pieces; %s", share, left.sum(), "used" if fewer else "best-fit decreasing needs fewer sequences and is used")
+    return +(full + (used if fewer else plain))
 
 
 # ---------------------------------------------------------------- the plan applied

@@ -63,6 +63,65 @@ def test_plan_holds_all_pieces_in_few_sequences(seed):
     assert sum(used.values()) <= 1.01 * least + 2
 
 
+RNG = np.random.default_rng(0)
+SIZES = {
+    "dense": RNG.integers(1, 2049, 2_000_000),
+    "long": RNG.integers(1025, 2048, 500_000),
+    "thirds": RNG.integers(600, 1100, 500_000),
+    "short": np.minimum(2047, RNG.lognormal(5, 1, 500_000).astype(int) + 1),
+}
+
+
+@pytest.mark.parametrize(("name", "least"), [("dense", 0.99), ("long", 1), ("thirds", 0.99), ("short", 0.9)])
+def test_the_program_places_nearly_all_pieces(name, least):
+    counts = np.bincount(SIZES[name], minlength=2049)
+    counts[2048] = 0
+    used, left = packing.program(counts)
+    assert all(sum(n * a for n, a in pattern) <= 2048 for pattern in used)
+    held = left.copy()
+    for pattern, times in used.items():
+        for n, a in pattern:
+            held[n] += a * times
+    share = 1 - left.sum() / counts.sum()
+    print(f"{name}: {share:.4f} of {counts.sum()} pieces")
+    assert (held == counts).all() and (left >= 0).all() and share >= least
+
+
+def best_fit_by_piece(counts):
+    capacity, rooms = len(counts) - 1, []
+    for k in np.flatnonzero(counts)[::-1].tolist():
+        for _ in range(int(counts[k])):
+            fits = [r for r in rooms if r >= k]
+            room = min(fits, default=capacity)
+            if fits:
+                rooms.remove(room)
+            rooms.append(room - k)
+    return Counter(rooms)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=20, max_size=40))
+def test_best_fit_by_runs_is_best_fit_by_piece(counts):
+    counts = np.array([0, *counts])
+    used, capacity = packing.best_fit(counts), len(counts) - 1
+    held = np.zeros_like(counts)
+    rooms = Counter()
+    for pattern, times in used.items():
+        rooms[capacity - sum(n * a for n, a in pattern)] += times
+        for n, a in pattern:
+            held[n] += a * times
+    assert (held == counts).all() and rooms == best_fit_by_piece(counts)
+
+
+def test_a_plan_does_not_grow_with_the_pieces():
+    for sizes in SIZES.values():
+        counts = np.bincount(sizes, minlength=2049)
+        # So many pieces that nothing can go over them one by one.
+        used = packing.plan(counts * 10_000_000)
+        assert len(used) < 20_000
+        assert sum(n * a * t for pattern, t in used.items() for n, a in pattern) == int(sizes.sum()) * 10_000_000
+
+
 def check(rows, want):
     """``want``: {doc: [ids, ...]} of the documents with that doc_id."""
     places, got = defaultdict(list), Counter()
