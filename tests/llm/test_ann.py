@@ -86,3 +86,80 @@ def test_an_id_counts_once_among_the_nearest(monkeypatch):
     x = np.append(np.repeat(np.arange(5.0), 60) + np.tile(np.arange(60) / 100, 5), np.arange(5.0, 20))[:, None]
     near, score = ann.nearest(ids, x, np.zeros(1), 10)
     assert near.tolist() == list(range(10)) and score.tolist() == list(map(float, range(10)))
+
+
+def clusters(rng):
+    """Crowds of four densities, far apart."""
+    centres = rng.standard_normal((4, 8)) * 300
+    return np.concatenate([c + rng.standard_normal((300, 8)) * spread for c, spread in zip(centres, (0.01, 0.3, 4, 50), strict=True)])
+
+
+def outliers(rng):
+    x = rng.standard_normal((1200, 8))
+    x[0] += 40
+    x[100] += 400
+    return x
+
+
+def crowd(rng):
+    """92 % of the rows are one vector, two queries are outside of it."""
+    x = rng.standard_normal((1200, 8))
+    crowd = rng.random(1200) < 0.92
+    crowd[[100, 700]] = False
+    x[crowd] = x[crowd.argmax()]
+    return x
+
+
+MADE = {"clusters": (clusters, 1), "outliers": (outliers, 1), "crowd": (crowd, 1), "each row 40 times": (lambda rng: rng.standard_normal((400, 8)), 40)}
+
+
+def complete(got, ids, x):
+    """Every query has ten ids, and nearly all of them the right ones; of equal distances, any."""
+    want = brute(ids, x)
+    assert set(got) == set(want)
+    hits = []
+    for q, near in got.items():
+        assert len({v for v, _ in near}) == len(near) == 10
+        last = want[q][-1][1]
+        hits.append(np.mean([s <= last * (1 + 1e-12) for _, s in near]))
+    assert np.mean(hits) >= 0.9
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("name", MADE)
+@pytest.mark.parametrize("exact", [1024, 0])
+def test_every_query_gets_its_neighbours(spark, monkeypatch, name, exact):
+    # Without queries that are held against all rows, those left are asked again until all answers hold.
+    monkeypatch.setattr(ann, "EXACT", exact)
+    make, times = MADE[name]
+    x = make(np.random.default_rng(5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(ann.search(rows.crossJoin(spark.range(times).select())))
+    assert complete(got, np.arange(len(x)), x) >= 0.9
+    if name == "outliers":
+        want = brute(np.arange(len(x)), x)
+        assert [v for v, _ in got[0]] == [v for v, _ in want[0]] and [v for v, _ in got[100]] == [v for v, _ in want[100]]
+
+
+def test_an_id_often_beside_a_query(spark):
+    x = np.random.default_rng(6).standard_normal((1000, 8))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, (x[0] + 1e-3 * k).tolist()) for k in range(60)]
+    got = found(ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    assert len(got) == 11 and all(len({v for v, _ in near}) == 10 for near in got.values())
+    assert got[0][0][0] == 5000 and [v for v, _ in got[0][1:]] == [v for v, _ in brute(np.arange(1000), x)[0][:9]]
+
+
+def test_slices_of_queries_meet_all_of_a_group(spark, monkeypatch):
+    x = np.random.default_rng(7).standard_normal((900, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    hashes = ann.Hashes.draw(6, 1.0, 3)
+    whole = found(ann.search(rows, every=3, hashes=hashes))
+    monkeypatch.setattr(ann, "ASKED", 20)
+    assert found(ann.search(rows, every=3, hashes=hashes)) == whole and len(whole) == 300
+
+
+def test_fewer_ids_than_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "EXACT", 0)
+    x = np.random.default_rng(8).standard_normal((400, 4))
+    rows = spark.createDataFrame([(100 * (i % 3), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {q: {v for v, _ in near} for q, near in found(ann.search(rows)).items()} == {0: {100, 200}, 100: {0, 200}, 200: {0, 100}}
