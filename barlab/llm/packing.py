@@ -3,19 +3,20 @@
 Documents become pieces of at most ``CAPACITY`` tokens. How many pieces have each length is a histogram
 of at most ``CAPACITY`` numbers, whatever the number of documents, so the plan is made on it alone:
 
-1. The configuration program (as few patterns of lengths as cover the histogram) is solved by multiplicative
-   weights: prices start in proportion to length and fall as a length is covered; a knapsack dynamic program
-   over the capacity prices patterns, for all lengths at once (the best pattern that holds each length), and
-   those near the best price are used, each step for a share of a length's pieces, in whole numbers.
-2. Where a step places little, the next admits patterns further from the best price and larger shares, so that
-   lengths without a nearly full pattern are covered too. Steps end when nothing is left or nothing more fits,
-   after ``STEPS`` at most. ``plan`` logs the share of the pieces that they placed.
-3. The rest is packed best-fit decreasing by runs of equal pieces in equal sequences: its time depends on the
-   number of lengths, not of pieces. Best-fit decreasing of the whole histogram is made as well and taken
-   if it needs fewer sequences.
-
-The plan (patterns and how often they are used) is broadcast; it has at most some tens of thousands of
-patterns. Pieces of one length are numbered across tasks without gathering them: range partitions count
+1. The configuration program (as few patterns of lengths as cover the histogram, used in any fractions) is
+   solved by multiplicative weights: prices start in proportion to length and fall by a factor as a length is
+   covered; a knapsack dynamic program over the capacity prices patterns, for all lengths at once (the best
+   pattern that holds each length), and those near the best price are used, each step for a share of a length's
+   pieces. Where a step places little, the next admits patterns further from the best price and larger shares.
+2. The solution is rounded: each pattern is used its whole number of times, then once more where its fraction is
+   large and all its pieces are left. What is left is a smaller histogram, and goes through the program again,
+   ``ROUNDS`` times in all.
+3. The rest, fewer pieces than the capacity has lengths on all histograms tried, whatever the number of
+   documents, is packed best-fit decreasing by runs of equal pieces in equal sequences. ``plan`` logs the share of
+   the pieces that the program placed.
+
+The plan (patterns and how often they are used) is broadcast; it has some thousands of patterns, which do
+not grow with the documents. Pieces of one length are numbered across tasks without gathering them: range partitions count
 their own, and prefix sums of these counts say where each partition's numbers start. A piece's number and
 length give its sequence and offset.
 
@@ -42,15 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import durable
+from barlab.llm.common import durable, unused
 
 CAPACITY = 2048
 CLOSING = 0
 #: Cuts of text whose ids a task remembers, the longest of them, and texts encoded together, in characters.
 MEMO, MEMO_CHARS, GROUP = 500_000, 24, 2_000_000
 #: Prices within this share of the best are used at first, for this share of a length's pieces in a step; both grow
-#: to 1, by a factor after each step that places less than a share of all pieces; steps at most.
-NEAR, SHARE, WIDER, LITTLE, STEPS = 0.01, 1 / 12, 1.3, 0.005, 300
+#: to 1, by a factor after each step that places less than a share of all pieces. A covered length's price falls by exp(-RATE).
+NEAR, SHARE, WIDER, LITTLE, RATE = 0.01, 1 / 12, 1.3, 0.005, 0.5
+#: Steps end when less than this share of the pieces is uncovered, after this many at most; solutions that are rounded in turn.
+UNCOVERED, STEPS, ROUNDS = 1e-3, 300, 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -224,40 +227,69 @@ def _patterns(lengths: np.ndarray, first: np.ndarray, capacity: int) -> np.ndarr
     return np.stack(rows, axis=1)
 
 
-def program(counts: np.ndarray, seed: int = 0) -> tuple[Counter[Pattern], np.ndarray]:
-    """Patterns by multiplicative weights, how often each is used, and the histogram of what they leave."""
+def solve(counts: np.ndarray, seed: int = 0) -> dict[Pattern, float]:
+    """How often each pattern is used in a fractional cover of ``counts``, by multiplicative weights."""
     capacity, total = len(counts) - 1, int(counts.sum())
     rng = np.random.default_rng(seed)
-    left, near = counts.copy(), NEAR
-    used: Counter[Pattern] = Counter()
+    left, near = counts.astype(float), NEAR
+    used: dict[Pattern, float] = {}
     for _ in range(STEPS):
-        lengths = np.flatnonzero(left)
-        if not len(lengths):
+        lengths = np.flatnonzero(left > 1e-6 * counts)
+        if left.sum() < UNCOVERED * total or not len(lengths):
             break
         covered = 1 - left[lengths] / counts[lengths]
         prices = np.full(capacity + 1, -np.inf)
         # Jitter chooses among patterns of nearly equal price, so that steps differ; less of it where pieces are short keeps these for later.
         jitter = 1 + 1e-4 * lengths / capacity * rng.random(len(lengths))
-        prices[lengths] = lengths * np.exp(-2 * (covered - covered.mean())) * jitter
+        prices[lengths] = lengths * np.exp(-RATE * (covered - covered.mean())) * jitter
         best, first = price(prices)
         value = prices[lengths] + best[capacity - lengths]
         share = SHARE ** (math.log(near) / math.log(NEAR))
-        budget = np.minimum(left, np.ceil(share * counts).astype(np.int64))
-        placed = 0
+        budget = np.minimum(left, share * counts)
+        placed = 0.0
         for own in _patterns(lengths[value >= (1 - near) * value.max()], first, capacity)[::-1]:
             held = Counter(own[own > 0].tolist())
-            # A length that a pattern holds several times may need more than its share.
-            times = min(min(int(left[n]), max(int(budget[n]), a)) // a if budget[n] > 0 else 0 for n, a in held.items())
-            if times > 0:
-                used[tuple(sorted(held.items(), reverse=True))] += times
+            times = min(budget[n] / a for n, a in held.items())
+            if times > 1e-9:
+                pattern = tuple(sorted(held.items(), reverse=True))
+                used[pattern] = used.get(pattern, 0.0) + times
                 for n, a in held.items():
                     left[n] -= times * a
                     budget[n] -= times * a
                     placed += times * a
         if placed < LITTLE * total:
-            if near >= 1 and not placed:
+            if near >= 1 and placed < 1e-9 * total:
                 break
             near = min(1.0, near * WIDER)
+    return used
+
+
+def rounded(fractional: dict[Pattern, float], counts: np.ndarray) -> tuple[Counter[Pattern], np.ndarray]:
+    """Whole numbers of uses of the patterns, and the histogram of what they leave of ``counts``."""
+    left, used, fractions = counts.copy(), Counter(), []
+
+    def use(pattern: Pattern, times: int) -> None:
+        used[pattern] += times
+        for n, a in pattern:
+            left[n] -= a * times
+
+    for pattern, times in fractional.items():
+        # Rounding errors of the sums must not take more than there is.
+        whole = min(int(times + 1e-9), *(int(left[n]) // a for n, a in pattern))
+        use(pattern, whole)
+        fractions.append((times - whole, pattern))
+    for _, pattern in sorted(fractions, reverse=True):
+        if all(left[n] >= a for n, a in pattern):
+            use(pattern, 1)
+    return +used, left
+
+
+def program(counts: np.ndarray) -> tuple[Counter[Pattern], np.ndarray]:
+    """Patterns of rounded solutions, how often each is used, and the histogram of what they leave."""
+    used, left = Counter(), counts.copy()
+    for k in range(ROUNDS):
+        more, left = rounded(solve(left, k), left)
+        used += more
     return used, left
 
 
@@ -302,11 +334,8 @@ def plan(counts: np.ndarray) -> Counter[Pattern]:
     full = Counter({((capacity, 1),): int(left[capacity])})
     left[capacity] = 0
     used, rest = program(left)
-    used, plain = used + best_fit(rest), best_fit(left)
-    fewer = sum(used.values()) <= sum(plain.values())
-    share = 1 - int(rest.sum()) / max(1, int(left.sum()))
-    logging.getLogger(__name__).info("the program placed %.4f of %d pieces; %s", share, left.sum(), "used" if fewer else "best-fit decreasing needs fewer sequences and is used")
-    return +(full + (used if fewer else plain))
+    logging.getLogger(__name__).info("the program placed %.4f of %d pieces", 1 - int(rest.sum()) / max(1, int(left.sum())), left.sum())
+    return +(full + used + best_fit(rest))
 
 
 # ---------------------------------------------------------------- the plan applied
@@ -342,10 +371,11 @@ class Slots:
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows``, pieces with a ``length`` of at most ``capacity``, with sequence_id and offset."""
-    spread = durable(rows.repartitionByRange("length", F.xxhash64(*rows.columns)).withColumn("_part", F.spark_partition_id()))
-    histogram = spread.groupBy("_part", "length").count()
+    number = unused(rows, "part")
+    spread = durable(rows.repartitionByRange("length", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).withColumn(number, F.spark_partition_id()))
+    histogram = spread.groupBy(F.col(number).alias("part"), "length").agg(F.count("*").alias("n"))
     # A range partition holds few lengths: this has at most a row for each partition and each length.
-    counted = [(r["_part"], r["length"], r["count"]) for r in histogram.collect()]
+    counted = [(r["part"], r["length"], r["n"]) for r in histogram.collect()]
     counts = np.zeros(capacity + 1, np.int64)
     first: dict[tuple[int, int], int] = {}
     for part, length, n in sorted(counted):
@@ -358,17 +388,17 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         slots, first = shared.value
         done: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            length, part = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_part"))
+            length, part = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", number))
             sequence, offset = np.empty((2, len(length)), np.int64)
             for key in np.unique(np.stack([part, length], axis=1), axis=0).tolist():
                 key = tuple(key)
                 at = np.flatnonzero((part == key[0]) & (length == key[1]))
                 sequence[at], offset[at] = slots.place(key[1], first[key] + done[key] + np.arange(len(at)))
                 done[key] += len(at)
-            kept = [name for name in batch.schema.names if name != "_part"]
+            kept = [name for name in batch.schema.names if name != number]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
     return spread.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 

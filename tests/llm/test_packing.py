@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
@@ -87,6 +88,46 @@ def test_the_program_places_nearly_all_pieces(name, least):
     assert (held == counts).all() and (left >= 0).all() and share >= least
 
 
+def histogram(name):
+    counts = np.bincount(SIZES[name], minlength=2049)
+    counts[2048] = 0
+    return counts
+
+
+@pytest.fixture(scope="session")
+def corpus():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    lengths = [n for raw in packing.encoder(PATH)(t or "" for t in texts) for n in packing.cut_lengths(len(raw) // 4 + 1)]
+    counts = np.bincount(lengths, minlength=2049)
+    counts[2048] = 0
+    return counts
+
+
+@pytest.mark.parametrize("times", [1, 10, 100])
+@pytest.mark.parametrize("name", ["corpus", *SIZES])
+def test_the_program_packs_all_but_a_bounded_rest(name, times, request):
+    counts = times * (request.getfixturevalue("corpus") if name == "corpus" else histogram(name))
+    used, left = packing.program(counts)
+    share = 1 - left.sum() / counts.sum()
+    print(f"{name} times {times}: {share:.4f} of {counts.sum()} pieces, {left.sum()} left")
+    assert share >= (0.95 if times > 1 else 0.9) and left.sum() <= 2048 and (left >= 0).all()
+    held = left.copy()
+    for pattern, n in used.items():
+        for k, a in pattern:
+            held[k] += a * n
+    assert (held == counts).all()
+    sequences = sum(packing.plan(counts).values())
+    # Where more than two of a length never share a sequence with room to spare, volume alone is no bound.
+    least = max(-(-int((counts * np.arange(2049)).sum()) // 2048), int(counts[1025:].sum()))
+    assert sequences <= (1.01 * least + 1 if name != "thirds" else 1.002 * sum(packing.best_fit(counts).values()))
+
+
+def test_rounding_uses_whole_numbers_and_fills_up():
+    counts = np.array([0, 3, 2, 0, 0])
+    used, left = packing.rounded({((2, 1), (1, 2)): 1.6, ((2, 2),): 0.2}, counts)
+    assert used == Counter({((2, 1), (1, 2)): 1}) and left.tolist() == [0, 1, 1, 0, 0]
+
+
 def best_fit_by_piece(counts):
     capacity, rooms = len(counts) - 1, []
     for k in np.flatnonzero(counts)[::-1].tolist():
@@ -145,6 +186,13 @@ def check(rows, want):
     return len(places)
 
 
+def test_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k % 40 + 1, k, "x", k) for k in range(300)], "length long, part long, `a b` string, part_ int")
+    got = packing.pack(rows).collect()
+    assert sorted((r.length, r.part, r["a b"], r.part_) for r in got) == sorted((k % 40 + 1, k, "x", k) for k in range(300))
+    assert len({(r.sequence_id, r.offset) for r in got}) == 300
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {r.doc_id: [np.append(ids(r.text), 0).astype("<u4")] for r in docs.collect()}
