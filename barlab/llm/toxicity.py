@@ -9,14 +9,15 @@ of each bucket compares its document counts among toxic (p) and other (q) texts.
 differ by over ``Z_MIN`` standard errors enter, scaled by r, a logistic regression with an L2 penalty.
 
 Training reads a bounded sample: at most about ``MAX_LABELLED`` labelled rows, chosen by a hash of the
-id; only ids and labels of that sample are broadcast. Counts, tests and the choice of features are Spark
+id, each id once (with the least of its texts); only ids and labels of that sample are broadcast. Documents
+are scanned by as many tasks as they have partitions; only the sample is shuffled. Counts, tests and the choice of features are Spark
 aggregates; the sample's rows come to the driver as the few selected features that they hold. Scoring
 covers every whole text, in tasks, without a shuffle.
 
 Null and empty texts score like a text without features. Labels of a repeated id count as toxic if any
 does; null labels and labels without a text are ignored. Without both classes among the labels, the
-score is the smoothed share of toxic labels for every text. An empty table gives an empty result;
-repeated rows are scored alike; further columns are ignored by ``scores`` and kept by ``reject``.
+score is the smoothed share of toxic labels for every text; likewise where no bucket differs enough. Such a
+model tells no texts apart, so ``reject`` rejects nothing by it. An empty table gives an empty result; repeated rows are scored alike; further columns are ignored by ``scores`` and kept by ``reject``.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ MAX_LABELLED = 20_000
 MAX_FEATURES = 1 << 12
 Z_MIN = 4.0
 #: Partitions of the sample.
-TASKS = 8
+TASKS = 16
 #: Characters hashed at once.
 CHUNK = 200_000
 
@@ -126,7 +127,9 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, id_col
     share = min(1.0, bound / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
     # Broadcast: some `bound` rows of an id and a label, whatever the input's size.
-    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("label", F.col(text_col).alias("text"))
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
+    # An id that many rows carry comes once, so the bound holds for rows; within a task first, so it is not shuffled.
+    return rows.groupBy(id_col).agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 def select_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -175,7 +178,7 @@ def _descend(indptr: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.n
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, l2: float = 1e-3, steps: int = 120, **columns: str) -> Model:
     """The classifier, from a bounded sample of the labelled documents that are not held out."""
-    rows = durable(sample(docs, labels, bound, **columns).coalesce(TASKS))
+    rows = durable(sample(docs, labels, bound, **columns).repartition(TASKS))
     chosen, ratio, n1, n0 = select_buckets(rows)
     if not len(chosen):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))))
@@ -212,7 +215,9 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score is at least ``threshold``."""
+    """``docs`` without the rows whose score is at least ``threshold``; all of them where the model has no features."""
+    if not len(model.buckets):
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
