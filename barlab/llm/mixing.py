@@ -5,24 +5,30 @@ A document's size is its number of words. Sources, by code point with null last,
 and the excess goes to the others by weight until none is above (the level is found in closed form from
 prefix sums over the sources sorted by cap per weight).
 
-Within a source the documents lie in the order of a hash. The source's demand grows over training time t
-from 0 to 1 as the integral of its schedule, ``target * (1 + drift * (2 t - 1))``; inverting it at a
+Within a source the documents lie in the order of a hash of id and text. The source's demand grows over training
+time t from 0 to 1 as the integral of its schedule, ``target * (1 + drift * (2 t - 1))``; inverting it at a
 document's place gives its training position, once for each pass over the source. Copies are then
 range-sorted by position. The last document that a source needs is taken in part, so taken words equal
 the target rounded to whole words.
 
-A source may hold any share of the rows: places are prefix sums in two levels, over buckets of the hash
-within a source and over rows within a bucket, and every shuffle is by source and bucket or by position.
-Only the table of sources, a row each, is brought into one task.
+A source may hold any share of the rows, and so may an id: places are prefix sums in two levels, over buckets of the
+hash within a source and over rows within a bucket, and every shuffle is by source and bucket or by position.
+Sizes are counted once, on ids and sizes alone, for the sums over buckets; ``curriculum`` then moves texts
+twice, to their bucket and to their range of positions. The bounds of these ranges follow from the demand of all
+sources, which is a polynomial of t, so no rows are sampled for them. Two limits: only the table of sources, a row
+each, is brought into one task (10 million sources are some 0.5 GB there, sorted with spilling), and rows that
+agree in both id and text share a bucket.
 
 Null texts have size 0, and so do empty ones; they are never taken, and a source without words has target
-0. Rows that share a doc_id are dealt in the order of a hash of their other columns; repeated rows count
-each. An empty table gives an empty result. Further columns are ignored by ``mixture`` and kept by
-``curriculum``, whatever their names.
+0. Rows that share id and text are dealt in the order of a hash of their other columns; repeated rows count
+each. Very long texts are counted and cut whole. An empty table gives an empty result. Further columns are ignored
+by ``mixture`` and kept by ``curriculum``, whatever their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +38,9 @@ from barlab.llm.common import SPACES, WORD, durable
 WEIGHTS = (5, 2, 1)
 DRIFTS = (-0.5, 0.0, 0.5)
 EPOCHS = 3
-#: Rows of a bucket of the hash within the largest source, about.
-BUCKET = 1024
+#: Rows of a bucket of the hash within the largest source, about; words of a partition of ``curriculum``, about.
+BUCKET, PART_WORDS = 256, 1 << 23
+
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -57,24 +64,43 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, drifts: tuple
     return t.withColumn("goal", F.round("target").cast("long")).select("source_key", "source_size", "target", "goal", "drift")
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, once) -> DataFrame:
-    """Rows of ``docs`` as one column ``doc``, with size, source_size, target, goal, drift and the place before each."""
+def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` as one column ``doc``, with source_key, size and key, the hash that orders a source."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     field = F.col("doc").getField
-    key = F.md5(F.coalesce(field(id_col).cast("string"), F.lit("")).cast("binary"))
+    text = F.coalesce(field(text_col), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.coalesce(field(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
     source_key = F.coalesce(F.concat(F.lit("s"), field(source_col).cast("string")), F.lit("n"))
-    rows = once(rows.withColumns({"source_key": source_key, "size": words(field(text_col)), "key": key, "tie": F.xxhash64("doc")}))
-    totals = durable(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("source", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 1 << 30))))
+    return rows.select("doc", source_key.alias("source_key"), words(field(text_col)).alias("size"), key.alias("key"))
+
+
+@dataclass(frozen=True)
+class _Sums:
+    """``bits``: of the hash that name a bucket; ``offsets``: per source and bucket, the words before it and the source's target."""
+
+    bits: int
+    offsets: DataFrame
+
+    def bucket(self) -> Column:
+        """The leading bits of the hash, so that buckets follow its order."""
+        return F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - self.bits)
+
+
+def _sums(slim: DataFrame, epochs: int) -> _Sums:
+    totals = durable(slim.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("source", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 1 << 30))))
     most = totals.agg(F.max("n")).first()[0] or 0
-    bits = min(32, max(0, (most - 1) // BUCKET).bit_length())
-    # The leading bits of the hash, so that buckets follow its order.
-    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
-    sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("own"))
+    sums = _Sums(min(32, max(0, (most - 1) // BUCKET).bit_length()), totals)
+    own = slim.groupBy("source_key", sums.bucket().alias("bucket")).agg(F.sum("size").alias("own"))
     earlier = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.withColumn("base", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(targets(totals), "source_key")
-    offsets = durable(offsets.drop("own"))
+    offsets = own.withColumn("base", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(targets(totals, epochs=epochs), "source_key")
+    return replace(sums, offsets=durable(offsets.drop("own")))
+
+
+def _placed(rows: DataFrame, sums: _Sums, id_col: str) -> DataFrame:
+    """``rows`` with source_size, target, goal, drift and the place before each."""
+    rows = rows.withColumn("bucket", sums.bucket()).withColumn("tie", F.xxhash64("doc"))
     inside = W.partitionBy("source_key", "bucket").orderBy("key", F.col("doc").getField(id_col), "tie").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("place", F.sum("size").over(inside) - F.col("size")).join(offsets, ["source_key", "bucket"])
+    rows = rows.withColumn("place", F.sum("size").over(inside) - F.col("size")).join(sums.offsets, ["source_key", "bucket"])
     return rows.withColumn("place", F.col("place") + F.col("base"))
 
 
@@ -95,8 +121,9 @@ def _position(copy: Column | int) -> Column:
 def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", epochs: int = EPOCHS) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and position, its first place in training in parts of 10**9 (null if not taken)."""
     # Only the id and what is computed from the text are kept and moved.
-    keep = lambda df: durable(df.withColumn("doc", F.struct(F.col("doc").getField(id_col).alias(id_col))))
-    rows = _placed(docs.select(id_col, source_col, text_col), id_col, source_col, text_col, keep)
+    rows = _keyed(docs.select(id_col, source_col, text_col), id_col, source_col, text_col)
+    rows = durable(rows.withColumn("doc", F.struct(F.col("doc").getField(id_col).alias(id_col))))
+    rows = _placed(rows, _sums(rows, epochs), id_col)
     taken = sum((_taken(k) for k in range(1, epochs)), _taken(0))
     rows = rows.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, F.floor(_position(0) * 1e9)))
     out = rows.select(F.col("doc").getField(id_col).alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", "position")
@@ -111,13 +138,21 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     Of a document taken in part, the text holds the words taken. ``length_col``: a column that holds the
     texts' numbers of characters, to be kept right.
     """
-    rows = _placed(docs, id_col, source_col, text_col, lambda df: df)
+    rows = _keyed(docs, id_col, source_col, text_col)
+    sums = _sums(durable(rows.drop("doc")), epochs)
+    sources = sums.offsets.select("source_key", "goal", "drift").distinct()
+    demand, bend = (x or 0 for x in sources.agg(F.sum("goal"), F.sum(F.col("goal") * F.col("drift"))).first())
+    rows = _placed(rows, sums, id_col)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("taken", _taken(F.col("copy"))).where("taken > 0")
     text = F.col("doc").getField(text_col)
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACES + WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), "")
     read = F.when(F.col("taken") < F.col("size"), cut).otherwise(text).cast(docs.schema[text_col].dataType)
     rows = rows.withColumn("at", _position(F.col("copy"))).select("at", F.col("doc").getField(id_col).alias("id"), "doc", read.alias("read"))
-    rows = rows.repartitionByRange("at", "id").sortWithinPartitions("at", "id")
+    # The share of all demand that is met by then, in equal parts.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-demand // PART_WORDS))
+    met = (F.col("at") * demand + (F.col("at") * F.col("at") - F.col("at")) * float(bend)) / max(1, demand)
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(met * parts))).cast("int")
+    rows = rows.repartitionById(parts, part).sortWithinPartitions("at", "id")
     own = {text_col: F.col("read")}
     if length_col is not None:
         own[length_col] = F.char_length("read").cast(docs.schema[length_col].dataType)
@@ -126,7 +161,8 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 
 #: ``mixture`` over the table documents.
 SQL = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '')) as key from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+  md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select *, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, [-0.5::double, 0::double, 0.5::double][1 + (row_number() over (order by source nulls last) - 1) % 3] as drift from s),
 r as (select *, 3 * source_size as cap, 3 * source_size / weight as ratio from w),

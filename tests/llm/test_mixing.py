@@ -77,6 +77,42 @@ def test_drift_moves_sources_in_time(spark):
     assert share("a") > 0.5 > share("c")
 
 
+def test_partitions_follow_each_other_in_training_time(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 4000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    position = {r.doc_id: r.position for r in mixing.mixture(docs).where("taken > 0").collect()}
+    out = mixing.curriculum(docs).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in out}) > 8 and [r.part for r in out] == sorted(r.part for r in out)
+    # The first pass over a source comes in the order of ``position``, whatever partition it lies in.
+    first = {}
+    for at, r in enumerate(out):
+        first.setdefault(r.doc_id, at)
+    assert sorted(first, key=first.get) == [d for d in sorted(first, key=first.get) if d in position]
+    by_source = defaultdict(list)
+    for r in docs.collect():
+        if r.doc_id in first:
+            by_source[r.source].append((position[r.doc_id], first[r.doc_id]))
+    for own in by_source.values():
+        assert [at for _, at in sorted(own)] == sorted(at for _, at in own)
+
+
+def test_an_id_of_many_rows_is_dealt_over_buckets(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") < 3000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("w "), "id").alias("text"), F.lit("a").alias("source"))
+    rows = mixing._keyed(docs, "doc_id", "source", "text")
+    most = rows.groupBy(mixing._sums(rows, 3).bucket()).count().agg(F.max("count")).first()[0]
+    assert most < 2 * mixing.BUCKET
+    assert [r.taken for r in mixing.mixture(docs).collect()] == [2] * 4000
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 2_000_000, "a"), (2, "w", "a"), (3, "x y", "b")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.mixture(docs).collect()}
+    want = brute_targets({"a": 2_000_001, "b": 2})
+    assert rows[1].size == 2_000_000 and rows[1].target == pytest.approx(want["a"]) and rows[3].taken == 6
+    taken = sum(size(r.text) for r in mixing.curriculum(docs).collect() if r.source == "a")
+    assert taken == rows[1].taken + rows[2].taken == round(want["a"])
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, "a", 1), (None, "x y", None, 2), (3, "", "a", 3), (4, "p q r", "a", 4), (4, "p q r", "a", 4), (4, "z", "a", 4)], "doc_id long, text string, source string, size int")
     rows = mixing.mixture(docs).collect()
