@@ -82,3 +82,44 @@ def test_all_tokens_are_packed(stages):
 def test_registered_and_whole(spark, sf_dir):
     assert __spark_entry__.queries()["pipeline"] and corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def through(spark, docs, labels, folder):
+    """The tables after each stage, as ``run`` makes them of tables in a folder."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    kept = [spark.read.parquet(f"{folder}/documents.parquet")]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, kept[-1], str(folder)).write.parquet(f"{folder}/{k}")
+        kept.append(spark.read.parquet(f"{folder}/{k}"))
+    return kept
+
+
+def test_empty_tables(spark, sf_dir, tmp_path):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0) for t in ("documents", "labels"))
+    kept = through(spark, docs, labels, tmp_path)
+    assert [df.count() for df in kept] == [0] * 6 and all(sorted(df.columns) == sorted(docs.columns) for df in kept[:-1])
+
+
+@pytest.mark.parametrize("case", ["no labels", "null ids", "clashing names"])
+def test_nothing_is_lost_in_silence(spark, sf_dir, tmp_path, case):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    more = ("row_key", "part", "at", "toxic", "label", "doc", "size", "fp", "copy", "taken", "h", "length")
+    if case == "no labels":
+        labels = labels.limit(0)
+    elif case == "null ids":
+        docs = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    else:
+        docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in more})
+    kept = through(spark, docs, labels, tmp_path)
+    n = [df.count() for df in kept]
+    if case != "clashing names":
+        # No label matches, so no document is rejected.
+        assert n[1] == n[0]
+    assert n[0] >= n[1] > 0 and 0 < n[2] <= n[1] and n[3] == n[2] and n[4] > 0 and n[5] >= n[4]
+    texts = lambda df: {r.text for r in df.select("text").collect()}
+    assert texts(kept[2]) <= texts(kept[1]) and sorted(kept[4].columns) == sorted(docs.columns)
+    components = brute_components([(k, simhash._signed(brute_print(r.text))) for k, r in enumerate(kept[1].collect())])
+    assert n[2] == len(set(components.values()))
+    if case == "clashing names":
+        assert all(r[c] == f"{c}{r.doc_id}" for r in kept[4].collect() for c in more)
