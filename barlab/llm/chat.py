@@ -13,10 +13,12 @@ Read as text, reserved ids stand for their control strings, as in
 so control strings inside a text, and backslashes, get a backslash in front before encoding; taking one
 away again restores the text.
 
-Formatting is by row, in any partition. Reading back goes through each conversation in the order of turn
-(nulls first), then role and a hash of the text: conversations are dealt by a hash of their id, sorted within tasks and
-read as a stream, so memory holds one batch whatever a conversation's length. A digest over a whole
-conversation is sequential by nature; all else has been done by then.
+Formatting and reading back are by row, in any partition; only roles, texts and what is under the mask where it is not
+the text are shuffled. The digests then go through each conversation in the order of turn (nulls first), then role and a
+hash of the text: conversations are dealt by a hash of their id, sorted within tasks and read as a stream, so
+memory holds one batch whatever a conversation's length. A digest over a whole conversation is sequential by
+nature, so a conversation of a third of all rows is one task that hashes, at some hundred MB a second, what others
+have read back.
 
 Null roles and texts are empty. Rows with a null conv_id are one conversation. Repeated rows are turns
 each; an empty table gives an empty result; further columns are ignored.
@@ -134,6 +136,26 @@ def format_turns(conversations: DataFrame, path: str, loss_roles: tuple[str, ...
     return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, loss array<boolean>")
 
 
+TURNS = "conv_id long, turn long, role string, text string, under string, chars long"
+
+
+def read_turns(formatted: DataFrame, path: str) -> DataFrame:
+    """Per row of ``format_turns``, read back from its ids and mask: role, text, ``under`` (the text under the mask; null if it is the text) and formatted characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        template = Template(path)
+        for batch in batches:
+            rows = []
+            for conv_id, turn, ids, loss in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                for role, text, under, chars in template.read(ids.values.to_numpy(), loss.values.to_numpy(zero_copy_only=False)):
+                    rows.append((conv_id, turn, role, text, None if under == text else under, chars))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "turn", "role", "text", "under", "chars"])
+
+    return formatted.select("conv_id", "turn", "ids", "loss").mapInArrow(run, TURNS)
+
+
 class _Digest:
     def __init__(self):
         self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
@@ -157,24 +179,24 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, now, digest = Template(path), None, None
+        now, digest = None, None
         for batch in batches:
             done = []
-            for conv_id, ids, loss in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for conv_id, *turn in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if digest is None or conv_id != now:
                     if digest is not None:
                         done.append(digest.row(now))
                     now, digest = conv_id, _Digest()
-                for turn in template.read(ids.values.to_numpy(), loss.values.to_numpy(zero_copy_only=False)):
-                    digest.add(*turn)
+                role, text, under, chars = turn
+                digest.add(role, text, text if under is None else under, chars)
             if done:
                 yield batch_of(done)
         if digest is not None:
             yield batch_of([digest.row(now)])
 
-    slim = formatted.select("conv_id", "turn", "role", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tie"), "ids", "loss")
-    spread = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
-    return spread.select("conv_id", "ids", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    turns = read_turns(formatted, path).repartition("conv_id").withColumn("tie", F.unhex(F.md5(F.col("text").cast("binary"))))
+    spread = turns.sortWithinPartitions("conv_id", "turn", "role", "tie")
+    return spread.select("conv_id", "role", "text", "under", "chars").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _COUNTS = " + ".join(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in ("\\", *CONTROLS))
