@@ -1,14 +1,14 @@
 """Media columns as MPEG transport streams: multiplexing, and reading back.
 
 A payload becomes elementary-stream packets (PES) of at most ``FRAME`` bytes on one PID. Each has a
-presentation time on the 90 kHz clock and a header that says its length; every ``GROUP``-th starts a
-random-access point, marked in the adaptation field. Packets of 188 bytes carry continuity counters; a
+presentation time on the 90 kHz clock and a header that says its length; the adaptation field of its first
+packet carries the program clock, and every ``GROUP``-th starts a random-access point, marked there. Packets of 188 bytes carry continuity counters; a
 program association table and a program map table, with their CRCs, come first. The last packet of a
 frame is filled up by adaptation-field stuffing, so the payload comes back to the byte.
 
 Reading parses the tables to find the stream's PID, checks sync bytes, table CRCs and continuity
-counters, reassembles elementary packets and collects times and random-access points; what is damaged
-raises ``ValueError``. Both directions work on arrays of packets, not packet by packet.
+counters, reassembles elementary packets and collects clocks, times and random-access points, which
+``describe`` stores in the columns ``times`` and ``access``; what is damaged raises ``ValueError``. Both directions work on arrays of packets, not packet by packet.
 
 Spark deals the rows over tasks and nothing is shuffled; streams are kept as binary rows of a Parquet
 table in the shared folder. Null and empty texts are payloads of 64 zero
@@ -79,34 +79,36 @@ def _stamp(ticks: int) -> bytes:
     return bytes([0x21 | (ticks >> 29 & 0x0E), ticks >> 22 & 255, (ticks >> 14 & 254) | 1, ticks >> 7 & 255, (ticks << 1 & 254) | 1])
 
 
+def _clock(ticks: int) -> bytes:
+    """A program clock reference: the 90 kHz clock, six reserved bits, an extension of 0."""
+    return (ticks << 15 | 0x7E00).to_bytes(6, "big")
+
+
 def mux(payload: bytes) -> bytes:
     """The transport stream of ``payload``."""
     out = [_TABLES]
     counter = 0
     for k in range(-(-len(payload) // FRAME)):
         data = payload[k * FRAME : (k + 1) * FRAME]
-        length = len(data) + _PES_HEADER - 6
-        pes = b"\0\0\1" + bytes([STREAM_ID]) + length.to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(k * TICKS & (1 << 33) - 1) + data
-        access = 2 * (k % GROUP == 0)  # bytes of adaptation field in the first packet
-        n = -(-(len(pes) + access) // (PACKET - 4))
-        stuffing = n * (PACKET - 4) - len(pes) - access  # all in the last packet
+        length, ticks = len(data) + _PES_HEADER - 6, k * TICKS & (1 << 33) - 1
+        pes = b"\0\0\1" + bytes([STREAM_ID]) + length.to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(ticks) + data
+        field = bytes([0x10 | 0x40 * (k % GROUP == 0)]) + _clock(ticks)  # of the first packet, without its length
+        n = -(-(len(pes) + 1 + len(field)) // (PACKET - 4))
+        stuffing = n * (PACKET - 4) - len(pes) - 1 - len(field)  # all in the last packet
         rows = np.empty((n, PACKET), np.uint8)
         rows[:, 0], rows[:, 1], rows[:, 2] = SYNC, STREAM_PID >> 8, STREAM_PID & 255
         rows[:, 3] = 0x10 | (counter + np.arange(n) & 15)
         rows[0, 1] |= 0x40
+        rows[0, 3] |= 0x20
         counter += n
         body = np.frombuffer(pes, np.uint8)
-        first = b""
-        if access:
-            rows[0, 3] |= 0x20
-            first = b"\x01\x40"
         last = b""
-        if stuffing:
+        if n == 1:
+            field += b"\xff" * stuffing
+        elif stuffing:
             last = bytes([stuffing - 1]) + (b"\x00" + b"\xff" * (stuffing - 2) if stuffing > 1 else b"")
-            if n == 1 and access:
-                first, last = bytes([1 + stuffing, 0x40]) + b"\xff" * stuffing, b""
-            else:
-                rows[-1, 3] |= 0x20
+            rows[-1, 3] |= 0x20
+        first = bytes([len(field)]) + field
         flat = np.concatenate([np.frombuffer(first, np.uint8), body])
         if last:
             at = (n - 1) * (PACKET - 4)
@@ -122,6 +124,7 @@ class Stream:
     pid: int
     times: list[int]  # of each elementary packet
     access: list[int]  # numbers of the elementary packets that start random-access points
+    clocks: list[int]  # the program clock's references, in 27 MHz
 
     def feature(self) -> str:
         """What describes the stream: its PID, elementary packets, random-access points, last time and sum of bytes."""
@@ -153,6 +156,7 @@ def demux(stream: bytes) -> Stream:
     programs = _sections(rows, pid, PAT_PID)
     entries = [(int.from_bytes(programs[i : i + 2], "big"), int.from_bytes(programs[i + 2 : i + 4], "big") & 0x1FFF) for i in range(0, len(programs), 4)]
     mapping = _sections(rows, pid, next(p for n, p in entries if n))
+    clock_pid = int.from_bytes(mapping[:2], "big") & 0x1FFF
     skip = 4 + (int.from_bytes(mapping[2:4], "big") & 0xFFF)
     wanted = int.from_bytes(mapping[skip + 1 : skip + 3], "big") & 0x1FFF
 
@@ -178,10 +182,12 @@ def demux(stream: bytes) -> Stream:
         times.append((t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1)
         parts.append(pes[9 + pes[8] :])
     number = np.cumsum(begins) - 1
-    return Stream(b"".join(parts), wanted, times, number[points].tolist())
+    clocked = rows[(pid == clock_pid) & (rows[:, 3] & 0x20 > 0) & (rows[:, 4] > 6) & (rows[:, 5] & 0x10 > 0)]
+    clocks = [(v >> 15) * 300 + (v & 0x1FF) for v in (int.from_bytes(r[6:12].tobytes(), "big") for r in clocked)]
+    return Stream(b"".join(parts), wanted, times, number[points].tolist(), clocks)
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<long>, access array<int>"
 
 
 def pad(data: bytes) -> bytes:
@@ -210,11 +216,11 @@ def describe(stored: DataFrame) -> DataFrame:
             for m in batch.column(2):
                 raw = m.as_buffer().to_pybytes()
                 s = demux(raw)
-                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), s.feature()))
+                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), s.feature(), s.times, s.access))
             if rows:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "access"])
 
     return stored.mapInArrow(run, SCHEMA)
 

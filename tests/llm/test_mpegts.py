@@ -16,6 +16,7 @@ def test_round_trip(n):
     frames = -(-n // mpegts.FRAME)
     assert read.payload == payload and read.pid == mpegts.STREAM_PID
     assert read.times == [k * mpegts.TICKS for k in range(frames)] and read.access == list(range(0, frames, mpegts.GROUP))
+    assert read.clocks == [300 * t for t in read.times]
 
 
 def test_every_padded_length_comes_back():
@@ -30,7 +31,8 @@ def test_the_headers_by_the_book():
     assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
     assert s[188:193].hex() == "4750001000"
     p = s[376:]
-    assert len(p) == 188 and p[:4].hex() == "47410130" and p[5] == 0x40
+    assert len(p) == 188 and p[:4].hex() == "47410130" and p[5] == 0x50 and p[6:12].hex() == "000000007e00"
+    assert mpegts._clock((1 << 33) - 1).hex() == "ffffffff" + "fe00"
     pes = p[5 + p[4] :]
     assert pes[:9].hex() == "000001bd" + "0048" + "848005" and pes[9:14].hex() == "2100010001" and pes[14:] == b"A" * 64
 
@@ -59,6 +61,8 @@ def test_documents(spark, sf_dir):
         r = got[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(m := mpegts.mux(payload)), hashlib.sha256(m).hexdigest())
+        frames = -(-len(payload) // mpegts.FRAME)
+        assert r.times == [k * mpegts.TICKS for k in range(frames)] and r.access == list(range(0, frames, mpegts.GROUP))
 
 
 def test_nulls_repeats_and_empty_tables(spark):
