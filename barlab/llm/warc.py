@@ -6,13 +6,15 @@ are compressed one by one and laid end to end in a member of a ZIP archive; anot
 page, offset and length. Members are stored, not compressed, so a record is a range of the archive.
 
 Reading takes only ranges of an archive: the end of central directory (with its ZIP64 form), the central
-directory, the members' local headers, the index, and then each record by its range. Digests and lengths
-of payloads are checked against the records' headers.
+directory, the members' local headers, the index, and then records by their ranges: one by one where some pages are
+wanted, neighbours together up to ``SPAN`` bytes where all are. Digests and lengths of payloads are checked
+against the records' headers.
 
 Pages with equal payloads are found by a shuffle on the payload's SHA-1: the smallest page_id of each is
 a partial aggregate, joined back; a payload that a third of the pages share is an ordinary skewed join,
-which Spark splits. A task writes archives of about ``ARCHIVE`` bytes; they are kept as binary rows of a
-Parquet table in the shared folder, so any executor can read any archive.
+which Spark splits. A task streams its records into archive files of about ``ARCHIVE`` bytes in the shared folder
+(any that pyarrow can open: a path or the address of a file, S3, GCS or HDFS folder), under names of its own, and
+returns their list, which is kept; files of lost attempts are in no list. So any executor can read any archive.
 
 Null html is an empty payload. Pages of a null page_id revisit others but are never revisited; all pages
 that carry the smallest page_id of a payload are responses, so repeated rows are. An empty table gives an
@@ -24,21 +26,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import os
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import scratch
+from barlab.llm.common import durable, scratch
 
-#: Bytes of records in an archive, about.
-ARCHIVE = 8 << 20
+#: Bytes of records in an archive, about; of neighbouring records that are read at once.
+ARCHIVE, SPAN = 256 << 20, 1 << 20
 LEAST = 0
 DATE = "2024-01-01T00:00:00Z"
 RECORDS, INDEX = "archive/records.warc.gz", "indexes/index.cdx"
@@ -111,13 +118,23 @@ def parse(raw: bytes) -> Record:
 # ---------------------------------------------------------------- ZIP packages
 
 
-def package(records: bytes, index: list[tuple[int | None, int, int]]) -> bytes:
-    """An archive of ``records`` and of its index (page_id, offset, length)."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        z.writestr(zipfile.ZipInfo(RECORDS), records)
-        z.writestr(zipfile.ZipInfo(INDEX), "".join(f"{'-' if p is None else p} {a} {n}\n" for p, a, n in index))
-    return out.getvalue()
+class Package:
+    """An archive written to ``stream``: records as they come, then their index (page_id, offset, length)."""
+
+    def __init__(self, stream: BinaryIO):
+        self.size, self.index = 0, io.BytesIO()
+        self.zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
+        self.records = self.zip.open(zipfile.ZipInfo(RECORDS), "w", force_zip64=True)
+
+    def add(self, page_id: int | None, raw: bytes) -> None:
+        self.records.write(raw)
+        self.index.write(f"{'-' if page_id is None else page_id} {self.size} {len(raw)}\n".encode())
+        self.size += len(raw)
+
+    def close(self) -> None:
+        self.records.close()
+        self.zip.writestr(zipfile.ZipInfo(INDEX), self.index.getvalue())
+        self.zip.close()
 
 
 @dataclass(frozen=True)
@@ -130,8 +147,11 @@ class Member:
 
 def directory(read: Range, size: int) -> list[Member]:
     """Members of the archive of ``size`` bytes, by its central directory, in ZIP64 form where it is so."""
-    at = max(0, size - 22 - 0xFFFF)
+    at = max(0, size - 22)
     tail = read(at, size - at)
+    if not (tail.startswith(b"PK\x05\x06") and tail.endswith(b"\0\0")):
+        at = max(0, size - 22 - 0xFFFF)  # there may be a comment behind
+        tail = read(at, size - at)
     end = tail.rfind(b"PK\x05\x06")
     while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\x05\x06", 0, end)
@@ -175,13 +195,29 @@ def locate(read: Range, member: Member) -> int:
     return member.start + 30 + sum(struct.unpack_from("<HH", head, 26))
 
 
-def read_records(read: Range, size: int) -> Iterator[Record]:
-    """All records of an archive, each by its range."""
+def read_records(read: Range, size: int, pages: set[int | None] | None = None, span: int = 0) -> Iterator[Record]:
+    """Records of an archive by their ranges: all, or those of ``pages``; neighbours of up to ``span`` bytes together."""
     members = {m.name: m for m in directory(read, size)}
     base = locate(read, members[RECORDS])
+    held: list[tuple[int, int]] = []
+
+    def taken() -> Iterator[Record]:
+        if held:
+            first, last = held[0][0], sum(held[-1])
+            data = read(base + first, last - first)
+            for offset, length in held:
+                yield parse(zlib.decompress(data[offset - first : offset - first + length], wbits=31))
+            held.clear()
+
     for line in read(locate(read, members[INDEX]), members[INDEX].size).decode().splitlines():
-        _, offset, length = line.split(" ")
-        yield parse(zlib.decompress(read(base + int(offset), int(length)), wbits=31))
+        page, *where = line.split(" ")
+        offset, length = map(int, where)
+        if pages is not None and (None if page == "-" else int(page)) not in pages:
+            continue
+        if held and (sum(held[-1]) != offset or offset + length - held[0][0] > span):
+            yield from taken()
+        held.append((offset, length))
+    yield from taken()
 
 
 def gzipped(data: bytes) -> bytes:
@@ -201,55 +237,66 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.join(first, "sha1", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
-def archives(rows: DataFrame, size: int = ARCHIVE) -> DataFrame:
-    """ZIP packages of the records of ``rows``: (archive, n_records, data)."""
+def _storage(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's address, and its path there."""
+    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", folder) if "://" in folder else f"file://{os.path.abspath(folder.removeprefix('file:'))}")
+
+
+def archives(rows: DataFrame, folder: str, size: int | None = None) -> DataFrame:
+    """Writes ZIP packages of the records of ``rows`` to ``folder`` and lists them: (archive, n_records, bytes)."""
+    limit = ARCHIVE if size is None else size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, index = [], 0, []
+        storage, path = _storage(folder)
+        storage.create_dir(path, recursive=True)
+        name, stream, package, n = "", None, None, 0
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if index:
-                data = package(b"".join(held), index)
-                yield pa.RecordBatch.from_pydict({"archive": [hashlib.sha256(data).hexdigest()], "n_records": [len(index)], "data": pa.array([data], pa.binary())})
-                held.clear()
-                index.clear()
+        def close() -> pa.RecordBatch:
+            package.close()
+            written = stream.tell()
+            stream.close()
+            return pa.RecordBatch.from_pydict({"archive": [name], "n_records": [n], "bytes": [written]})
 
         for batch in batches:
             for page, url, html, refers in zip(*(batch.column(k) for k in range(4)), strict=True):
-                raw = gzipped(record(page.as_py(), url.as_py(), html.as_py().encode(), refers.as_py()))
-                index.append((page.as_py(), at, len(raw)))
-                held.append(raw)
-                at += len(raw)
-                if at >= size:
-                    yield from close()
-                    at = 0
-        yield from close()
+                if package is None:
+                    name, n = f"{uuid.uuid4().hex}.zip", 0
+                    stream = storage.open_output_stream(f"{path}/{name}")
+                    package = Package(stream)
+                package.add(page.as_py(), gzipped(record(page.as_py(), url.as_py(), html.as_py().encode(), refers.as_py())))
+                n += 1
+                if package.size >= limit:
+                    yield close()
+                    package = None
+        if package is not None:
+            yield close()
+
+    return durable(rows.mapInArrow(run, "archive string, n_records long, bytes long"))
+
 
-    return rows.mapInArrow(run, "archive string, n_records long, data binary")
+READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def read_archives(packed: DataFrame) -> DataFrame:
-    """Per record of ``packed`` (archive, data): page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def read_archives(listed: DataFrame, folder: str, pages: list[int | None] | None = None) -> DataFrame:
+    """Per record of the archives ``listed`` (archive, bytes) in ``folder``, or those of a short list of pages: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    wanted = None if pages is None else set(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        storage, path = _storage(folder)
         for batch in batches:
-            for data in batch.column(0):
-                buffer = data.as_buffer()
-                found = list(read_records(lambda offset, length, b=buffer: b.slice(offset, length).to_pybytes(), buffer.size))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r.page_id for r in found], pa.int64()), pa.array([r.payload_bytes for r in found], pa.int64()), pa.array([r.payload_digest for r in found], pa.string()), pa.array([r.kind for r in found], pa.string()), pa.array([r.refers_to for r in found], pa.int64())],
-                    ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-                )
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with storage.open_input_file(f"{path}/{name}") as file:
+                    found = read_records(lambda offset, length, f=file: f.read_at(length, offset), size, wanted, 0 if wanted else SPAN)
+                    while some := [(r.page_id, r.payload_bytes, r.payload_digest, r.kind, r.refers_to) for r in islice(found, 4096)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), READ, strict=True)], schema=READ)
 
-    return packed.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return listed.select("archive", "bytes").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def through_archives(pages: DataFrame, least: int = LEAST, folder: str | None = None) -> DataFrame:
     """Writes archives of ``pages`` to ``folder`` (a new one in the shared folder by default) and reads them back."""
-    spark = pages.sparkSession
-    folder = folder or f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
-    archives(roles(pages, least)).write.parquet(folder)
-    return read_archives(spark.read.parquet(folder))
+    folder = folder or f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    return read_archives(archives(roles(pages, least), folder), folder)
 
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * k + 1}, 5))::int >> {s}) & 31), 1)" for k in range(8) for s in (15, 10, 5, 0))

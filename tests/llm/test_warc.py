@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 
 from barlab.llm import warc
@@ -20,13 +21,12 @@ def reader(data, log=None):
 
 
 def archive(pages):
-    raw, index, at = [], [], 0
+    out = io.BytesIO()
+    package = warc.Package(out)
     for page, url, payload, refers in pages:
-        r = warc.gzipped(warc.record(page, url, payload, refers))
-        index.append((page, at, len(r)))
-        raw.append(r)
-        at += len(r)
-    return warc.package(b"".join(raw), index)
+        package.add(page, warc.gzipped(warc.record(page, url, payload, refers)))
+    package.close()
+    return out.getvalue()
 
 
 PAGES = [(1, "http://a.example/x y\n", b"\r\n\r\nWARC/1.1\r\n\r\n", None), (None, None, b"", None), (2, "http://b.example", b"x" * 100_000, None), (3, "http://c.example", b"x" * 100_000, 2)]
@@ -47,6 +47,31 @@ def test_records_come_back_by_range():
     assert zipfile.ZipFile(io.BytesIO(data)).testzip() is None
 
 
+def test_only_ranges_are_read():
+    pages = [(k, "u", bytes(np.random.default_rng(k).integers(0, 256, 5000, dtype=np.uint8)), None) for k in range(500)]
+    data, log = archive(pages), []
+    got = list(warc.read_records(reader(data, log), len(data), {7, 300}))
+    assert [r.page_id for r in got] == [7, 300] and got[1].payload == pages[300][2]
+    index = warc.directory(reader(data), len(data))[1].size
+    assert sum(log) < index + 2 * 6000 + 1000 < len(data) / 50
+    log.clear()
+    assert len(list(warc.read_records(reader(data, log), len(data), span=100_000))) == 500
+    assert len(log) < 40 and max(log) <= 100_000 and sum(log) < len(data) + 1000
+
+
+def test_files_are_read_by_range(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 20_000)
+    folder = f"file://{tmp_path}/packages"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listed = warc.archives(warc.roles(pages), folder)
+    files = {f.name: f.stat().st_size for f in (tmp_path / "packages").iterdir()}
+    assert files == {r.archive: r.bytes for r in listed.collect()} and len(files) > 1
+    assert sum(len(zipfile.ZipFile(tmp_path / "packages" / f).namelist()) for f in files) == 2 * len(files)
+    some = [r.page_id for r in pages.limit(5).collect()]
+    got, whole = warc.read_archives(listed, folder, some).collect(), warc.read_archives(listed, folder)
+    assert sorted(got) == sorted(r for r in whole.collect() if r.page_id in some) and whole.count() == pages.count()
+
+
 def test_zip64(monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
