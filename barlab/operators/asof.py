@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.functions.frames import FRAME, Frame
+from barlab.functions.frames import FRAME, Frame, unused
 
 
 def asof(bars: DataFrame, events: DataFrame, values: list[str], frame: Frame = FRAME) -> DataFrame:
@@ -13,13 +13,14 @@ def asof(bars: DataFrame, events: DataFrame, values: list[str], frame: Frame = F
 
     Events and bars go through one window in time order, events first at equal times; no range join.
     """
-    held = F.struct(*values)
-    left = bars.withColumns({"_event": F.lit(None).cast(events.select(held.alias("x")).schema["x"].dataType), "_bar": F.lit(1)})
-    right = events.select("symbol", "ts", held.alias("_event")).withColumn("_bar", F.lit(0))
+    event, bar, held = unused(bars, "_event", "_bar", "_held")
+    value = F.struct(*values)
+    left = bars.withColumns({event: F.lit(None).cast(events.select(value.alias("x")).schema["x"].dataType), bar: F.lit(1)})
+    right = events.select("symbol", "ts", value.alias(event)).withColumn(bar, F.lit(0))
     both = left.unionByName(right, allowMissingColumns=True)
-    order = Window.partitionBy(frame.symbol).orderBy(frame.ts, "_bar").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.withColumn("_held", F.last("_event", ignorenulls=True).over(order)).where("_bar = 1")
-    return rows.select(*bars.columns, *[F.col(f"_held.{v}").alias(v) for v in values])
+    order = Window.partitionBy(frame.symbol).orderBy(frame.ts, bar).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn(held, F.last(event, ignorenulls=True).over(order)).where(F.col(bar) == 1)
+    return rows.select(*bars.columns, *[F.col(held)[v].alias(v) for v in values])
 
 
 def equity_asof(bars: DataFrame, equity_events: DataFrame) -> DataFrame:
@@ -44,8 +45,9 @@ def adjust_prices(bars: DataFrame, factors: DataFrame, forward: bool = False) ->
 
     ``forward``: relative to each symbol's last bar, so that its prices stay.
     """
-    rows = asof(bars, cumulative_factors(factors), ["factor"]).withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    (factor,) = unused(bars, "_factor")
+    events = cumulative_factors(factors).withColumnRenamed("factor", factor)
+    rows = asof(bars, events, [factor]).withColumn(factor, F.coalesce(factor, F.lit(1.0)))
     if forward:
-        last = F.last("factor").over(FRAME.whole)
-        rows = rows.withColumn("factor", F.col("factor") / last)
-    return rows.withColumns({c: F.col(c) * F.col("factor") for c in ("open", "high", "low", "close")}).drop("factor")
+        rows = rows.withColumn(factor, F.col(factor) / F.last(factor).over(FRAME.whole))
+    return rows.withColumns({c: F.col(c) * F.col(factor) for c in ("open", "high", "low", "close")}).drop(factor)

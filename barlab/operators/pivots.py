@@ -5,32 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.functions.frames import FRAME, Frame
+from barlab.functions.frames import FRAME, Frame, unused
 from barlab.operators.rules import Rule, staged_rule
 
 
-def _latest_two(bars: DataFrame, frame: Frame, price: str, high: bool, window: int) -> DataFrame:
-    """``bars`` with ``_{price}_pivots``: the latest and the one before, as known at each bar.
+def _latest_two(bars: DataFrame, frame: Frame, price: str, high: bool, window: int, i: str, out: str) -> DataFrame:
+    """``bars`` with ``out``: the latest pivot and the one before, as known at each bar; ``i`` numbers the bars.
 
     A pivot's price is not passed by the ``window`` bars before it, nor by those after it as far as they
     exist; at least half of the window must. One whose right side is still short is provisional: it ends
     exactly at the current bar.
     """
     half, extreme = window // 2, F.max if high else F.min
-    names = {r: f"_{price}_{r}" for r in range(half, window + 1)}
-    point = F.struct(F.col("_i").alias("i"), F.col(price).alias("v"))
+    pair, *held = unused(bars, "_pair", *[f"_{price}_{r}" for r in range(half, window + 1)])
+    names = dict(zip(range(half, window + 1), held, strict=True))
+    point = F.struct(F.col(i).alias("i"), F.col(price).alias("v"))
     for r, name in names.items():
         best = extreme(price).over(frame.rows(-window, r))
         stays = F.col(price) >= best if high else F.col(price) <= best
-        bars = bars.withColumn(name, F.when((F.col("_i") >= window) & stays, point))
+        bars = bars.withColumn(name, F.when((F.col(i) >= window) & stays, point))
     full = F.col(names[window])
     before = F.last(full, ignorenulls=True).over(frame.rows(Window.unboundedPreceding, -1))
     # A struct around both keeps a pivot that has none before it.
-    bars = bars.withColumn("_pair", F.when(full.isNotNull(), F.struct(full.alias("a"), before.alias("b"))))
-    confirmed = F.last("_pair", ignorenulls=True).over(frame.rows(Window.unboundedPreceding, -window))
+    bars = bars.withColumn(pair, F.when(full.isNotNull(), F.struct(full.alias("a"), before.alias("b"))))
+    confirmed = F.last(pair, ignorenulls=True).over(frame.rows(Window.unboundedPreceding, -window))
     provisional = [frame.lag(names[r], r) for r in range(half, window)]
     known = F.array(*provisional, confirmed["a"], confirmed["b"])
-    return bars.withColumn(f"_{price}_pivots", F.filter(known, lambda p: p.isNotNull())).drop("_pair", *names.values())
+    return bars.withColumn(out, F.filter(known, lambda p: p.isNotNull())).drop(pair, *held)
 
 
 def trend_up(window: int = 8, min_bars: int = 30, max_gain: float = 5.0) -> Rule:
@@ -39,16 +40,17 @@ def trend_up(window: int = 8, min_bars: int = 30, max_gain: float = 5.0) -> Rule
         raise ValueError("min_bars must be over one and a half windows")
 
     def apply(bars: DataFrame, frame: Frame, out: str) -> DataFrame:
-        rows = bars.withColumn("_i", frame.index())
-        rows = _latest_two(_latest_two(rows, frame, "high", True, window), frame, "low", False, window)
-        h2, h1, l2, l1 = (F.get(f"_{c}_pivots", F.lit(k)) for c in ("high", "low") for k in (0, 1))
+        i, highs, lows = unused(bars, "_i", "_highs", "_lows")
+        rows = bars.withColumn(i, frame.index())
+        rows = _latest_two(_latest_two(rows, frame, "high", True, window, i, highs), frame, "low", False, window, i, lows)
+        h2, h1, l2, l1 = (F.get(c, F.lit(k)) for c in (highs, lows) for k in (0, 1))
         gain = lambda b, a: (b["v"] - a["v"]).cast("double") / F.nullif(a["v"].cast("double"), F.lit(0.0))
         high_gain, low_gain = gain(h2, h1), gain(l2, l1)
         apart = (l1["i"] - h1["i"] >= window) & (h2["i"] - l1["i"] >= window) & (l2["i"] - h2["i"] >= window)
         shape = (l2["v"] > l1["v"]) & (h2["v"] > h1["v"]) & (l1["v"] < h1["v"]) & (l2["v"] < h2["v"])
         rates = (high_gain <= low_gain * max_gain) & (low_gain <= high_gain * max_gain)
-        flag = (F.col("_i") + 1 >= min_bars) & apart & shape & rates
-        return rows.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_i", "_high_pivots", "_low_pivots")
+        flag = (F.col(i) + 1 >= min_bars) & apart & shape & rates
+        return rows.withColumn(out, F.coalesce(flag, F.lit(False))).drop(i, highs, lows)
 
     return apply
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlab.functions.columns import no_buy_limit, on_exchange
-from barlab.functions.frames import FRAME, Frame
+from barlab.functions.frames import FRAME, Frame, unused
 
 #: (bars, frame, name of the new column) -> bars with the boolean column.
 Rule = Callable[[DataFrame, Frame, str], DataFrame]
@@ -111,7 +111,7 @@ def all_of(given: Iterable[str | Rule]) -> Rule:
         raise ValueError("no rule is chosen")
 
     def apply(bars: DataFrame, frame: Frame, out: str) -> DataFrame:
-        parts = [f"_{out}_{k}" for k in range(len(rules))]
+        parts = unused(bars, *[f"_{out}_{k}" for k in range(len(rules))])
         for r, part in zip(rules, parts, strict=True):
             bars = r(bars, frame, part)
         both = reduce(lambda a, b: a & b, [F.coalesce(F.col(p), F.lit(False)) for p in parts])
@@ -171,15 +171,17 @@ def sma_cross(fast: int = 5, slow: int = 20) -> Callable[[Frame], Column]:
 def rsi(bars: DataFrame, n: int = 14, out: str = "rsi", frame: Frame = FRAME) -> DataFrame:
     """``bars`` with 100 * gains / (gains + losses) over the last ``n`` changes; null without any change."""
     step = F.col("close") - frame.lag("close")
-    bars = bars.withColumn("_up", F.greatest(step, F.lit(0))).withColumn("_down", F.greatest(-step, F.lit(0))).withColumn("_i", frame.index())
-    up, down = frame.total("_up", n), frame.total("_down", n)
-    value = F.when((F.col("_i") >= n) & (up + down > 0), 100.0 * up / F.when(up + down > 0, up + down))
-    return bars.withColumn(out, value).drop("_up", "_down", "_i")
+    gain, loss, i = unused(bars, "_up", "_down", "_i")
+    bars = bars.withColumn(gain, F.greatest(step, F.lit(0))).withColumn(loss, F.greatest(-step, F.lit(0))).withColumn(i, frame.index())
+    up, down = frame.total(gain, n), frame.total(loss, n)
+    value = F.when((F.col(i) >= n) & (up + down > 0), 100.0 * up / F.when(up + down > 0, up + down))
+    return bars.withColumn(out, value).drop(gain, loss, i)
 
 
 def rsi_below(threshold: float = 30.0, n: int = 14) -> Rule:
     def apply(bars: DataFrame, frame: Frame, out: str) -> DataFrame:
-        return rsi(bars, n, "_rsi", frame).withColumn(out, F.coalesce(F.col("_rsi") < threshold, F.lit(False))).drop("_rsi")
+        (value,) = unused(bars, "_rsi")
+        return rsi(bars, n, value, frame).withColumn(out, F.coalesce(F.col(value) < threshold, F.lit(False))).drop(value)
 
     return apply
 
@@ -214,11 +216,12 @@ def limit_up_gap(threshold: float = 0.098, recent: int = 20, bull: int = 2, vol:
         for k in range(bull):
             at = lambda c, k=k: frame.lag(c, k) if k else F.col(c)
             pattern = pattern & (at("close") > at("open"))
-        held = F.max(F.coalesce(F.col("_pattern"), F.lit(False))).over(frame.rows(-(recent - 1 - after), 0))
+        (found,) = unused(bars, "_pattern")
+        held = F.max(F.coalesce(F.col(found), F.lit(False))).over(frame.rows(-(recent - 1 - after), 0))
         past = frame.rows(-vol, -1)
         surge = (F.col("volume") * F.count("volume").over(past) > F.sum("volume").over(past)) & (F.col("volume") > frame.lag("volume"))
-        bars = bars.withColumn("_pattern", pattern)
-        return bars.withColumn(out, F.coalesce(frame.has(recent) & held & surge, F.lit(False))).drop("_pattern")
+        bars = bars.withColumn(found, pattern)
+        return bars.withColumn(out, F.coalesce(frame.has(recent) & held & surge, F.lit(False))).drop(found)
 
     return apply
 

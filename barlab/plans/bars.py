@@ -23,7 +23,7 @@ from barlab.operators.pivots import vertices
 from barlab.plans import register
 from barlab.plans.adapter import BARS, CAPITAL, TICKS, capital, factors, names, prints, table, weekly_bars
 from barlab.sources import io
-from barlab.streaming.bars import stream_bars, stream_upsert
+from barlab.streaming.bars import stored_bars, stream_bars, stream_upsert, write_version
 
 
 def _with(*tables: str, select: str) -> str:
@@ -31,9 +31,8 @@ def _with(*tables: str, select: str) -> str:
 
 
 def _scratch(spark: SparkSession, what: str) -> str:
-    """A new folder below the shared one; below the warehouse, where none is configured."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/{what}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{io.shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def _r(*columns: str) -> list:
@@ -70,6 +69,22 @@ for _freq in ("month", "quarter", "year"):
     _resampled(_freq)
 
 
+def _from_minutes(name: str, freq: str, bucket: str) -> None:
+    """Bars of ``freq`` from minute bars."""
+    minutes = "minutes as (select symbol, date_trunc('minute', ts) as ts, arg_min(price, row(ts, event_id, price)) as open, max(price) as high, min(price) as low, arg_max(price, row(ts, event_id, price)) as close, count(*) as volume from ticks group by symbol, date_trunc('minute', ts))"
+    coarse = f"coarse as (select symbol, {bucket} as begins, arg_min(open, ts) as open, max(high) as high, min(low) as low, arg_max(close, ts) as close, cast(sum(volume) as bigint) as volume from minutes group by symbol, {bucket})"
+
+    @register(f"resample_{name}", _with(TICKS, minutes, coarse, select="select symbol, cast(begins as timestamp) as ts, open, high, low, close, volume from coarse"))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        minute = A.bars_from_ticks(prints(spark, sf_dir), "minute", ("event_id",))
+        return A.resample(minute, freq).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *OHLCV[2:])
+
+
+for _n in (5, 15, 30, 60):
+    _from_minutes(f"{_n}_minutes", f"{_n} minutes", f"time_bucket(interval '{_n} minutes', ts)")
+_from_minutes("day", "day", "date_trunc('day', ts)")
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     """Weekly bars as day bars and hourly ones as minute bars of one bar table, in a new folder."""
     folder = _scratch(spark, "bars")
@@ -95,11 +110,11 @@ def read_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "read_minute_bars",
-    _with(TICKS, select="select symbol, date_trunc('hour', ts) as ts, max(price) as high, min(price) as low, count(*) as volume from ticks where symbol = '1' and date_trunc('hour', ts) > timestamp '2024-01-02' group by symbol, date_trunc('hour', ts)"),
+    _with(TICKS, select="select symbol, date_trunc('hour', ts) as ts, arg_min(price, row(ts, event_id, price)) as open, max(price) as high, min(price) as low, arg_max(price, row(ts, event_id, price)) as close, count(*) as volume from ticks where symbol = '1' and date_trunc('hour', ts) > timestamp '2024-01-02' group by symbol, date_trunc('hour', ts)"),
 )
 def read_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = io.read_minute_bars(spark, _stored(spark, sf_dir), "1", start="2024-01-02")
-    return rows.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "high", "low", "volume")
+    return rows.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *OHLCV[2:])
 
 
 @register("universe", _with(BARS, select="select distinct symbol, name from names"))
@@ -109,14 +124,12 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "needs_refresh",
-    "with m as (select user_id % 97 as key, cast(max(epoch(ts)) as bigint) as time from events where event_type <> 'view' group by 1), w as (select distinct c_custkey % 120 as key from customer) "
+    "with m as (select user_id as key, cast(max(floor(epoch_us(ts) / 1000000 + 0.5)) as bigint) as time from events group by 1), w as (select distinct c_custkey as key from customer) "
     "select key, coalesce(time, 0) as updated from w left join m using (key) where coalesce(time, 0) < epoch(timestamp '2024-01-29 15:00:00')",
 )
 def needs_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type <> 'view'")
-    markers = e.groupBy(F.pmod("user_id", F.lit(97)).alias("key")).agg(F.floor(F.unix_micros(F.max("ts").cast("timestamp")) / 1e6 + 0.5).alias("time"))
-    wanted = table(spark, sf_dir, "customer").select(F.pmod("c_custkey", F.lit(120)).alias("key"))
-    return io.needs_refresh(wanted, markers, "2024-01-30 14:30:00")
+    markers = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.floor(F.unix_micros(F.max("ts").cast("timestamp")) / 1e6 + 0.5).alias("time"))
+    return io.needs_refresh(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), markers, "2024-01-30 14:30:00")
 
 
 @register(
@@ -135,13 +148,26 @@ def upsert_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.upsert_tail(old, new.select(*OHLCV))
 
 
-@register("export_csv", _with(BARS, select="select symbol as code, name, arg_max(close, ts) / 1000.0::double as price, 0 as score, 0 as signal from bars left join names using (symbol) group by symbol, name"))
+_EXPORT_SQL = "select symbol as code, min(name) as name, arg_max(close, ts) / 1000.0::double as price, 0 as score, arg_max(volume, ts) / 1000.0::double as turnover, cast(arg_max(close, ts) * arg_max(volume, ts) as bigint) as float_value, 0 as signal from bars left join names using (symbol) group by symbol"
+
+
+@register("export_csv", _with(BARS, select=_EXPORT_SQL))
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.with_names(G.snapshot(weekly_bars(spark, sf_dir)), names(spark, sf_dir))
-    rows = rows.select(F.col("symbol").alias("code"), "name", C.currency("price").alias("price"), F.lit(0).alias("score"), F.lit(0).alias("signal"))
+    bars = weekly_bars(spark, sf_dir).withColumns({"turnover": F.col("volume") / 1000.0, "float_stock": F.col("volume")})
+    rows = G.with_names(G.snapshot(bars), names(spark, sf_dir)).withColumns({"code": F.col("symbol"), "price": C.currency("price"), "score": F.lit(0), "signal": F.lit(0)})
     folder = _scratch(spark, "export")
-    io.write_csv(rows, folder, tuple(rows.columns))
-    return spark.read.schema(rows.schema).option("header", True).csv(folder)
+    io.write_csv(rows, folder)
+    return spark.read.schema(rows.select(*io.EXPORT).schema).option("header", True).csv(folder)
+
+
+@register("export_json", _with(BARS, select="select symbol, ts, open, high, low, close, volume from bars where symbol like 'sh%'"))
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested bars of an exchange as lines of JSON, read back and unnested."""
+    bars = weekly_bars(spark, sf_dir).where(C.on_exchange("sh"))
+    nested = A.nest_bars(bars.select("symbol").distinct(), bars)
+    folder = _scratch(spark, "json")
+    io.write_json(nested, folder)
+    return spark.read.schema(nested.schema).json(folder).select("symbol", F.inline("bars")).select(*OHLCV)
 
 
 @register(
@@ -478,6 +504,13 @@ def annotate_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.annotate_trades(made, bars).select("symbol", "i", "side", "at_value")
 
 
+@register("annotate_equity", _with(BARS, LOOP_TABLES, _TRADES, select="select t.symbol, t.i, t.side, round(l.equity, 6) as at_value from trades t join ledger l on t.symbol = l.symbol and t.i = l.i"))
+def annotate_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades marked on the equity curve."""
+    ledger = backtest_ledger(_rising(spark, sf_dir), STOPS)
+    return E.annotate_trades(ledger_trades(ledger, STOPS), ledger, "equity").select("symbol", "i", "side", *_r("at_value"))
+
+
 _ITEMS_SQL = "select symbol, name, round(total_return, 6) as total_return, round(max_drawdown, 6) as max_drawdown, round(sharpe, 6) as sharpe from items left join names using (symbol)"
 
 
@@ -556,10 +589,9 @@ def sort_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sort_results(G.snapshot(weekly_bars(spark, sf_dir)).select("symbol", "price"), "price", descending=True)
 
 
-@register("page", _with(BARS, select="select symbol, price from (select symbol, arg_max(close, ts) as price from bars group by symbol) order by price, symbol limit 60 offset 5"))
+@register("page", _with(BARS, select="select symbol, price from (select symbol, arg_max(close, ts) as price from bars group by symbol) order by price, symbol limit 5 offset 5"))
 def page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = G.sort_results(G.snapshot(weekly_bars(spark, sf_dir)).select("symbol", "price"), "price")
-    return ordered.offset(5).limit(60)
+    return G.page(G.sort_results(G.snapshot(weekly_bars(spark, sf_dir)).select("symbol", "price"), "price"), 1, 5)
 
 
 @register("tail", _with(BARS, select="select symbol, ts, close from (select *, row_number() over (partition by symbol order by ts desc) as n from bars) where n <= 120"))
@@ -592,6 +624,21 @@ def adjust_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.adjust_prices(weekly_bars(spark, sf_dir), factors(spark, sf_dir)).select("symbol", "ts", "close")
 
 
+@register(
+    "adjust_prices_forward",
+    _with(
+        BARS,
+        CAPITAL,
+        "cf as (select symbol, ts, product(factor) over (partition by symbol order by ts) as factor from factors)",
+        "ad as (select b.symbol, b.ts, b.open, b.high, b.low, b.close, coalesce(f.factor, 1) as factor from bars b asof left join cf f on b.symbol = f.symbol and b.ts >= f.ts)",
+        "af as (select *, factor / last(factor) over (partition by symbol order by ts rows between unbounded preceding and unbounded following) as f from ad)",
+        select="select symbol, ts, round(open * f, 6) as open, round(high * f, 6) as high, round(low * f, 6) as low, round(close * f, 6) as close from af",
+    ),
+)
+def adjust_prices_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.adjust_prices(weekly_bars(spark, sf_dir), factors(spark, sf_dir), forward=True).select("symbol", "ts", *_r("open", "high", "low", "close"))
+
+
 # ---------------------------------------------------------------- streams
 
 _CLOSED = "select max(ts) - interval '1 hour' as mark from events"
@@ -619,19 +666,10 @@ def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars arrive as a stream of files and are merged into a store that has only the first years."""
     folder = _scratch(spark, "upsert")
     bars = weekly_bars(spark, sf_dir).select(*OHLCV)
-    bars.where(F.col("ts") <= F.lit("1996-06-03").cast("date")).write.parquet(f"{folder}/store/0")
-    last = F.max(F.when(F.col("ts") <= F.lit("1996-06-03").cast("date"), F.col("ts"))).over(Window.partitionBy("symbol"))
-    bars.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("ts") >= F.col("_last"))).select(*OHLCV).write.parquet(f"{folder}/incoming")
-    at = {"version": 0}
-
-    def load() -> DataFrame:
-        return spark.read.parquet(f"{folder}/store/{at['version']}")
-
-    def store(merged: DataFrame, number: int) -> None:
-        merged.write.mode("overwrite").parquet(f"{folder}/store/{number + 1}")
-        at["version"] = number + 1
-
+    first = F.lit("1996-06-03").cast("date")
+    write_version(bars.where(F.col("ts") <= first), f"{folder}/store", 0, 16)
+    last = F.max(F.when(F.col("ts") <= first, F.col("ts"))).over(Window.partitionBy("symbol"))
+    bars.withColumn("last", last).where(F.col("last").isNull() | (F.col("ts") >= F.col("last"))).select(*OHLCV).write.parquet(f"{folder}/incoming")
     stream = spark.readStream.schema(bars.schema).parquet(f"{folder}/incoming")
-    stream_upsert(stream, load, store, f"{folder}/state").awaitTermination()
-    return load().select(*OHLCV)
-
+    stream_upsert(stream, f"{folder}/store", f"{folder}/state", 16).awaitTermination()
+    return stored_bars(spark, f"{folder}/store").select(*OHLCV)

@@ -6,6 +6,8 @@ of one symbol reads few row groups; it is not partitioned by symbol, which would
 
 from __future__ import annotations
 
+import re
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlab.functions.columns import time_range
+from barlab.functions.frames import unused
 
 BARS = T.StructType(
     [
@@ -72,9 +75,10 @@ def upsert_tail(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     Of existing bars those before the symbol's last are kept, of incoming ones those from it on (all, for a
     new symbol).
     """
-    last = existing.groupBy("symbol").agg(F.max("ts").alias("_last"))
-    old = existing.join(last, "symbol").where(F.col("ts") < F.col("_last")).drop("_last")
-    new = incoming.join(last, "symbol", "left").where(F.col("_last").isNull() | (F.col("ts") >= F.col("_last"))).drop("_last")
+    (name,) = unused(incoming, *unused(existing, "_last"))
+    last = existing.groupBy("symbol").agg(F.max("ts").alias(name))
+    old = existing.join(last, "symbol").where(F.col("ts") < F.col(name)).drop(name)
+    new = incoming.join(last, "symbol", "left").where(F.col(name).isNull() | (F.col("ts") >= F.col(name))).drop(name)
     return old.unionByName(new)
 
 
@@ -83,3 +87,20 @@ EXPORT = ("code", "name", "price", "score", "turnover", "float_value", "signal")
 
 def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] = EXPORT) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, nested bars as arrays; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; in one process, as in tests, a new one where none is set."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        folder = sc.getCheckpointDir()
+    return folder

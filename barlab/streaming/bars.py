@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,14 +24,34 @@ def stream_bars(ticks: DataFrame, freq: str, delay: str, tie: tuple[str, ...] =
     return bars.select("symbol", F.col("_w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def stream_upsert(bars: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch into the stored bars: the last bar is replaced and later ones follow.
+def stored_bars(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The bars of a store that ``stream_upsert`` keeps: of each bucket its latest version (at most ``upto``)."""
+    rows = spark.read.parquet(path)
+    if upto is not None:
+        rows = rows.where(F.col("version") <= upto)
+    # Versions and buckets are folders, so this aggregate reads no values; a row for each bucket.
+    latest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(latest), ["bucket", "version"]).drop("bucket", "version")
+
+
+def write_version(bars: DataFrame, path: str, version: int, buckets: int) -> None:
+    rows = bars.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "symbol", "ts").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
+
+
+def stream_upsert(bars: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merges each micro-batch into the bars stored in ``path``: the last bar is replaced and later ones follow.
 
-    ``load`` gives the stored bars, ``store`` writes the merged ones as of a batch number. A batch that is
-    replayed merges to the same rows.
+    The store holds versions of buckets of symbols; version 0 is there before (``write_version``). Batch k reads
+    the versions up to k and writes the buckets that it touches, at most ``buckets``, as version k + 1. So a batch that is
+    replayed after a restart, by this process or another, merges to the same rows, and buckets without new bars
+    are not written again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        store(upsert_tail(load(), batch), number)
+        bucket = F.pmod(F.xxhash64("symbol"), F.lit(buckets))
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]
+        stored = stored_bars(batch.sparkSession, path, number).where(bucket.isin(touched))
+        write_version(upsert_tail(stored, batch), path, number + 1, buckets)
 
     return bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlab.functions import columns as C
+from barlab.operators import rules
 from barlab.operators.asof import adjust_prices, asof, turnover_rate
 from barlab.operators.bars import bars_from_ticks, nest_bars, resample
-from barlab.operators.screen import page, sort_results, tail
+from barlab.operators.screen import page, snapshot, sort_results, tail, with_names
 from barlab.sources import io
-from barlab.streaming.bars import stream_bars
+from barlab.streaming.bars import stored_bars, stream_bars, stream_upsert, write_version
 
 DAY = datetime(2024, 1, 1)
 
@@ -113,3 +114,48 @@ def test_stream_drops_late_prints_and_holds_back_open_bars(spark, tmp_path):
         stream_bars(stream, "10 minutes", "5 minutes").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.ts, r.open, r.close, r.volume) for r in spark.read.parquet(out).collect())
     assert got[0][0] == DAY and got[-1][0] < at(60)
+
+
+def test_an_upsert_is_restarted_and_rewrites_only_what_it_touches(spark, tmp_path):
+    store, state, incoming = (str(tmp_path / x) for x in ("store", "state", "in"))
+    old = rows(spark, "a").union(rows(spark, "b")).union(rows(spark, "c"))
+    write_version(old, store, 0, 8)
+    kinds = old.schema
+    expected = {(r.symbol, r.ts.day): r.close for r in old.collect()}
+    for k in range(3):
+        # Each run is a new query on the same checkpoint, as after a restart.
+        fresh = rows(spark, "a", 3, 4 + 2 * k).withColumn("close", F.lit(100 + k).cast("long"))
+        fresh.coalesce(1).write.mode("append").parquet(incoming)
+        expected = {key: v for key, v in expected.items() if key[0] != "a" or key[1] < 5 + 2 * k} | {("a", r.ts.day): r.close for r in fresh.collect()}
+        stream_upsert(spark.readStream.schema(kinds).parquet(incoming), store, state, 8).awaitTermination()
+        assert {(r.symbol, r.ts.day): r.close for r in stored_bars(spark, store).collect()} == expected
+    buckets = {r.version: r.n for r in spark.read.parquet(store).groupBy("version").agg(F.countDistinct("bucket").alias("n")).collect()}
+    assert buckets == {0: spark.read.parquet(f"{store}/version=0").select("bucket").distinct().count(), 1: 1, 2: 1, 3: 1}
+    # A batch that is replayed starts from the versions before it.
+    before = {tuple(r) for r in stored_bars(spark, store, 2).collect()}
+    assert {tuple(r) for r in stored_bars(spark, store).collect()} != before
+
+
+def test_columns_of_a_caller_are_kept(spark):
+    own = {c: F.lit(c) for c in ("_event", "_bar", "_held", "_last", "_n", "_i", "_pair", "_high_4", "_up", "_down", "_pattern", "_rsi", "_flag", "_highs", "factor", "_flag_0")}
+    bars = rows(spark, n=40).withColumns(own)
+    events = spark.createDataFrame([("a", DAY, 2.0)], "symbol string, ts timestamp, factor double")
+    made = [asof(bars.drop("factor"), events, ["factor"]), adjust_prices(bars, events), tail(bars), io.upsert_tail(bars, bars), rules.rsi(bars)]
+    made += [rules.with_signal(bars, r, "out") for r in ("trend_up", "limit_up_gap", "rsi_below", ["rise_three", "exchange_sh"])]
+    for df in made:
+        first = df.first()
+        assert all(first[c] == c for c in own if c in bars.columns and not (c == "factor" and df is made[0])) and len(df.columns) == len(set(df.columns))
+    assert adjust_prices(bars, events).first().close == 22
+
+
+def test_names_and_equal_times(spark):
+    symbols = spark.createDataFrame([("a", "z"), ("a", "b"), ("q", "q")], "symbol string, name string")
+    assert {r.name for r in with_names(rows(spark), symbols).collect()} == {"b"}
+    twice = rows(spark, n=2).union(rows(spark, n=2).withColumn("close", F.lit(50).cast("long")))
+    assert snapshot(twice).first().price == 50 and [r.close for r in tail(twice, 1).collect()] == [50]
+
+
+def test_nested_bars_as_json(spark, tmp_path):
+    nested = nest_bars(spark.createDataFrame([("a",)], "symbol string"), rows(spark))
+    io.write_json(nested, str(tmp_path / "json"))
+    assert spark.read.schema(nested.schema).json(str(tmp_path / "json")).collect() == nested.collect()
