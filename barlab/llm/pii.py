@@ -14,8 +14,9 @@ Two further kinds are added beside them and never remove a base span:
 - ``ssn``: nine digits as 3-2-4 with valid groups. Alone they score below the threshold; a word such as
   "ssn" or "social security" within ``NEAR`` characters lifts them over it.
 
-Every span has a score. Base kinds start at their validator's certainty; context words raise it. Scores
-never remove base spans.
+Every span has a score: its kind's certainty once confirmed, raised by a word nearby that goes with the kind and lowered
+by one that goes with other numbers ("version" beside an IP address). The added kinds are kept from ``THRESHOLD``
+on; scores never remove base spans, but whoever reads the result can.
 
 The proposals run in linear time on any text: an address is grown from its "@", an IP address is made of
 whole runs of digits. Spark deals the documents over tasks; nothing is shuffled. Null and empty texts
@@ -49,6 +50,14 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "konto"),
     "ssn": ("ssn", "social security", "tax id"),
 }
+AGAINST = {
+    "email": (),
+    "ip": ("version", "release", "section", "chapter"),
+    "card": ("order", "tracking", "invoice", "isbn", "serial"),
+    "phone": ("order", "serial", "coordinates", "offset"),
+    "iban": ("order", "serial", "part"),
+    "ssn": ("order", "serial", "part", "model"),
+}
 
 
 #: Characters of an account number by country.
@@ -181,10 +190,17 @@ def _ssns(text: str) -> Iterator[tuple[int, int]]:
 _FINDERS = (_emails, _ips, _cards, _phones, _ibans, _ssns)
 
 
+def _nearby(words: tuple[str, ...]) -> re.Pattern | None:
+    return re.compile(rf"(?<![a-z])(?:{'|'.join(map(re.escape, words))})(?![a-z])") if words else None
+
+
+_RAISING, _LOWERING = ({kind: _nearby(words) for kind, words in table.items()} for table in (CONTEXT, AGAINST))
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()
-    hit = any(re.search(rf"(?<![a-z]){re.escape(w)}(?![a-z])", near) for w in CONTEXT[kind])
-    return min(1.0, CERTAINTY[kind] + 0.3 * hit)
+    hit = lambda pattern: pattern is not None and pattern.search(near) is not None
+    return round(min(1.0, CERTAINTY[kind] + 0.3 * hit(_RAISING[kind]) - 0.3 * hit(_LOWERING[kind])), 2)
 
 
 def find_spans(text: str) -> list[Span]:
@@ -243,8 +259,8 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None =
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Per row of ``find_pii``: counts of the base kinds, the hash of the base spans and all spans as text."""
+    """Per row of ``find_pii``: counts of the base kinds, the hash of the base spans, all spans as text, and their scores in the same order."""
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"), F.transform("found", lambda s: s["score"]).alias("scores"))

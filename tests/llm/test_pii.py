@@ -50,6 +50,14 @@ def test_validators_and_context():
     assert kinds("the ssn 123-45-6789") == ["ssn"] and kinds("the no. 123-45-6789") == [] and kinds("ssn 666-45-6789") == []
 
 
+def test_words_nearby_raise_and_lower_scores():
+    scores = lambda t: [s.score for s in pii.find_spans(t)]
+    assert scores("host 10.0.0.1") == [1.0] and scores("at 10.0.0.1") == [0.7] and scores("version 10.0.0.1") == [0.4] and scores("host version 10.0.0.1") == [0.7]
+    assert scores("my visa 4111111111111111") == [1.0] and scores("order 4111111111111111") == [0.5] and scores("subversions 10.0.0.1") == [0.7]
+    assert scores("ssn 123-45-6789") == [0.6] and scores("ssn or part 123-45-6789") == []
+    assert scores("version" + " " * pii.NEAR + "10.0.0.1") == [0.7]
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 3_000_000, "1" * 2_000_000, "1." * 1_000_000, "+1" + "(" * 2_000_000, "a@" * 500_000, "1 " * 1_000_000):
         pii.find_spans(text)
@@ -65,6 +73,7 @@ def test_query_columns(spark, sf_dir):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in want) for x in pii.BASE)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+        assert r.scores == [s.score for s in pii.find_spans(d.text)]
 
 
 def test_redaction_nulls_repeats_and_empty_tables(spark):
