@@ -10,8 +10,8 @@ precision, ties by the smaller id.
 
 The distance r and the width come from a bounded, documented sample (about ``SAMPLE`` distinct vectors and
 queries): r is the ``QUANTILE`` of the k-th nearest distance, carried on from the sample's ranks to the
-table's by a fit of distance to rank; the width is the one whose visits and distances cost least. Every row
-is indexed. A query's answer holds if it has k ids, the last within ``SURE`` times r; the other queries, such
+table's by a fit of distance to rank; the width is the one whose visits and distances cost least, among those
+with at most ``MOST_VISITS`` visits a query. Every row is indexed. A query's answer holds if it has k ids, the last within ``SURE`` times r; the other queries, such
 as outliers or those in thinner clusters, are asked again with an r fitted to themselves, at least twice
 the last. When at most ``EXACT`` are left, they are held against all rows in one pass. So every query gets
 k ids, or all there are.
@@ -51,8 +51,9 @@ TABLES, MISS = 3, 0.02
 #: Slot width as a multiple of r.
 SLOT = 1.6
 SAMPLE, QUANTILE = 2000, 0.9
-#: Queries of the sample that widths are tried with; what a visit costs in components of distances; most functions of a table.
-TRIED, VISIT, WIDEST = 24, 1000, 16
+#: Queries of the sample that widths are tried with; what a visit costs, in components of distances; visits of a query, over
+#: all tables, beyond which tables get no wider; most functions of a table.
+TRIED, VISIT, MOST_VISITS, WIDEST = 24, 10_000, 4096, 16
 #: An answer holds up to this multiple of r. As many queries are held against all rows at once.
 SURE, EXACT = 1.25, 1024
 #: Bytes of vectors in one group, about; half as much of one bucket. Vectors of a group below which groups
@@ -262,10 +263,12 @@ def fit_width(asked: np.ndarray, stored: np.ndarray, n: int, reach: float, miss:
         for buckets in h.visits(tried, miss):
             visited += len(buckets)
             met += int(np.isin(own, buckets).sum())
-        cost = (visited * VISIT + met * dimension * n / max(1, len(stored))) / max(1, len(tried))
+        if width > 1 and visited > MOST_VISITS * len(tried):
+            break
+        cost = visited * VISIT + met * dimension * n / max(1, len(stored))
         if cost < least:
             best, least = width, cost
-        if visited * VISIT / max(1, len(tried)) > least:
+        if visited * VISIT > least:
             break
     return best
 
