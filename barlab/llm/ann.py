@@ -283,9 +283,19 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return {name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), zip(empty, *parts, strict=True), strict=True)}
+def _found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> dict[str, np.ndarray]:
+    """The k nearest ids of each query among ``parts`` (query, ids, distances); a query id may have several vectors."""
+    query, ids, score = map(np.concatenate, zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *parts, strict=True))
+    if len(parts) > len(np.unique(query)):
+        order = np.lexsort((score, ids, query))
+        query, ids, score = query[order], ids[order], score[order]
+        least = np.append(True, (np.diff(query) != 0) | (np.diff(ids) != 0))[: len(query)]
+        query, ids, score = query[least], ids[least], score[least]
+        order = np.lexsort((ids, score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        near = np.arange(len(query)) - np.searchsorted(query, query) < k
+        query, ids, score = query[near], ids[near], score[near]
+    return {"query_id": query, "vec_id": ids, "score": score}
 
 
 def probe(stored: DataFrame, asked: DataFrame, n: int, k: int, h: Hashes, kind: str, miss: float = MISS) -> DataFrame:
@@ -366,7 +376,7 @@ def probe(stored: DataFrame, asked: DataFrame, n: int, k: int, h: Hashes, kind:
                 squared = squared_distances(x, norms, query)[rows] if 3 * len(rows) > len(x) else squared_distances(x[rows], norms[rows], query)
                 near, score = nearest(ids, x, query, k, rows, squared)
                 parts.append((np.full(len(near), q, np.int64), near, score))
-        return pa.table(_found(parts))
+        return pa.table(_found(parts, k))
 
     def slice_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,7 +409,7 @@ def compare_all(stored: DataFrame, asked: DataFrame, k: int, kind: str) -> DataF
                 near, score = np.append(best[i][0], near), np.append(best[i][1], score)
                 order = np.lexsort((near, score))
                 best[i] = near[order := order[np.sort(np.unique(near[order], return_index=True)[1])[:k]]], score[order]
-        yield pa.RecordBatch.from_pydict(_found([(np.full(len(near), q, np.int64), near, score) for q, (near, score) in zip(owner, best, strict=True)]))
+        yield pa.RecordBatch.from_pydict(_found([(np.full(len(near), q, np.int64), near, score) for q, (near, score) in zip(owner, best, strict=True)], k))
 
     return stored.mapInArrow(run, FOUND)
 

@@ -163,3 +163,10 @@ def test_fewer_ids_than_neighbours(spark, monkeypatch):
     x = np.random.default_rng(8).standard_normal((400, 4))
     rows = spark.createDataFrame([(100 * (i % 3), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert {q: {v for v, _ in near} for q, near in found(ann.search(rows)).items()} == {0: {100, 200}, 100: {0, 200}, 200: {0, 100}}
+
+
+def test_vectors_of_one_query_share_its_neighbours():
+    parts = [(np.full(3, 7), np.array([1, 2, 3]), np.array([0.1, 0.5, 0.6])), (np.full(3, 7), np.array([2, 4, 5]), np.array([0.2, 0.5, 0.5])), (np.full(1, 0), np.array([9]), np.array([3.0]))]
+    got = ann._found(parts, 3)
+    assert list(zip(*(got[c].tolist() for c in ("query_id", "vec_id", "score")), strict=True)) == [(0, 9, 3.0), (7, 1, 0.1), (7, 2, 0.2), (7, 4, 0.5)]
+    assert ann._found([], 3)["score"].tolist() == [] and ann._found(parts[:1], 3)["vec_id"].tolist() == [1, 2, 3]
