@@ -39,7 +39,7 @@ WEIGHTS = (5, 2, 1)
 DRIFTS = (-0.5, 0.0, 0.5)
 EPOCHS = 3
 #: Rows of a bucket of the hash within the largest source, about; words of a partition of ``curriculum``, about.
-BUCKET, PART_WORDS = 256, 1 << 23
+BUCKET, PART_WORDS = 256, 1 << 22
 
 
 def words(text: Column) -> Column:
