@@ -48,7 +48,7 @@ from barlab.llm.common import durable, unused
 CAPACITY = 2048
 CLOSING = 0
 #: Cuts of text whose ids a task remembers, the longest of them, and texts encoded together, in characters.
-MEMO, MEMO_CHARS, GROUP = 500_000, 24, 2_000_000
+MEMO, MEMO_CHARS, GROUP = 250_000, 24, 1_000_000
 #: Prices within this share of the best are used at first, for this share of a length's pieces in a step; both grow
 #: to 1, by a factor after each step that places less than a share of all pieces. A covered length's price falls by exp(-RATE).
 NEAR, SHARE, WIDER, LITTLE, RATE = 0.01, 1 / 12, 1.3, 0.005, 0.5
