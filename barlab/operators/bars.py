@@ -13,12 +13,14 @@ def _start(ts: Column | str, freq: str) -> Column:
     return F.date_trunc(UNITS[freq], ts) if freq in UNITS else F.window(ts, freq).getField("start")
 
 
-def bars_from_ticks(ticks: DataFrame, freq: str, tie: tuple[str, ...] = (), symbol: str = "symbol", ts: str = "ts", price: str = "price", volume: str = "volume") -> DataFrame:
+def bars_from_ticks(ticks: DataFrame, freq: str, tie: tuple[str, ...] = (), symbol: str = "symbol", ts: str = "ts", price: str = "price", volume: str = "volume", order: Column | None = None) -> DataFrame:
     """Bars of ``freq`` from prints. Prints of equal time are ordered by ``tie``, then price.
 
     ``freq``: a calendar unit, or a length such as ``"5 minutes"``. Aggregates partially before its shuffle.
+    ``order``: the same order as one column of fixed width, such as a decimal, where it can be had; Spark then aggregates by
+    hashing, and by sorting otherwise.
     """
-    order = F.struct(ts, *tie, price)
+    order = F.struct(ts, *tie, price) if order is None else order
     return ticks.groupBy(F.col(symbol).alias("symbol"), _start(ts, freq).alias("_start")).agg(
         F.min_by(price, order).alias("open"),
         F.max(price).alias("high"),

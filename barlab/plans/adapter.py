@@ -28,8 +28,12 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     price = F.floor(F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0)) * 1000 + 0.5).cast("long")
     prints = items.select("l_suppkey", F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", price.alias("price"), F.col("l_quantity").alias("volume"))
+    # Day and order, line and price in the digits of one number.
+    high = F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("long") * 10**13 + F.col("l_orderkey")
+    low = F.col("l_linenumber").cast("long") * 10**13 + F.col("price")
+    order = (high.cast("decimal(19,0)") * F.lit(10**14).cast("decimal(15,0)") + low.cast("decimal(15,0)")).cast("decimal(38,0)")
     # The number is the key of the aggregate: shorter than the symbol made of it.
-    bars = bars_from_ticks(prints, "week", ("l_orderkey", "l_linenumber"), symbol="l_suppkey")
+    bars = bars_from_ticks(prints, "week", symbol="l_suppkey", order=order)
     return bars.withColumns({"symbol": symbol("symbol"), "ts": F.col("ts").cast("date")})
 
 
