@@ -53,10 +53,10 @@ CONTEXT = {
 AGAINST = {
     "email": (),
     "ip": ("version", "release", "section", "chapter"),
-    "card": ("order", "tracking", "invoice", "isbn", "serial"),
-    "phone": ("order", "serial", "coordinates", "offset"),
-    "iban": ("order", "serial", "part"),
-    "ssn": ("order", "serial", "part", "model"),
+    "card": ("order number", "tracking number", "serial number", "invoice", "isbn"),
+    "phone": ("order number", "serial number"),
+    "iban": ("order number", "serial number"),
+    "ssn": ("order number", "serial number", "part number", "model number"),
 }
 
 

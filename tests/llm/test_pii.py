@@ -53,8 +53,8 @@ def test_validators_and_context():
 def test_words_nearby_raise_and_lower_scores():
     scores = lambda t: [s.score for s in pii.find_spans(t)]
     assert scores("host 10.0.0.1") == [1.0] and scores("at 10.0.0.1") == [0.7] and scores("version 10.0.0.1") == [0.4] and scores("host version 10.0.0.1") == [0.7]
-    assert scores("my visa 4111111111111111") == [1.0] and scores("order 4111111111111111") == [0.5] and scores("subversions 10.0.0.1") == [0.7]
-    assert scores("ssn 123-45-6789") == [0.6] and scores("ssn or part 123-45-6789") == []
+    assert scores("my visa 4111111111111111") == [1.0] and scores("order number 4111111111111111") == [0.5] and scores("in order 4111111111111111") == [0.8] and scores("subversions 10.0.0.1") == [0.7]
+    assert scores("ssn 123-45-6789") == [0.6] and scores("ssn or part number 123-45-6789") == [] and scores("ssn, in part 123-45-6789") == [0.6]
     assert scores("version" + " " * pii.NEAR + "10.0.0.1") == [0.7]
 
 
