@@ -54,9 +54,10 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, drifts: tuple
     t = t.withColumn("cap", F.col("source_size") * epochs).withColumn("ratio", F.col("cap") / F.col("weight"))
     by = W.orderBy("ratio", F.col("source").asc_nulls_last())
     before = by.rowsBetween(W.unboundedPreceding, -1)
-    from_here = by.rowsBetween(0, W.unboundedFollowing)
     everything = W.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(from_here)
+    # Differences of running sums: a window to the end of the partition would go through it again for each row.
+    left = lambda c, given: F.sum(c).over(everything) - F.coalesce(F.sum(given).over(before), F.lit(0))
+    level = left("source_size", "cap") / left("weight", "weight")
     t = t.withColumn("level", level)
     # The first source that does not reach its cap sets the level for all after it.
     t = t.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
