@@ -64,8 +64,9 @@ _CUT = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 
 
-#: Cuts of which both libraries' rules agree: words of Latin letters, digits and signs.
+#: Cuts and texts of which both libraries' rules agree: words of Latin letters, digits and signs, and common white space; no long runs of either.
 _PLAIN = re.compile(r" ?[!-~\xa1-\u024f]{1,200}")
+_PLAIN_TEXT = re.compile(r"[ \t\n\r]{0,200}+(?:[!-~\xa1-\u024f]{1,200}+[ \t\n\r]{1,200}+)*+[!-~\xa1-\u024f]{0,200}+")
 
 
 @lru_cache(maxsize=2)
@@ -103,9 +104,9 @@ def _merger(path: str):
 class Encoder:
     """Texts -> ids of a tokenizer file as little-endian unsigned 32-bit bytes: byte-level, words cut at white space.
 
-    Rules of the pre-tokenizer never join a character to white space after it, so cuts encode alone; those
-    not met before are encoded together, plain ones by a faster library with the same merges. ``specials``: whether strings of special tokens in a text become
-    their ids (the library's default).
+    Plain texts are encoded by a faster library with the same merges. Others are cut: rules of the pre-tokenizer never join
+    a character to white space after it, so cuts encode alone; those not met before are encoded together, plain ones by the faster
+    library. ``specials``: whether strings of special tokens in a text become their ids (the library's default).
     """
 
     def __init__(self, path: str, specials: bool = True):
@@ -141,7 +142,18 @@ class Encoder:
         for c, i in zip(other, self._encode(other), strict=True):
             yield c, None if _ODD.search(c) else i
 
+    def _plain(self, text: str) -> bytes | None:
+        if self.merger is None or "<|" in text or not _PLAIN_TEXT.fullmatch(text):
+            return None
+        return self.merger.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
     def _group(self, texts: list[str]) -> Iterator[bytes]:
+        known = [self._plain(t) for t in texts]
+        other = self._cut([t for t, ids in zip(texts, known, strict=True) if ids is None])
+        for ids in known:
+            yield next(other) if ids is None else ids
+
+    def _cut(self, texts: list[str]) -> Iterator[bytes]:
         cuts = [_CUT.findall(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()

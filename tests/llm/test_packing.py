@@ -30,6 +30,13 @@ def test_ids_of_long_and_special_texts():
         assert list(packing.encoder(PATH)([text])) == [ids(text).tobytes()]
 
 
+def test_plain_texts_and_others_give_the_same_ids_in_order():
+    texts = [r["text"] or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist()]
+    texts += ["it's 12  x\n\n y", "a\u00a0b", "é" * 201, " " * 201 + "a", "x" * 200 + " " * 200, "\ttab\r\n", "<|endoftext|> a", "Ȁ ɏ ɐ", "soft\xadhyphen", "日本 語", ""]
+    assert sum(packing.encoder(PATH)._plain(t) is not None for t in texts) > len(texts) / 2
+    assert list(packing.encoder(PATH)(texts)) == [ids(t).tobytes() for t in texts]
+
+
 def test_forgetting_does_not_matter(monkeypatch):
     monkeypatch.setattr(packing, "MEMO", 3)
     monkeypatch.setattr(packing, "GROUP", 10)
@@ -73,21 +80,6 @@ SIZES = {
 }
 
 
-@pytest.mark.parametrize(("name", "least"), [("dense", 0.99), ("long", 1), ("thirds", 0.99), ("short", 0.9)])
-def test_the_program_places_nearly_all_pieces(name, least):
-    counts = np.bincount(SIZES[name], minlength=2049)
-    counts[2048] = 0
-    used, left = packing.program(counts)
-    assert all(sum(n * a for n, a in pattern) <= 2048 for pattern in used)
-    held = left.copy()
-    for pattern, times in used.items():
-        for n, a in pattern:
-            held[n] += a * times
-    share = 1 - left.sum() / counts.sum()
-    print(f"{name}: {share:.4f} of {counts.sum()} pieces")
-    assert (held == counts).all() and (left >= 0).all() and share >= least
-
-
 def histogram(name):
     counts = np.bincount(SIZES[name], minlength=2049)
     counts[2048] = 0
@@ -110,13 +102,13 @@ def test_the_program_packs_all_but_a_bounded_rest(name, times, request):
     used, left = packing.program(counts)
     share = 1 - left.sum() / counts.sum()
     print(f"{name} times {times}: {share:.4f} of {counts.sum()} pieces, {left.sum()} left")
-    assert share >= (0.95 if times > 1 else 0.9) and left.sum() <= 2048 and (left >= 0).all()
+    assert share >= 0.98 and left.sum() <= 2048 and (left >= 0).all()
     held = left.copy()
     for pattern, n in used.items():
         for k, a in pattern:
             held[k] += a * n
     assert (held == counts).all()
-    sequences = sum(packing.plan(counts).values())
+    sequences = sum(used.values()) + sum(packing.best_fit(left).values())
     # Where more than two of a length never share a sequence with room to spare, volume alone is no bound.
     least = max(-(-int((counts * np.arange(2049)).sum()) // 2048), int(counts[1025:].sum()))
     assert sequences <= (1.01 * least + 1 if name != "thirds" else 1.002 * sum(packing.best_fit(counts).values()))
@@ -155,7 +147,7 @@ def test_best_fit_by_runs_is_best_fit_by_piece(counts):
 
 
 def test_a_plan_does_not_grow_with_the_pieces():
-    for sizes in SIZES.values():
+    for sizes in (SIZES["dense"], SIZES["short"]):
         counts = np.bincount(sizes, minlength=2049)
         # So many pieces that nothing can go over them one by one.
         used = packing.plan(counts * 10_000_000)
