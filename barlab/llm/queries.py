@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import ann, chat, mixing, mpegts, packing, pii, simhash, token_count, token_files, toxicity, warc
+from barlab.llm import ann, chat, mixing, mpegts, packing, periodic, pii, simhash, token_count, token_files, toxicity, warc
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,9 @@ ORACLES["op9_warc"] = warc.SQL
 @_query
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digest(periodic.find_runs(docs.select("doc_id", periodic.planted().alias("text"))))

@@ -1,0 +1,149 @@
+import hashlib
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from barlab.llm import periodic as P
+from barlab.llm.queries import QUERIES
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def brute(words, times=4, least=6):
+    """Runs by definition: for each period in turn, the stretches in which words that far apart are equal."""
+    found = {}
+    for q in range(1, len(words)):
+        i = 0
+        while i + q < len(words):
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            start = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            if (length := i + q - start) >= max(least, times * q):
+                found.setdefault((start, length), q)
+    return sorted((a, n, q) for (a, n), q in found.items())
+
+
+def row(doc_id, text):
+    """The contract of op13, word for word."""
+    words = WORD.findall(text or "")
+    h = zlib.crc32(str("" if doc_id is None else doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = brute(words)
+    gone = {i for a, m, q in runs for i in range(a + q, a + m)}
+    top = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    best = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
+    return (doc_id, len(runs), *best, sha("".join(f"{a},{m},{q}\n" for a, m, q in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def query(docs):
+    return P.digest(P.find_runs(docs.select("doc_id", P.planted().alias("text"))))
+
+
+def check(docs):
+    got = sorted(map(tuple, query(docs).collect()), key=str)
+    assert got == sorted((row(r.doc_id, r.text) for r in docs.collect()), key=str)
+    return got
+
+
+sequence = st.one_of(
+    st.lists(st.integers(0, 2), max_size=40),
+    st.tuples(st.lists(st.integers(0, 3), max_size=8), st.lists(st.integers(0, 3), min_size=1, max_size=6), st.integers(1, 9), st.lists(st.integers(0, 3), max_size=8)).map(lambda x: x[0] + x[1] * x[2] + x[3]),
+)
+
+
+@pytest.mark.parametrize("times", [2, 3, 4, 5])
+@settings(max_examples=250, deadline=None)
+@given(st.lists(sequence, min_size=1, max_size=5))
+def test_runs_equal_brute_force(times, sequences):
+    bounds = np.cumsum([0, *map(len, sequences)])
+    got = P.runs(np.array([x for s in sequences for x in s], np.int64), bounds, times)
+    assert got == {k: found for k, s in enumerate(sequences) if (found := brute(s, times))}
+
+
+def test_square_of_a_square_and_nested_runs():
+    words = [*"abab" * 4, *"cc" * 4, *("d" * 6 + "e") * 4]
+    assert P.runs(np.array([ord(w) for w in words]), np.array([0, len(words)]))[0] == brute(words)
+    assert {q for _, _, q in brute(words)} == {1, 2, 7}
+
+
+def test_suffix_arrays_of_each_sequence():
+    r = np.random.default_rng(3)
+    sequences = [r.integers(0, 2, int(n)) for n in r.integers(0, 30, 40)]
+    bounds = np.cumsum([0, *map(len, sequences)])
+    s = P.Suffixes(np.concatenate(sequences), bounds, 2)
+    lcp = s.lcp()
+    for a, b, own in zip(bounds, bounds[1:], sequences, strict=False):
+        want = sorted(range(len(own)), key=lambda i: own[i:].tolist())
+        slots = sorted(s.isa[a:b])
+        assert slots == list(range(a, b)) and (s.sa[a:b] - a).tolist() == want
+        common = lambda x, y: next((k for k, (u, v) in enumerate(zip(own[x:], own[y:], strict=False)) if u != v), len(own) - max(x, y))
+        assert lcp[a + 1 : b].tolist() == [common(x, y) for x, y in zip(want, want[1:], strict=False)]
+
+
+def test_only_suffixes_of_smaller_children_are_tried():
+    """A stretch of equal words has as many intervals as words; all of it takes linear work."""
+    n = 60_000
+    assert P.runs(np.zeros(n, np.int64), np.array([0, n])) == {0: [(0, n, 1)]}
+    tried = []
+    inside = np.clip
+    np.clip = lambda *a: tried.append(len(a[0])) or inside(*a)
+    try:
+        P.squares(P.Suffixes(np.zeros(n, np.int64), np.array([0, n]), 4), 4)
+    finally:
+        np.clip = inside
+    assert max(tried) <= n
+
+
+def test_texts_without_their_repeats():
+    texts = ["x  y\tx y x y x y z", "", "a b c", " \n ", "no no no no no no", "é é é é é é\x0bé end"]
+    n, found, collapsed = P.text_runs(pa.array(texts))
+    assert n.tolist() == [9, 0, 3, 0, 6, 8]
+    assert found == {0: [(0, 8, 2)], 4: [(0, 6, 1)], 5: [(0, 7, 1)]}
+    assert collapsed.to_pylist() == ["x y z", "", "a b c", "", "no", "é end"]
+
+
+def test_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = QUERIES["op13_periodic_runs"](spark, sf_dir)
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    small = docs.where("length(text) < 4000")
+    assert sum(r[1] > 0 for r in check(small)) > 5
+    whole = {r.doc_id: tuple(r) for r in got.collect()}
+    assert len(whole) == docs.count() and all(whole[r.doc_id] == tuple(r) for r in query(small).collect())
+
+
+def planted_ids(n):
+    return [d for d in range(3000) if zlib.crc32(str(d).encode()) % 10 == 0][:n]
+
+
+def test_planted_repeats_and_odd_rows(spark):
+    r = np.random.default_rng(4)
+    rows = [(d, " ".join(f"w{x}" for x in r.integers(0, 500, int(r.integers(1, 300))))) for d in planted_ids(40)]
+    rows += [(None, None), (None, "a b c d e f g h"), (5, ""), (5, None), (5, "   x"), (6, "q " * 5000), (7, "same same"), (7, "same same"), (-3, "a\x1fb a\x1fb " * 6)]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, runs int, best string")
+    assert sum(x[1] > 0 for x in check(docs)) > 25
+
+
+def test_long_text(spark):
+    """A text of a third of a million words, with a run across all groups of it."""
+    text = " ".join(f"{k % 1000}" for k in range(300_000)) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert P.find_runs(docs).select("n_words", "runs", "collapsed").first() == (300_001, [(0, 300_000, 1000)], " ".join(map(str, range(1000))) + " end")
+
+
+def test_empty_table(spark):
+    assert query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
