@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import ann, chat, mixing, mpegts, packing, periodic, pii, simhash, token_count, token_files, toxicity, warc
+from barlab.llm import ann, chat, mixing, mpegts, packing, periodic, pii, repair, simhash, token_count, token_files, toxicity, warc
 from barlab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return periodic.digest(periodic.find_runs(docs.select("doc_id", periodic.planted().alias("text"))))
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op12_conversation_repair"] = repair.SQL
