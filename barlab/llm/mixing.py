@@ -97,9 +97,18 @@ def _sums(slim: DataFrame, epochs: int) -> _Sums:
     return replace(sums, offsets=durable(offsets.drop("own")))
 
 
+def _tie(rows: DataFrame) -> Column:
+    """A hash of all columns of ``doc``, and of which are null; maps, which have no hash, by their JSON."""
+    parts = []
+    for f in rows.schema["doc"].dataType.fields:
+        value = F.col("doc").getField(f.name)
+        parts += [F.to_json(F.struct(value.alias("v"))) if "map<" in f.dataType.simpleString() else value, value.isNull()]
+    return F.xxhash64(*parts)
+
+
 def _placed(rows: DataFrame, sums: _Sums, id_col: str) -> DataFrame:
     """``rows`` with source_size, target, goal, drift and the place before each."""
-    rows = rows.withColumn("bucket", sums.bucket()).withColumn("tie", F.xxhash64("doc"))
+    rows = rows.withColumn("bucket", sums.bucket()).withColumn("tie", _tie(rows))
     inside = W.partitionBy("source_key", "bucket").orderBy("key", F.col("doc").getField(id_col), "tie").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("place", F.sum("size").over(inside) - F.col("size")).join(sums.offsets, ["source_key", "bucket"])
     return rows.withColumn("place", F.col("place") + F.col("base"))

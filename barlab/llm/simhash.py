@@ -5,20 +5,21 @@ four words (the whole sequence where there are fewer) hashed by XXH64 with seed
 half of the hashes have it. Fingerprints that differ in at most ``radius`` bits are linked; a document's
 component holds all that links reach.
 
-Only distinct fingerprints are compared, so copies cost one row. They are dealt to shards: 64 bits fall
-into blocks of which two fingerprints within the radius share at least ``blocks - radius``, so a shard
-holds the fingerprints that agree in such a choice of blocks and no link is lost. A shard has a BK-tree
+Only distinct fingerprints are compared, so copies cost one row. They are dealt to shards of about ``SHARD``: 64 bits fall
+into blocks of which two fingerprints within the radius share at least ``blocks - radius``, so they share some bits of each of
+those too; a shard holds the fingerprints that agree in the low bits of such a choice of blocks, as many bits as
+the number of fingerprints asks for, and no link is lost. A shard has a BK-tree
 (children keyed by their Hamming distance to the parent); each fingerprint follows only the edges within
 the radius of its own distance. A shard of over ``TREE`` fingerprints is split into several trees, each
 met by all fingerprints of the shard as a stream, so memory is bounded and the work spreads over tasks.
-Trees reach their queries by a shuffle on the shard, as broadcasting every tree would compare all rows
-with all others. A tree returns a spanning set of its links, never all pairs within a group.
+Trees reach their queries by a shuffle on the shard: a broadcast would pass the fingerprints of all documents through
+the driver. A tree returns a spanning set of its links, never all pairs within a group.
 
 Components are found by large-star and small-star rounds on the links, each cut by a checkpoint.
 
 Null and empty texts have fingerprint 0 and are linked like any other. Null ids never name a component
 unless it has no other; repeated rows share a component; an empty table gives an empty result; further
-columns are ignored by ``components`` and kept by ``keep_one``.
+columns are ignored by ``near_duplicates`` and kept by ``keep_one``, of any type and name.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import durable, unused
+from barlab.llm.common import durable
 
 RADIUS = 4
 SHINGLE = 4
-#: Fingerprints in one tree, and in a leaf, which is scanned at once.
-TREE, LEAF = 8192, 48
-#: Mean number of fingerprints of a shard beyond which shards are cut finer.
-SHARD = 2048
+#: Fingerprints in one tree at most, and in a leaf, which is scanned at once.
+TREE, LEAF = 8192, 4
+#: Mean number of fingerprints of a shard beyond which shards are cut finer, by a bit.
+SHARD = 1024
 _SLICE = 1 << 16
 
 
@@ -71,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], [*batch.schema.names[1:], "fp"])
 
     kept = [F.col(id_col).cast("long").alias("doc_id"), *([row_key.alias("row_key")] if row_key is not None else [])]
-    return docs.select(F.col(text_col).alias("text"), *kept).mapInArrow(run, "doc_id long, " + "row_key long, " * (row_key is not None) + "fp long")
+    return docs.select(F.col(text_col).alias("text"), *kept).mapInArrow(run, "doc_id long, " + "row_key binary, " * (row_key is not None) + "fp long")
 
 
 class BKTree:
@@ -90,22 +91,34 @@ class BKTree:
         parts = np.split(own[1:][order], first[1:])
         return int(own[0]), [(int(k), self._build(part)) for k, part in zip(keys, parts, strict=True)]
 
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(item, indices of the queries within the radius of it), for all queries at once."""
+    def search(self, queries: np.ndarray, radius: int, stats: dict[str, int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, indices of the queries within the radius of it), for all queries at once.
+
+        ``stats`` counts, over all queries, what is compared with items of inner nodes and of leaves, and edges that are not followed.
+        """
+        stats = {} if stats is None else stats
+
+        def add(name: str, n: int) -> None:
+            stats[name] = stats.get(name, 0) + n
+
         stack = [(self.root, np.arange(len(queries)))]
         while stack:
             node, at = stack.pop()
             if isinstance(node, np.ndarray):
+                add("leaf", len(node) * len(at))
                 for i, near in zip(node.tolist(), np.bitwise_count(self.items[node][:, None] ^ queries[at][None, :]) <= radius, strict=True):
                     if near.any():
                         yield i, at[near]
                 continue
             i, children = node
+            add("inner", len(at))
             distance = np.bitwise_count(queries[at] ^ self.items[i]).astype(np.int16)
             if (near := distance <= radius).any():
                 yield i, at[near]
             for key, child in children:
-                if (follow := np.abs(distance - key) <= radius).any():
+                follow = np.flatnonzero(np.abs(distance - key) <= radius)
+                add("pruned", len(at) - len(follow))
+                if len(follow):
                     stack.append((child, at[follow]))
 
 
@@ -136,10 +149,19 @@ class _Links:
                 yield np.full(len(new), self.tree.items[i]), new
 
 
-def _shards(blocks: int, radius: int) -> list[tuple[int, int]]:
-    """(number, mask) of each choice of blocks that fingerprints of a shard agree in."""
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
-    part = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:], strict=False)]
+def _shards(n: int, radius: int, blocks: int | None = None, shard: int = SHARD) -> list[tuple[int, int]]:
+    """(number, mask) of each choice of bits that fingerprints of a shard agree in, for ``n`` fingerprints.
+
+    Of a choice of ``blocks - radius`` blocks the low bits count, as many as make shards of up to ``shard`` on average;
+    there are as few blocks as have so many bits.
+    """
+    bits = max(0, -(-n // shard) - 1).bit_length()
+    if bits == 0:
+        return [(0, 0)]
+    if blocks is None:
+        blocks = next(b for b in range(radius + 1, 17) if b == 16 or (64 // b) * (b - radius) >= bits)
+    width = min(64 // blocks, -(-bits // (blocks - radius)))
+    part = [((1 << width) - 1) << (64 * k // blocks) for k in range(blocks)]
     return list(enumerate(sum(part[k] for k in chosen) for chosen in combinations(range(blocks), blocks - radius)))
 
 
@@ -147,16 +169,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, tree: int = TREE) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, tree: int = TREE, shard: int = SHARD) -> DataFrame:
     """(a, b) of linked fingerprints: what connects all that are within ``radius`` of each other.
 
     ``nodes`` has distinct fingerprints ``fp``; ``blocks``: into how many parts 64 bits fall (by default
-    as many as keep shards small), over ``radius``.
+    as few as can make shards of ``shard``), over ``radius``.
     """
-    n = nodes.count()
-    if blocks is None:
-        blocks = next(b for b in range(radius + 1, 13) if b == 12 or n >> (64 * (b - radius) // b) <= SHARD)
-    shards = _shards(blocks, radius)
+    shards = _shards(nodes.count(), radius, blocks, shard)
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("agreed")) for k, mask in shards])).alias("shard")).select("fp", "shard.*")
     # Fingerprints that are alone in their shard have no link there; large shards are met tree by tree.
     trees = durable(keyed.groupBy("choice", "agreed").count().where("count > 1").withColumn("trees", F.ceil(F.col("count") / tree).cast("int")))
@@ -231,10 +250,10 @@ def stars(edges: DataFrame) -> DataFrame:
     return now
 
 
-def components(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, tree: int = TREE) -> DataFrame:
+def components(prints: DataFrame, radius: int = RADIUS, **options: int) -> DataFrame:
     """``prints`` (doc_id, fp, ...) with component_id, the least doc_id of the component, and ``label``, its least fp."""
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    star = stars(links(nodes, radius, blocks, tree))
+    star = stars(links(nodes, radius, **options))
     labelled = durable(nodes.join(star.withColumnsRenamed({"u": "fp", "v": "label"}), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     named = durable(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")))
     return prints.join(durable(labelled.join(named, "label").select("fp", "label", "component_id")), "fp")
@@ -247,9 +266,18 @@ def near_duplicates(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the least id (nulls last), then of the least hash of the row."""
-    key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    found = components(durable(fingerprints(docs, id_col, text_col, row_key=key)))
-    kept = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key")).distinct()
-    name = unused(docs, "row_key")
-    return docs.withColumn(name, key).join(durable(kept).withColumnRenamed("row_key", name), name, "left_semi").dropDuplicates([name]).drop(name)
+    """``docs`` with one row of each component: that of the least id (nulls last), then of the least checksum of the text, then of all columns.
+
+    Rows are named by a checksum of id and text, in which a null differs from any value. Rows of one name have one text and so
+    are in one component, so no other component loses its row.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(f"`{c}`").cast("string")), F.lit("-"))
+    key = F.unhex(F.sha2(F.concat(F.sha2(marked(id_col), 256), F.sha2(marked(text_col), 256)), 256))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), key.alias("row_key"))
+    found = components(durable(fingerprints(slim, row_key=F.col("row_key"))))
+    kept = durable(found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key")))
+    # Rows of a name differ in their other columns only; of maps too, which have no order, by their JSON.
+    rows = docs.select(key.alias("row_key"), F.struct(*columns).alias("doc")).join(kept, "row_key", "left_semi")
+    one = rows.groupBy("row_key").agg(F.min_by("doc", F.sha2(F.to_json("doc", {"ignoreNullFields": "false"}), 256)).alias("doc"))
+    return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -129,3 +129,14 @@ def test_no_python_in_the_plan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for df in (mixing.mixture(docs), mixing.curriculum(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_columns_of_any_type_and_name(spark):
+    rows = [(1, "a b c", "s", {"k": 1}, None, 7), (1, "a b c", "s", None, "x", 7), (1, "a b c", "s", {"k": 1}, None, None), (2, "d", "t", {}, "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.map` map<string, int>, tie string, `tie.x` int")
+    made = mixing.curriculum(docs)
+    assert made.schema.names == docs.schema.names
+    taken = {r.doc_id: r.taken for r in mixing.mixture(docs).collect()}
+    got = [tuple(r) for r in made.collect()]
+    assert sum(size(g[1]) for g in got if g[0] == 2) == taken[2] and {str(g[3:]) for g in got} <= {str(r[3:]) for r in rows}
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in mixing.curriculum(docs.repartition(4)).collect())

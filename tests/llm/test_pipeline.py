@@ -123,3 +123,10 @@ def test_nothing_is_lost_in_silence(spark, sf_dir, tmp_path, case):
     assert n[2] == len(set(components.values()))
     if case == "clashing names":
         assert all(r[c] == f"{c}{r.doc_id}" for r in kept[4].collect() for c in more)
+
+
+def test_rows_with_nulls_in_different_columns_all_count(spark, sf_dir):
+    rows = [(None, None, "en", "a", 1), (None, "en", None, "a", 1), (None, "en", "a", None, 1), (None, None, None, "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(str(r.text) for r in got) == ["None", "en"] and all(tuple(r) in rows for r in got)

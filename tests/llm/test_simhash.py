@@ -67,7 +67,7 @@ def near(n, seed):
 
 
 def test_components(spark):
-    for seed, kwargs in ((1, {}), (2, {"tree": 40}), (3, {"blocks": 6, "tree": 64}), (4, {"blocks": 8})):
+    for seed, kwargs in ((1, {}), (2, {"tree": 40}), (3, {"blocks": 6, "tree": 64, "shard": 50}), (4, {"blocks": 8, "shard": 4}), (5, {"shard": 1})):
         prints = near(400, seed)
         got = simhash.components(spark.createDataFrame(prints, "doc_id long, fp long"), **kwargs)
         assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(prints)
@@ -80,6 +80,35 @@ def test_tree_finds_all_within_the_radius():
     assert found == {(i, j) for i in range(len(items)) for j in np.flatnonzero(np.bitwise_count(items[i] ^ items) <= 3)}
 
 
+def test_shards_lose_no_link():
+    rng = np.random.default_rng(8)
+    for n in (10, 3000, 10**5, 10**7, 10**9, 10**13):
+        shards = simhash._shards(n, 4)
+        assert len(shards) <= 1820 and (n > 10**9 or len(shards) <= 35)
+        assert n >> min(mask.bit_count() for _, mask in shards) <= simhash.SHARD
+        for _ in range(300):
+            flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(flips & mask == 0 for _, mask in shards)
+
+
+def test_trees_have_nodes_and_prune_edges(spark):
+    """Of sf0.1, shard by shard as ``links`` deals them: trees have inner nodes, and queries meet a part of them."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    fps = np.unique(np.array([simhash.fingerprint(t) for t in texts], np.uint64))
+    stats, pairs, whole, inner = {}, 0, 0, 0
+    for _, mask in simhash._shards(len(fps), 4)[:2]:
+        agreed = fps & np.uint64(mask)
+        for value in np.unique(agreed):
+            items = fps[agreed == value]
+            tree = simhash.BKTree(items)
+            whole, pairs, inner = whole + len(items), pairs + len(items) ** 2, inner + len(items) * isinstance(tree.root, tuple)
+            found = sum(len(near) for _, near in tree.search(items, 4, stats))
+            assert found == sum((np.bitwise_count(x ^ items) <= 4).sum() for x in items)
+    assert inner > 0.99 * whole and pairs / whole > 500
+    assert stats["inner"] > 0.2 * stats["leaf"] and stats["pruned"] > 0.1 * pairs
+    assert stats["inner"] + stats["leaf"] < 0.3 * pairs
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.collect()
@@ -99,3 +128,18 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert got == [(4, 4), (5, 4), (7, 7), (7, 7), (None, 7), (None, None)]
     assert sorted(((r.doc_id, r.fp, r.row_key) for r in simhash.keep_one(docs).collect()), key=str) == [(4, 2, 9), (7, 3, 9), (None, 4, 9)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_rows_that_differ_in_where_a_null_is(spark):
+    """A row is not its hash: each component keeps one, whatever its nulls and the names and types of its columns."""
+    text = "one two three four five six"
+    rows = [(None, None, "en", 1, {"a": 1}), (None, "en", None, 1, {"a": 1}), (3, text, None, 1, None), (3, text, "en", 1, {"b": 2}), (3, None, text, 1, None), (4, text + " seven", None, 2, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` int, `row_key` map<string, int>")
+    component = brute_components([(k, simhash._signed(brute_print(r[1]))) for k, r in enumerate(rows)])
+    kept = simhash.keep_one(docs)
+    assert kept.schema.names == docs.schema.names
+    got = [tuple(r) for r in kept.collect()]
+    assert len(got) == len(set(component.values())) == 4
+    assert sorted(str(g[1]) for g in got) == ["None", "en", text, text + " seven"]
+    assert all(g in [tuple(r) for r in rows] for g in got)
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in simhash.keep_one(docs.repartition(5)).collect())
