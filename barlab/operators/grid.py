@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.columns import MILLI, Settings
-from barlab.operators.backtest import fold, spend
+from barlab.operators.backtest import Walk, spend
 from barlab.operators.metrics import YEAR
 
 
@@ -25,16 +25,18 @@ def _figures(equity: np.ndarray, cash: float) -> tuple[float, float, float]:
     return (equity[-1] - cash) / cash if cash > 0 else 0.0, change.mean() / spread * YEAR**0.5 if spread else 0.0, max(fall.max(), 0.0)
 
 
-def sma_grid(bars: DataFrame, fast: Iterable[int] = range(3, 11), slow: Iterable[int] = range(15, 51), settings: Settings = Settings(), top_k: int = 10) -> DataFrame:
+def sma_grid(bars: DataFrame, fast: Iterable[int] = range(3, 11), slow: Iterable[int] = range(15, 51), settings: Settings = Settings(), top_k: int = 10, pair_blocks: int | None = None) -> DataFrame:
     """The ``top_k`` pairs of each symbol by return, of the ledger on the crossing of their means.
 
-    A symbol's bars are read once for all pairs: multiplying bars by pairs first, as rows, was fifteen
+    A symbol's bars are read once for a block of pairs: multiplying bars by all pairs, as rows, was fifteen
     times slower. Sums of all lengths are differences of one running sum, in whole numbers; each pair
-    returns one row of figures.
+    returns one row of figures. With exits each pair walks its own ledger, so the fast means are dealt to ``pair_blocks``
+    (by default each its own) and tasks get a symbol and a block; without, all pairs that buy at the same bar share one and there is one block.
     """
     fasts, slows = sorted(set(fast)), np.array(sorted(set(slow)))
     longest = max(*fasts, *slows)
     hold = settings.stop_loss <= 0 and settings.take_profit <= 0
+    blocks = max(1, min(len(fasts), pair_blocks or (1 if hold else len(fasts))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
@@ -45,7 +47,7 @@ def sma_grid(bars: DataFrame, fast: Iterable[int] = range(3, 11), slow: Iterable
         by_slow = np.stack([total(n) for n in slows])
         enough = np.arange(len(close)) >= slows[:, None]
         payable = spend(price, settings) <= settings.cash
-        for f in fasts:
+        for f in fasts[int(pdf["block"].iloc[0]) :: blocks]:
             above = total(f) * slows[:, None] > by_slow * f
             crosses = np.zeros_like(above)
             crosses[:, 1:] = above[:, 1:] & ~above[:, :-1]
@@ -56,13 +58,14 @@ def sma_grid(bars: DataFrame, fast: Iterable[int] = range(3, 11), slow: Iterable
                 # Without exits the ledger depends on its first affordable signal alone.
                 key = int((signal & payable).argmax()) if hold and (signal & payable).any() else (-1 if hold else signal.tobytes())
                 if key not in known:
-                    cash, position = fold(price, signal.astype(np.int64), settings)
+                    cash, position = Walk(settings).pass_bars(price, signal)
                     known[key] = _figures(cash + position * price, settings.cash)
                 rows.append((pdf["symbol"].iloc[0], f, s, *known[key], int(signal.sum())))
         return pd.DataFrame(rows, columns=["symbol", "fast", "slow", "total_return", "sharpe", "max_drawdown", "signals"])
 
     # A number of partitions is given, as adaptive coalescing looks at bytes and the work here is per byte heavy.
-    spread = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close").repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")
-    found = spread.groupBy("symbol").applyInPandas(run, "symbol string, fast int, slow int, total_return double, sharpe double, max_drawdown double, signals long")
+    rows = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    spread = rows.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "block")
+    found = spread.groupBy("symbol", "block").applyInPandas(run, "symbol string, fast int, slow int, total_return double, sharpe double, max_drawdown double, signals long")
     best = Window.partitionBy("symbol").orderBy(F.desc(F.round("total_return", 9)), "fast", "slow")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)

@@ -9,14 +9,26 @@ averages are equal. A rule may be
 - a prefix function: ``@prefix_rule("name")`` on ``fn(symbol, pdf) -> bool`` over each prefix, which takes
   quadratic time and serves as a compatible form and as a test oracle.
 
+Rules may also see a symbol's snapshot (``info``) and its minute bars, of which those up to the end of each bar's day count:
+
+- ``@rule("name", info=True, minutes=lambda: {"top": F.max("high")})``: the columns ``info`` and ``minute`` are structs, of the snapshot and of
+  aggregates of the day's minute bars (null where it has none);
+- ``@pandas_rule("name", full=True)`` on ``fn(info, day, minute) -> bools``, and ``@prefix_rule("name", full=True)`` on ``fn(info,
+  day, minute) -> bool``: day and minute bars of a symbol are cogrouped; ``info`` is a dict.
+
+Minute bars and names are passed as ``feeds``; without them there are none. The snapshot is of the symbol's last bar in the range,
+also for earlier bars, as in the blueprint (its decision Q6): a rule that reads its price looks ahead.
+
 Names are looked up in one registry; a later registration shadows an earlier one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +46,74 @@ def _from_column(fn: Callable[[Frame], Column]) -> Rule:
     return lambda bars, frame, out: bars.withColumn(out, F.coalesce(fn(frame), F.lit(False)))
 
 
-def rule(name: str) -> Callable:
-    """Registers a rule given as a column."""
+@dataclass(frozen=True)
+class Feeds:
+    """What rules may see beside the bars: minute bars of the same symbols, and (symbol, name)."""
+
+    minutes: DataFrame | None = None
+    names: DataFrame | None = None
+
+    def minutes_of(self, bars: DataFrame) -> DataFrame:
+        """The minute bars; where there are none, an empty table like ``bars``."""
+        return bars.sparkSession.createDataFrame([], bars.schema) if self.minutes is None else self.minutes
+
+
+@dataclass(frozen=True)
+class Fed:
+    """A rule that sees feeds; called like any other rule, it has none."""
+
+    run: Callable[[DataFrame, Frame, str, Feeds], DataFrame]
+
+    def __call__(self, bars: DataFrame, frame: Frame, out: str) -> DataFrame:
+        return self.run(bars, frame, out, Feeds())
+
+
+#: Fields of the snapshot, in the order and with the types of the blueprint.
+INFO = "code string, name string, price long, turnover double, float_stock long, total_stock long, float_value long, total_value long"
+
+
+def info_of(bars: DataFrame, frame: Frame = FRAME, feeds: Feeds = Feeds()) -> DataFrame:
+    """(symbol, info): each symbol's snapshot as a struct; null fields where bars have no such column."""
+    have = {c: F.max_by(c, frame.ts) for c in ("turnover", "float_stock", "total_stock") if c in bars.columns}
+    last = bars.groupBy(frame.symbol).agg(F.max_by("close", frame.ts).alias("price"), *[v.alias(c) for c, v in have.items()])
+    if feeds.names is not None:
+        last = last.join(feeds.names.groupBy("symbol").agg(F.min("name").alias("name")).withColumnRenamed("symbol", frame.symbol), frame.symbol, "left")
+    value = lambda c: F.col(c) if c in last.columns else F.lit(None)
+    made = {"code": F.col(frame.symbol), "float_value": value("float_stock") * F.col("price"), "total_value": value("total_stock") * F.col("price")}
+    fields = [made.get(n, value(n)).cast(k).alias(n) for n, k in (f.split(" ") for f in INFO.split(", "))]
+    return last.select(frame.symbol, F.struct(*fields).alias("info"))
+
+
+def _day(ts: str) -> Column:
+    return F.to_date(ts)
+
+
+def _with_feeds(fn: Callable[[Frame], Column], info: bool, minutes: Callable[[], dict[str, Column]] | None) -> Fed:
+    """The rule of a column that reads ``info`` and ``minute``."""
+
+    def run(bars: DataFrame, frame: Frame, out: str, feeds: Feeds) -> DataFrame:
+        rows, taken = bars, {c.lower() for c in bars.columns}
+        if taken & {"info", "minute"}:
+            raise ValueError("bars have a column info or minute already")
+        (day,) = unused(bars, "_day")
+        if minutes:
+            source = feeds.minutes_of(bars)
+            parts = minutes()
+            made = source.groupBy(frame.symbol, _day(frame.ts).alias(day)).agg(*[a.alias(c) for c, a in parts.items()])
+            own = made.select(frame.symbol, day, F.struct(*parts).alias("minute"))
+            rows = rows.withColumn(day, _day(frame.ts)).join(own, [frame.symbol, day], "left").drop(day)
+        if info:
+            rows = rows.join(info_of(bars, frame, feeds), frame.symbol, "left")
+        return _from_column(fn)(rows, frame, out).select(*bars.columns, out)
+
+    return Fed(run)
+
+
+def rule(name: str, info: bool = False, minutes: Callable[[], dict[str, Column]] | None = None) -> Callable:
+    """Registers a rule given as a column; ``minutes`` makes the aggregates of a day's minute bars that it reads."""
 
     def add(fn: Callable[[Frame], Column]) -> Callable[[Frame], Column]:
-        _RULES[name] = _from_column(fn)
+        _RULES[name] = _with_feeds(fn, info, minutes) if info or minutes else _from_column(fn)
         return fn
 
     return add
@@ -68,21 +143,59 @@ def _grouped(series: Callable[[str, pd.DataFrame], Iterable[bool]]) -> Rule:
     return apply
 
 
-def pandas_rule(name: str) -> Callable:
-    """Registers a rule given as a function of a symbol's whole ordered series."""
+#: (info, day bars, minute bars, number of minute bars up to the end of each day) -> bools.
+_Series = Callable[[dict, pd.DataFrame, pd.DataFrame, np.ndarray], Iterable[bool]]
+
+
+def _cogrouped(series: _Series) -> Fed:
+    def apply(bars: DataFrame, frame: Frame, out: str, feeds: Feeds) -> DataFrame:
+        symbol, ts = frame.symbol, frame.ts
+        (info,) = unused(bars, "_info")
+        minutes = feeds.minutes_of(bars)
+        minutes = minutes.toDF(*minutes.columns)  # new columns, where day bars were made of minute bars
+        rows = bars.join(info_of(bars, frame, feeds).withColumnRenamed("info", info), symbol, "left")
+
+        def run(day: pd.DataFrame, minute: pd.DataFrame) -> pd.DataFrame:
+            day = day.sort_values(ts, kind="stable").reset_index(drop=True)
+            minute = minute.sort_values(ts, kind="stable").reset_index(drop=True)
+            if day.empty:
+                return day.drop(columns=[info]).assign(**{out: pd.Series(dtype=bool)})
+            own = day[info].iloc[0]
+            ends = pd.to_datetime(day[ts]).dt.normalize() + pd.Timedelta(days=1)
+            seen = np.searchsorted(pd.to_datetime(minute[ts]).to_numpy(), ends.to_numpy(), side="left")
+            day = day.drop(columns=[info])
+            return day.assign(**{out: [bool(x) for x in series(own if isinstance(own, dict) else own.asDict(), day, minute, seen)]})
+
+        schema = T.StructType([*bars.schema.fields, T.StructField(out, T.BooleanType())])
+        return rows.groupBy(symbol).cogroup(minutes.groupBy(symbol)).applyInPandas(run, schema)
+
+    return Fed(apply)
 
-    def add(fn: Callable[[pd.DataFrame], Iterable[bool]]) -> Callable:
-        _RULES[name] = _grouped(lambda _, pdf: fn(pdf))
+
+def pandas_rule(name: str, full: bool = False) -> Callable:
+    """Registers a rule given as a function of a symbol's whole ordered series; ``full``: of its snapshot, day bars and minute bars.
+
+    Minute bars come whole; the column ``minutes_seen`` of the day bars says how many of them there are up to each day's end.
+    """
+
+    def add(fn: Callable[..., Iterable[bool]]) -> Callable:
+        if full:
+            _RULES[name] = _cogrouped(lambda info, day, minute, seen: fn(info, day.assign(minutes_seen=seen), minute))
+        else:
+            _RULES[name] = _grouped(lambda _, pdf: fn(pdf))
         return fn
 
     return add
 
 
-def prefix_rule(name: str) -> Callable:
-    """Registers a rule given as a function of the symbol and each prefix of its series."""
+def prefix_rule(name: str, full: bool = False) -> Callable:
+    """Registers a rule given as a function of the symbol and each prefix of its series; ``full``: of its snapshot, and prefixes of day and minute bars."""
 
-    def add(fn: Callable[[str, pd.DataFrame], bool]) -> Callable:
-        _RULES[name] = _grouped(lambda symbol, pdf: (fn(symbol, pdf.iloc[: i + 1]) for i in range(len(pdf))))
+    def add(fn: Callable[..., bool]) -> Callable:
+        if full:
+            _RULES[name] = _cogrouped(lambda info, day, minute, seen: (fn(info, day.iloc[: i + 1], minute.iloc[:n]) for i, n in enumerate(seen)))
+        else:
+            _RULES[name] = _grouped(lambda symbol, pdf: (fn(symbol, pdf.iloc[: i + 1]) for i in range(len(pdf))))
         return fn
 
     return add
@@ -104,31 +217,35 @@ def lookup(given: str | Rule) -> Rule:
     return _RULES[given]
 
 
+def apply_rule(chosen: Rule, bars: DataFrame, frame: Frame, out: str, feeds: Feeds) -> DataFrame:
+    return chosen.run(bars, frame, out, feeds) if isinstance(chosen, Fed) else chosen(bars, frame, out)
+
+
 def all_of(given: Iterable[str | Rule]) -> Rule:
     """The rule that holds where all of ``given`` do."""
     rules = [lookup(r) for r in given]
     if not rules:
         raise ValueError("no rule is chosen")
 
-    def apply(bars: DataFrame, frame: Frame, out: str) -> DataFrame:
+    def run(bars: DataFrame, frame: Frame, out: str, feeds: Feeds) -> DataFrame:
         parts = unused(bars, *[f"_{out}_{k}" for k in range(len(rules))])
         for r, part in zip(rules, parts, strict=True):
-            bars = r(bars, frame, part)
+            bars = apply_rule(r, bars, frame, part, feeds)
         both = reduce(lambda a, b: a & b, [F.coalesce(F.col(p), F.lit(False)) for p in parts])
         return bars.withColumn(out, both).drop(*parts)
 
-    return apply
+    return Fed(run)
 
 
-def with_signal(bars: DataFrame, given: str | Rule | Iterable[str | Rule], out: str = "flag", frame: Frame = FRAME) -> DataFrame:
+def with_signal(bars: DataFrame, given: str | Rule | Iterable[str | Rule], out: str = "flag", frame: Frame = FRAME, feeds: Feeds = Feeds()) -> DataFrame:
     """``bars`` with the boolean column of a rule, or of all of several."""
     chosen = lookup(given) if isinstance(given, str) or callable(given) else all_of(given)
-    return chosen(bars, frame, out)
+    return apply_rule(chosen, bars, frame, out, feeds)
 
 
-def signal_series(bars: DataFrame, given: str | Rule | Iterable[str | Rule], frame: Frame = FRAME) -> DataFrame:
+def signal_series(bars: DataFrame, given: str | Rule | Iterable[str | Rule], frame: Frame = FRAME, feeds: Feeds = Feeds()) -> DataFrame:
     """``bars`` with ``signal``, 1 where the rule holds and else 0."""
-    return with_signal(bars, given, "signal", frame).withColumn("signal", F.col("signal").cast("int"))
+    return with_signal(bars, given, "signal", frame, feeds).withColumn("signal", F.col("signal").cast("int"))
 
 
 # ---------------------------------------------------------------- built-in rules

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.columns import time_range
 from barlab.functions.frames import FRAME, Frame, unused
-from barlab.operators.rules import Rule, with_signal
+from barlab.operators.rules import Feeds, Rule, with_signal
 
 
 def snapshot(bars: DataFrame) -> DataFrame:
@@ -30,14 +30,14 @@ def with_names(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.join(symbols.groupBy("symbol").agg(F.min("name").alias("name")), "symbol", "left")
 
 
-def screen(bars: DataFrame, rules: str | Rule | Iterable[str | Rule], start: datetime | str | None = None, end: datetime | str | None = None, frame: Frame = FRAME) -> DataFrame:
+def screen(bars: DataFrame, rules: str | Rule | Iterable[str | Rule], start: datetime | str | None = None, end: datetime | str | None = None, frame: Frame = FRAME, feeds: Feeds = Feeds()) -> DataFrame:
     """Symbols whose last bar in range satisfies all rules, with its price, and score and signal 0.
 
     The last row is taken by an aggregate that reuses the windows' exchange. Bars of one symbol should differ in
     time; of several at its last time, one where the rules hold counts before others.
     """
     (flag,) = unused(bars, "_flag")
-    rows = with_signal(bars.where(time_range(start, end)), rules, flag, frame)
+    rows = with_signal(bars.where(time_range(start, end)), rules, flag, frame, feeds)
     have = [c for c in ("turnover", "float_stock", "total_stock") if c in bars.columns]
     last = rows.groupBy("symbol").agg(F.max(F.struct("ts", F.col(flag).alias("_flag"), "close", *have)).alias("last")).where("last._flag")
     return last.select("symbol", "last.ts", F.col("last.close").alias("price"), *[f"last.{c}" for c in have], F.lit(0).alias("score"), F.lit(0).alias("signal"))

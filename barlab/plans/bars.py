@@ -16,7 +16,7 @@ from barlab.operators import indicators as E
 from barlab.operators import metrics as M
 from barlab.operators import rules as D
 from barlab.operators import screen as G
-from barlab.operators.backtest import backtest_hold, backtest_ledger, run_backtest
+from barlab.operators.backtest import backtest_hold, backtest_ledger, backtest_symbol, run_backtest
 from barlab.operators.backtest import trades as ledger_trades
 from barlab.operators.grid import sma_grid
 from barlab.operators.pivots import vertices
@@ -377,6 +377,59 @@ _signals(
 )
 _signals("user_prefix_rule", "rise_by_prefix", _with(BARS, f"r as (select *, {RISE} as flag from bars)", select="select symbol, ts, i from r where flag"))
 
+
+@D.rule("above_morning", info=True, minutes=lambda: {"morning": F.max(F.when(F.hour("ts") < 12, F.col("high"))), "prints": F.sum("volume")})
+def _above_morning(f):
+    """A rule that reads the day's minute bars and the snapshot: above the morning's high on two prints or more, and below the last price."""
+    return (F.col("close") > F.col("minute.morning")) & (F.col("minute.prints") >= 2) & (F.col("close") < F.col("info.price"))
+
+
+@D.pandas_rule("above_minutes", full=True)
+def _above_minutes(info: dict, day: pd.DataFrame, minute: pd.DataFrame) -> pd.Series:
+    """The day's close is above the mean of the last five minute bars, and the last price above the first open."""
+    last = minute["close"].rolling(5).sum().reindex(day["minutes_seen"] - 1).to_numpy()
+    return (5 * day["close"] > last) & (info["price"] > day["open"].iloc[0])
+
+
+@D.prefix_rule("above_minutes_by_prefix", full=True)
+def _above_minutes_by_prefix(info: dict, day: pd.DataFrame, minute: pd.DataFrame) -> bool:
+    return len(minute) >= 5 and 5 * day["close"].iloc[-1] > minute["close"].iloc[-5:].sum() and info["price"] > day["open"].iloc[0]
+
+
+#: Tables ``minutes`` and ``days`` of the same symbols; ``dm`` adds what rules read of both.
+TWO_INTERVALS = """minutes as (select symbol, date_trunc('minute', ts) as ts, arg_min(price, row(ts, event_id, price)) as open, max(price) as high, min(price) as low, arg_max(price, row(ts, event_id, price)) as close, count(*) as volume from ticks group by symbol, date_trunc('minute', ts)),
+m5 as (select *, case when count(*) over w = 5 then sum(close) over w end as five from minutes window w as (partition by symbol order by ts rows between 4 preceding and current row)),
+days as (select symbol, date_trunc('day', ts)::timestamp as ts, arg_min(open, ts) as open, max(high) as high, min(low) as low, arg_max(close, ts) as close, cast(sum(volume) as bigint) as volume,
+  max(high) filter (where hour(ts) < 12) as morning, arg_max_null(five, ts) as five from m5 group by symbol, date_trunc('day', m5.ts)),
+dm as (select *, arg_max(close, ts) over (partition by symbol) as price, first(open) over (partition by symbol order by ts) as first_open, row_number() over (partition by symbol order by ts) - 1 as i from days),
+ab as (select *, coalesce(close > morning and volume >= 2 and close < price, false) as above_morning, coalesce(5 * close > five and price > first_open, false) as above_minutes from dm)"""
+
+
+def _two_intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    minute = A.bars_from_ticks(prints(spark, sf_dir), "minute", ("event_id",)).select(*OHLCV)
+    return A.resample(minute, "day").select(*OHLCV), minute
+
+
+def _two_interval_signals(name: str, given: str, flag: str) -> None:
+    @register(name, _with(TICKS, TWO_INTERVALS, select=f"select symbol, ts::date as ts, close from ab where {flag}"))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        day, minute = _two_intervals(spark, sf_dir)
+        rows = D.with_signal(day, given, feeds=D.Feeds(minute)).where("flag")
+        return rows.select("symbol", F.col("ts").cast("date").alias("ts"), "close")
+
+
+_two_interval_signals("user_minute_rule", "above_morning", "above_morning")
+_two_interval_signals("user_minute_pandas_rule", "above_minutes", "above_minutes")
+_two_interval_signals("user_minute_prefix_rule", "above_minutes_by_prefix", "above_minutes")
+
+
+@register("screen_minutes", _with(TICKS, TWO_INTERVALS, select="select symbol, ts::date as ts, close as price from ab where above_minutes and i = (select max(i) from ab o where o.symbol = ab.symbol)"))
+def screen_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market screened on day and minute bars."""
+    day, minute = _two_intervals(spark, sf_dir)
+    return G.screen(day, ["above_minutes"], feeds=D.Feeds(minute)).select("symbol", F.col("ts").cast("date").alias("ts"), "price")
+
+
 # ---------------------------------------------------------------- indicators
 
 
@@ -537,6 +590,19 @@ def bt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.market_summary(_items(spark, sf_dir, SETTINGS)).select(*_r("avg_total_return", "avg_sharpe", "avg_max_drawdown"), "symbols")
 
 
+_ONE_SYMBOL = "sg as (select symbol, ts, i, close / 1000.0::double as close, above_minutes::integer as signal from ab where symbol = (select min(symbol) from ab))"
+
+
+@register("bt_symbol", _with(TICKS, TWO_INTERVALS, _ONE_SYMBOL, HOLD_TABLES.removeprefix(_RISING + ","), select=_LEDGER_SQL.replace("i, ts,", "i::integer as i, ts::date as ts,")))
+def bt_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest of one symbol on its stored day and minute bars."""
+    folder = _scratch(spark, "bars")
+    for interval, rows in zip(("day", "minute"), _two_intervals(spark, sf_dir), strict=True):
+        io.write_bars(rows, folder, interval)
+    first = io.scan_market(spark, folder).agg(F.min("symbol")).first()[0]
+    return _ledger_rows(backtest_symbol(spark, folder, first, "above_minutes", settings=SETTINGS))
+
+
 @register("bt_top", _with(BARS, HOLD_TABLES, _metrics(3000), select="select symbol, round(total_return, 6) as total_return from (select symbol, total_return from items order by total_return desc, symbol limit 50)"))
 def bt_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.market_top(_items(spark, sf_dir, SETTINGS), 50).select("symbol", *_r("total_return"))

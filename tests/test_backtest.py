@@ -1,3 +1,5 @@
+import re
+import time
 from datetime import date, timedelta
 
 import numpy as np
@@ -5,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlab.functions.columns import Settings, with_defaults
-from barlab.operators.backtest import backtest_hold, backtest_ledger, fold, trades
+from barlab.operators.backtest import Walk, backtest_hold, backtest_ledger, fold, trades
 from barlab.operators.grid import sma_grid
 from barlab.operators.metrics import annualized_return, by_symbol, market_summary, market_top
 from barlab.operators.rules import sma_cross, _from_column, signal_series
@@ -48,6 +50,58 @@ def test_fold_is_the_loop():
         assert list(zip(cash.tolist(), position.tolist(), strict=True)) == loop(close, signal, s)
 
 
+def test_parts_of_any_length_give_the_same_ledger():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        close = np.maximum(np.cumsum(rng.integers(-6, 7, n)) + 60, 1) / 2.0
+        signal = (rng.random(n) < rng.random() * 0.3).astype(int)
+        s = Settings(cash=float(rng.integers(20, 200)), min_fee=0.5, slippage=0.01, stop_loss=float(rng.choice([0, 0.02, 0.3])), take_profit=float(rng.choice([0.05, 0.6])))
+        walk, parts = Walk(s), np.split(np.arange(n), np.sort(rng.integers(0, n, int(rng.integers(0, 6)))))
+        got = [walk.pass_bars(close[k], signal[k] == 1) for k in parts]
+        assert [x for c, p in got for x in zip(c.tolist(), p.tolist(), strict=True)] == loop(close, signal, s)
+
+
+def test_a_million_bars_in_near_linear_time():
+    rng = np.random.default_rng(7)
+    s = Settings(cash=1e9, size=1, fee_rate=0.0, min_fee=0.0, stop_loss=0.0005, take_profit=0.0005)
+    n = 1_000_000
+    close = 1000 + np.cumsum(rng.normal(0, 0.4, n))
+    often, seldom = (rng.random(n) < 0.9), (rng.random(n) < 0.00001)
+    for signal, least in ((often, 300_000), (seldom, 5)):
+        start = time.perf_counter()
+        _, position = fold(close, signal, s)
+        assert time.perf_counter() - start < 10
+        assert np.count_nonzero(np.diff(position)) > least
+    # Held or poor to the end: every bar is looked at once or twice, not once for each signal.
+    poor = Settings(cash=1.0)
+    looked = []
+    found = Walk._first
+    Walk._first = staticmethod(lambda holds, i, m: found(lambda a, b: looked.append(b - a) or holds(a, b), i, m))
+    try:
+        fold(close, often, poor)
+    finally:
+        Walk._first = staticmethod(found)
+    assert sum(looked) <= n
+
+
+def test_one_long_symbol_streams_through_batches(spark):
+    """State is carried over Arrow batches, between symbols it is not."""
+    rng = np.random.default_rng(8)
+    s = Settings(cash=60.0, min_fee=0.5, stop_loss=0.02, take_profit=0.05)
+    own = {c: list(zip(np.maximum(np.cumsum(rng.integers(-300, 301, n)) + 20_000, 500), rng.integers(0, 2, n), strict=True)) for c, n in (("a", 3000), ("b", 10), ("c", 2000))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        got = {}
+        for r in sorted(backtest_ledger(signals(spark, own), s).collect(), key=lambda r: (r.symbol, r.ts)):
+            got.setdefault(r.symbol, []).append((r.i, r.cash, r.position))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c, rows in own.items():
+        want = loop([x / 1000.0 for x, _ in rows], [g for _, g in rows], s)
+        assert got[c] == [(k, *w) for k, w in enumerate(want)]
+
+
 def test_hold_equals_the_full_ledger(spark):
     rng = np.random.default_rng(3)
     series = {f"s{k}": list(zip(np.maximum(np.cumsum(rng.integers(-900, 1000, 60)) + 20_000, 500), rng.integers(0, 2, 60), strict=True)) for k in range(8)}
@@ -101,3 +155,13 @@ def test_grid_equals_single_backtests(spark):
         own = by_symbol(backtest_ledger(signal_series(bars, _from_column(sma_cross(fast, slow))), s), s.cash)
         for r in own.collect():
             assert got[r.symbol, fast, slow] == pytest.approx((r.total_return, r.sharpe, r.max_drawdown))
+
+
+def test_grid_with_exits_is_dealt_by_symbol_and_block_of_pairs(spark):
+    rng = np.random.default_rng(5)
+    bars = signals(spark, {"one": [(c, 0) for c in np.maximum(np.cumsum(rng.integers(-900, 1000, 300)) + 20_000, 500)]}).drop("signal")
+    s = Settings(cash=60.0, min_fee=1.0, stop_loss=0.05, take_profit=0.1)
+    dealt = sma_grid(bars, (3, 4, 5), (10, 20), s, top_k=6)
+    assert re.search(r"hashpartitioning\(symbol#\d+, block#\d+", dealt._jdf.queryExecution().executedPlan().toString())
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(dealt) == rows(sma_grid(bars, (3, 4, 5), (10, 20), s, top_k=6, pair_blocks=1))

@@ -1,6 +1,7 @@
 """Rules on hand-made bars, and against brute force over every prefix of random walks."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -203,3 +204,103 @@ def test_a_filter_on_the_symbol_goes_below_the_windows(spark, walks, tmp_path):
 def test_index(spark):
     rows = bars(spark, {"a": flat([1, 2, 3])}).withColumn("i", FRAME.index()).orderBy("ts").collect()
     assert [r.i for r in rows] == [0, 1, 2]
+
+
+# ---------------------------------------------------------------- day and minute bars, and the snapshot
+
+
+def two_intervals(spark, seed=3):
+    """(day bars, minute bars) of a few symbols; one without minutes, one with minutes on other days only."""
+    rng = np.random.default_rng(seed)
+    day, minute = [], []
+    for s in "abcd":
+        for k in range(25):
+            if rng.random() < 0.8:
+                day.append((s, datetime(2024, 1, 1) + timedelta(days=k, hours=int(rng.integers(0, 15))), *map(int, rng.integers(50, 60, 4)), int(rng.integers(1, 9)), int(rng.integers(1, 100))))
+            for _ in range(int(rng.integers(0, 5)) if s != "d" else 0):
+                at = datetime(2024, 1, 1) + timedelta(days=k + (100 if s == "c" else 0), seconds=int(rng.integers(0, 86400)))
+                minute.append((s, at, *map(int, rng.integers(50, 60, 4)), int(rng.integers(1, 9))))
+    columns = SCHEMA.replace("ts date", "ts timestamp")
+    return spark.createDataFrame(day, columns + ", float_stock long"), spark.createDataFrame(minute, columns)
+
+
+@pytest.fixture(scope="module")
+def by_hand():
+    """Registers rules of all three kinds, defined here as workers do not import this module; returns one in plain Python."""
+
+    def plain(info, day, minute):
+        """Of lists of bars: more minute bars today than the day before, the last above the day's open, and the last price even."""
+        today = [m for m in minute if m.ts.date() == day[-1].ts.date()]
+        before = [m for m in minute if m.ts.date() == (day[-1].ts - timedelta(days=1)).date()]
+        return len(today) > len(before) and today[-1].close >= day[-1].open and info.price % 2 == 0 and info.float_value == info.float_stock * info.price and info.name == "n" + info.code
+
+    @rules.prefix_rule("busy_by_prefix", full=True)
+    def _busy_by_prefix(info, day, minute):
+        rows = lambda pdf: list(pdf.itertuples(index=False))
+        return plain(SimpleNamespace(**info), rows(day), rows(minute))
+
+    @rules.pandas_rule("busy", full=True)
+    def _busy(info, day, minute):
+        at = minute["ts"].dt.normalize()
+        count = at.value_counts()
+        of = lambda days: days.map(count).fillna(0)
+        today = day["ts"].dt.normalize()
+        last = minute.groupby(at)["close"].last()
+        fits = info["price"] % 2 == 0 and info["float_stock"] is not None and info["float_value"] == info["float_stock"] * info["price"] and info["name"] == "n" + info["code"]
+        return (of(today) > of(today - timedelta(days=1))) & (today.map(last) >= day["open"]) & fits
+
+    @rules.rule("quiet", info=True, minutes=lambda: {"n": F.count("*"), "last": F.max_by("close", "ts")})
+    def _quiet(f):
+        return (F.coalesce(F.col("minute.n"), F.lit(0)) < 2) & (f.lag("close") < F.col("close")) & (F.coalesce("info.name", F.lit("")) != "na")
+
+    yield plain
+    for name in ("busy_by_prefix", "busy", "quiet"):
+        rules.remove(name)
+
+
+def brute_signals(day, minute, fn):
+    out = {}
+    for s in {d.symbol for d in day}:
+        own = sorted((d for d in day if d.symbol == s), key=lambda d: d.ts)
+        mine = sorted((m for m in minute if m.symbol == s), key=lambda m: m.ts)
+        last = own[-1]
+        info = SimpleNamespace(code=s, name="n" + s, price=last.close, float_stock=last.float_stock, float_value=last.float_stock * last.close)
+        out[s] = [bool(fn(info, own[: k + 1], [m for m in mine if m.ts.date() <= d.ts.date()])) for k, d in enumerate(own)]
+    return out
+
+
+def test_rules_over_info_day_and_minute_equal_brute_force(spark, by_hand):
+    for seed in (3, 4):
+        day, minute = two_intervals(spark, seed)
+        names = spark.createDataFrame([(s, "n" + s) for s in "abcdx"], "symbol string, name string")
+        feeds = rules.Feeds(minute, names)
+        want = brute_signals(day.collect(), minute.collect(), by_hand)
+        for name in ("busy_by_prefix", "busy"):
+            got = with_signal(day, name, feeds=feeds)
+            assert got.columns == [*day.columns, "flag"] and flags(got) == want
+        quiet = brute_signals(day.collect(), minute.collect(), lambda i, d, m: sum(x.ts.date() == d[-1].ts.date() for x in m) < 2 and len(d) > 1 and d[-2].close < d[-1].close and i.name != "na")
+        assert flags(with_signal(day, "quiet", feeds=feeds)) == quiet and any(map(any, quiet.values()))
+        both = flags(with_signal(day, ["quiet", "busy"], feeds=feeds))
+        assert both == {s: [a and b for a, b in zip(quiet[s], want[s], strict=True)] for s in want}
+
+
+def test_minutes_after_the_day_are_not_seen(spark):
+    day, minute = two_intervals(spark)
+    seen = []
+
+    @rules.prefix_rule("only_seen", full=True)
+    def _only_seen(info, d, m):
+        return m.empty or m["ts"].max().date() <= d["ts"].iloc[-1].date()
+
+    got = flags(with_signal(day, "only_seen", feeds=rules.Feeds(minute)))
+    rules.remove("only_seen")
+    assert all(all(x) for x in got.values()) and not seen
+
+
+def test_rules_of_feeds_without_feeds(spark, by_hand):
+    day, _ = two_intervals(spark)
+    assert not any(any(x) for x in flags(with_signal(day, "busy")).values())
+    assert flags(with_signal(day, ["busy", "rise_three"])).keys() == flags(with_signal(day, "quiet")).keys()
+    with pytest.raises(ValueError, match="info or minute"):
+        with_signal(day.withColumn("Info", F.lit(1)), "quiet")
+    assert with_signal(day.limit(0), "busy").count() == 0
