@@ -60,7 +60,7 @@ staged_rule("trend_up")(trend_up())
 
 def vertices(bars: DataFrame, window: int = 8, frame: Frame = FRAME) -> DataFrame:
     """Peaks and valleys: strictly beyond all others within ``window`` bars on both sides, which must exist."""
-    i, n = frame.index(), F.count("*").over(frame.whole)
+    i, n = frame.index(), frame.size()
     before, after = frame.rows(-window, -1), frame.rows(1, window)
     rows = bars.withColumns(
         {
@@ -69,6 +69,6 @@ def vertices(bars: DataFrame, window: int = 8, frame: Frame = FRAME) -> DataFram
             "i": i,
             "_n": n,
         }
-    ).where((F.col("i") >= window) & (F.col("i") < F.col("_n") - window))
+    ).where((F.col("i") >= window) & (F.col("i") < F.col("_n") - window) & (F.lit(True) if frame.own is None else F.col(frame.own)))
     kinds = F.array(F.when(F.col("_peak"), F.struct(F.lit("peak").alias("kind"), F.col("high").alias("price"))), F.when(F.col("_valley"), F.struct(F.lit("valley").alias("kind"), F.col("low").alias("price"))))
     return rows.withColumn("_v", F.explode(F.filter(kinds, lambda v: v.isNotNull()))).select("symbol", "ts", "i", "_v.kind", "_v.price")

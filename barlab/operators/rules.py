@@ -303,21 +303,6 @@ def rsi_below(threshold: float = 30.0, n: int = 14) -> Rule:
     return apply
 
 
-def macd(pdf: pd.DataFrame, fast: int = 12, slow: int = 26, smooth: int = 9) -> pd.DataFrame:
-    """DIF and DEA of an ordered series; exponential means start at the first close."""
-    mean = lambda s, n: s.ewm(span=n, adjust=False).mean()
-    close = pdf["close"].astype("float64")
-    dif = mean(close, fast) - mean(close, slow)
-    return pd.DataFrame({"dif": dif, "dea": mean(dif, smooth)})
-
-
-def macd_cross(pdf: pd.DataFrame, fast: int = 12, slow: int = 26, smooth: int = 9) -> pd.Series:
-    """DIF is above DEA and was not one bar before."""
-    m = macd(pdf, fast, slow, smooth)
-    above = m["dif"] > m["dea"]
-    return above & ~above.shift(1, fill_value=True)
-
-
 def limit_up_gap(threshold: float = 0.098, recent: int = 20, bull: int = 2, vol: int = 5) -> Rule:
     """A recent limit-up, a gap above it on the next bar, rising bars from there, and today a surge of volume.
 
@@ -352,7 +337,6 @@ rule("bullish_alignment")(bullish_alignment())
 rule("sma_cross")(sma_cross())
 staged_rule("rsi_below")(rsi_below())
 staged_rule("limit_up_gap")(limit_up_gap())
-pandas_rule("macd_cross")(macd_cross)
 
 
 def registered() -> Iterator[tuple[str, Rule]]:
