@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlab.operators.slices import numbered
+
 #: Intervals of ``resample``: a unit of date_trunc, or a length for windows within a day.
 UNITS = {"week": "week", "month": "month", "quarter": "quarter", "year": "year", "day": "day", "hour": "hour", "minute": "minute"}
 
@@ -43,9 +45,28 @@ def resample(bars: DataFrame, freq: str) -> DataFrame:
 def nest_bars(screened: DataFrame, bars: DataFrame) -> DataFrame:
     """``screened`` with each symbol's bars as an array in time order; other symbols' bars are not gathered.
 
-    A symbol's history is one array value, as in the output it stands for: day bars fit, ticks may not.
+    A symbol's history is one array value, as in the output it stands for: day bars fit; of ticks see ``nest_chunks``.
     """
     own = bars.join(screened.select("symbol").distinct(), "symbol", "left_semi")
-    fields = [F.col(c) for c in ("ts", "open", "high", "low", "close", "volume")]
-    nested = own.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("bars"))
+    nested = own.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*_NESTED))).alias("bars"))
     return screened.join(nested, "symbol", "left")
+
+
+_NESTED = ("ts", "open", "high", "low", "close", "volume")
+
+
+def nest_chunks(screened: DataFrame, bars: DataFrame, size: int = 10_000, parts: int | None = None) -> DataFrame:
+    """``screened`` with each symbol's bars in arrays of ``size`` at most: a row for each (symbol, chunk), chunks numbered in time order.
+
+    Bars are numbered by counts of ranges, so neither a task nor a row holds a symbol's history. A symbol without bars has one row, of chunk 0 without bars.
+    """
+    own = bars.join(screened.select("symbol").distinct(), "symbol", "left_semi").select("symbol", *_NESTED)
+    numbered_bars = numbered(own, parts=parts).withColumn("chunk", F.floor(F.col("_number") / size).cast("long"))
+    nested = numbered_bars.groupBy("symbol", "chunk").agg(F.array_sort(F.collect_list(F.struct(*_NESTED))).alias("bars"))
+    return screened.join(nested, "symbol", "left").withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("long")))
+
+
+def unnest(nested: DataFrame) -> DataFrame:
+    """The bars of nested rows, in order within each row; chunks of a symbol follow each other by their numbers."""
+    order = ["symbol", *(["chunk"] if "chunk" in nested.columns else [])]
+    return nested.select(*order, F.posexplode("bars").alias("_place", "_bar")).select(*order, F.col("_place").alias("place"), "_bar.*")

@@ -55,6 +55,23 @@ def page(rows: DataFrame, number: int, size: int = 60) -> DataFrame:
     return rows.offset(number * size).limit(size)
 
 
+def page_after(rows: DataFrame, field: str, after: tuple[object, str] | None = None, size: int = 60, descending: bool = False) -> DataFrame:
+    """The ``size`` rows that follow ``after``, the (value, symbol) of the last row seen, in the order of ``sort_results``; the first ones without it.
+
+    A filter and the best ``size`` of what is left: pages far on cost no more than the first. Nulls are least.
+    """
+    value, symbol = F.col(field), F.col("symbol")
+    if after is not None:
+        at, name = after
+        if at is None:
+            later = (symbol > name) & value.isNull() | (F.lit(False) if descending else value.isNotNull())
+        else:
+            beyond = value.isNull() | (value < F.lit(at)) if descending else value > F.lit(at)
+            later = beyond | (value == F.lit(at)) & (symbol > name)
+        rows = rows.where(later)
+    return sort_results(rows, field, descending).limit(size)
+
+
 def tail(bars: DataFrame, k: int = 120, frame: Frame = FRAME) -> DataFrame:
     """The last ``k`` bars of each symbol; of bars at the same time, those with greater closes count as later."""
     latest = Window.partitionBy(frame.symbol).orderBy(F.desc(frame.ts), F.desc("close"))

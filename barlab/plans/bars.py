@@ -16,6 +16,7 @@ from barlab.operators import indicators as E
 from barlab.operators import metrics as M
 from barlab.operators import rules as D
 from barlab.operators import screen as G
+from barlab.operators import slices
 from barlab.operators.backtest import backtest_hold, backtest_ledger, backtest_symbol, run_backtest
 from barlab.operators.backtest import trades as ledger_trades
 from barlab.operators.grid import sma_grid
@@ -160,16 +161,29 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.select(*io.EXPORT).schema).option("header", True).csv(folder)
 
 
-@register("export_json", _with(BARS, select="select symbol, ts, open, high, low, close, volume from bars where symbol like 'sh%'"))
+@register("export_json", _with(BARS, select="select symbol, ts, open, high, low, close, volume from bars"))
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested bars of an exchange as lines of JSON, read back and unnested."""
-    bars = weekly_bars(spark, sf_dir).where(C.on_exchange("sh"))
+    """Nested bars of all symbols as lines of JSON, read back and unnested."""
+    bars = weekly_bars(spark, sf_dir)
     nested = A.nest_bars(bars.select("symbol").distinct(), bars)
     folder = _scratch(spark, "json")
     io.write_json(nested, folder)
     return spark.read.schema(nested.schema).json(folder).select("symbol", F.inline("bars")).select(*OHLCV)
 
 
+_TICK_BARS = "tb as (select symbol, date_trunc('minute', ts) as ts, arg_min(price, row(ts, event_id, price)) as open, max(price) as high, min(price) as low, arg_max(price, row(ts, event_id, price)) as close, count(*) as volume from ticks group by symbol, date_trunc('minute', ts))"
+
+
+@register("nest_chunks", _with(TICKS, _TICK_BARS, select="select symbol, (row_number() over (partition by symbol order by ts) - 1) // 10 as chunk, cast((row_number() over (partition by symbol order by ts) - 1) % 10 as integer) as place, ts, open, high, low, close, volume from tb"))
+def nest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars in chunks of ten as lines of JSON, read back in order."""
+    bars = A.bars_from_ticks(prints(spark, sf_dir), "minute", ("event_id",))
+    nested = A.nest_chunks(bars.select("symbol").distinct(), bars, 10)
+    folder = _scratch(spark, "json")
+    io.write_json(nested, folder)
+    return A.unnest(spark.read.schema(nested.schema).json(folder)).withColumn("ts", F.col("ts").cast("timestamp_ntz")).select("symbol", "chunk", "place", *OHLCV[1:])
+
+
 @register(
     "nest_bars",
     _with(BARS, "g as (select symbol from bars group by symbol having arg_max(close > open, ts))", select="select symbol, cast(count(*) as integer) as bars, arg_min(close, ts) as first_close, arg_max(close, ts) as last_close, string_agg(close::varchar, ',' order by ts) as closes from bars join g using (symbol) group by symbol"),
@@ -351,6 +365,21 @@ def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.with_names(found, names(spark, sf_dir)).select("symbol", "name", "ts", "price", "score", "signal")
 
 
+@register("screen_stored", _with(BARS, f"r as (select *, {RISE} as flag from bars), {_SCREEN}", select="select symbol, ts, price from l where flag"))
+def screen_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market screened on bars stored in buckets of symbols, as they lie."""
+    folder = _scratch(spark, "bucketed")
+    name = f"bars_{uuid.uuid4().hex}"
+    io.write_bucketed(weekly_bars(spark, sf_dir).select(*OHLCV), folder, name, 8)
+    return G.screen(io.open_bucketed(spark, folder, name, 8), ["rise_three"]).select("symbol", "ts", "price")
+
+
+@register("rule_bullish_slices", _with(BARS, BULL_TABLES, select="select symbol, ts from bull where flag"))
+def rule_bullish_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule in slices of 100 bars, which end within symbols."""
+    return slices.with_signal(weekly_bars(spark, sf_dir), "bullish_alignment", rows=100).where("flag").select("symbol", "ts")
+
+
 @D.rule("volume_surge")
 def _volume_surge(f):
     """A rule as users add them: volume of at least twice the bar before."""
@@ -585,6 +614,13 @@ def bt_market_sltp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(spark, sf_dir, _items(spark, sf_dir, STOPS))
 
 
+@register("bt_market_slices", _with(BARS, LOOP_TABLES, _metrics(4000), select="select symbol, round(total_return, 6) as total_return, round(max_drawdown, 6) as max_drawdown, round(sharpe, 6) as sharpe, bars from items"))
+def bt_market_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of ledgers from summaries of slices of 100 bars, merged in order."""
+    rows = M.by_slices(run_backtest(_rising(spark, sf_dir), STOPS), STOPS.cash, 100)
+    return rows.select("symbol", *_r("total_return", "max_drawdown", "sharpe"), "bars")
+
+
 @register("bt_summary", _with(BARS, HOLD_TABLES, _metrics(3000), select="select round(avg(total_return), 6) as avg_total_return, round(avg(sharpe), 6) as avg_sharpe, round(avg(max_drawdown), 6) as avg_max_drawdown, count(*) as symbols from items"))
 def bt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.market_summary(_items(spark, sf_dir, SETTINGS)).select(*_r("avg_total_return", "avg_sharpe", "avg_max_drawdown"), "symbols")
@@ -660,6 +696,14 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.page(G.sort_results(G.snapshot(weekly_bars(spark, sf_dir)).select("symbol", "price"), "price"), 1, 5)
 
 
+@register("page_after", _with(BARS, "lp as (select symbol, arg_max(close, ts) as price from bars group by symbol)", "ln as (select *, row_number() over (order by price desc, symbol) as n from lp)", select="select symbol, price from ln where n > 5 and n <= 25"))
+def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the first five, by the last row of these."""
+    rows = G.snapshot(weekly_bars(spark, sf_dir)).select("symbol", "price")
+    last = G.page_after(rows, "price", None, 5, descending=True).collect()[-1]
+    return G.page_after(rows, "price", (last.price, last.symbol), 20, descending=True)
+
+
 @register("tail", _with(BARS, select="select symbol, ts, close from (select *, row_number() over (partition by symbol order by ts desc) as n from bars) where n <= 120"))
 def tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.tail(weekly_bars(spark, sf_dir)).select("symbol", "ts", "close")
@@ -705,6 +749,17 @@ def adjust_prices_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.adjust_prices(weekly_bars(spark, sf_dir), factors(spark, sf_dir), forward=True).select("symbol", "ts", *_r("open", "high", "low", "close"))
 
 
+@register("turnover_rate_cut", _with(BARS, CAPITAL, select=f"select symbol, ts, round(volume * 100 / float_stock, 6) as turnover from ({_ASOF})"))
+def turnover_rate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In two levels: ranges of time, and the last events of each."""
+    return H.turnover_rate(weekly_bars(spark, sf_dir), capital(spark, sf_dir), cut=True).select("symbol", "ts", *_r("turnover"))
+
+
+@register("adjust_prices_cut", _with(BARS, CAPITAL, "cf as (select symbol, ts, product(factor) over (partition by symbol order by ts) as factor from factors)", select="select b.symbol, b.ts, b.close * coalesce(f.factor, 1) as close from bars b asof left join cf f on b.symbol = f.symbol and b.ts >= f.ts"))
+def adjust_prices_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.adjust_prices(weekly_bars(spark, sf_dir), factors(spark, sf_dir), cut=True).select("symbol", "ts", "close")
+
+
 # ---------------------------------------------------------------- streams
 
 _CLOSED = "select max(ts) - interval '1 hour' as mark from events"

@@ -36,6 +36,21 @@ def write_bars(bars: DataFrame, path: str, interval: str, mode: str = "overwrite
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("interval").parquet(path)
 
 
+def write_bucketed(bars: DataFrame, path: str, table: str, buckets: int = 64) -> None:
+    """Writes bars as a table of buckets of symbols, a file each, sorted by symbol and time: windows over symbols read it without an exchange."""
+    spread = bars.repartition(buckets, "symbol").sortWithinPartitions("symbol", "ts")
+    spread.write.mode("overwrite").option("path", path).bucketBy(buckets, "symbol").sortBy("symbol", "ts").saveAsTable(table)
+
+
+def open_bucketed(spark: SparkSession, path: str, table: str, buckets: int = 64) -> DataFrame:
+    """The bars that ``write_bucketed`` has stored in ``path``, declared as ``table`` where the session does not know it."""
+    if not spark.catalog.tableExists(table):
+        columns = spark.read.parquet(path).schema
+        declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+        spark.sql(f"CREATE TABLE {table} ({declared}) USING parquet CLUSTERED BY (symbol) SORTED BY (symbol, ts) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def scan_market(spark: SparkSession, path: str, start: datetime | str | None = None, end: datetime | str | None = None, interval: str = "day") -> DataFrame:
     """All symbols' bars strictly between the bounds; symbols without any do not appear."""
     return spark.read.parquet(path).where((F.col("interval") == interval) & time_range(start, end)).drop("interval")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from barlab.functions import columns as C
 from barlab.operators import rules
 from barlab.operators.asof import adjust_prices, asof, turnover_rate
-from barlab.operators.bars import bars_from_ticks, nest_bars, resample
-from barlab.operators.screen import page, snapshot, sort_results, tail, with_names
+from barlab.operators.bars import bars_from_ticks, nest_bars, nest_chunks, resample, unnest
+from barlab.operators.screen import page, page_after, screen, snapshot, sort_results, tail, with_names
 from barlab.sources import io
-from barlab.streaming.bars import stored_bars, stream_bars, stream_upsert, write_version
+from barlab.streaming.bars import _parts, stored_bars, stream_bars, stream_upsert, superseded, write_version
 
 DAY = datetime(2024, 1, 1)
 
@@ -119,21 +119,88 @@ def test_stream_drops_late_prints_and_holds_back_open_bars(spark, tmp_path):
 def test_an_upsert_is_restarted_and_rewrites_only_what_it_touches(spark, tmp_path):
     store, state, incoming = (str(tmp_path / x) for x in ("store", "state", "in"))
     old = rows(spark, "a").union(rows(spark, "b")).union(rows(spark, "c"))
-    write_version(old, store, 0, 8)
+    write_version(old, store, 0, 2)  # symbols share buckets
     kinds = old.schema
     expected = {(r.symbol, r.ts.day): r.close for r in old.collect()}
-    for k in range(3):
+    for k in range(4):
         # Each run is a new query on the same checkpoint, as after a restart.
         fresh = rows(spark, "a", 3, 4 + 2 * k).withColumn("close", F.lit(100 + k).cast("long"))
         fresh.coalesce(1).write.mode("append").parquet(incoming)
-        expected = {key: v for key, v in expected.items() if key[0] != "a" or key[1] < 5 + 2 * k} | {("a", r.ts.day): r.close for r in fresh.collect()}
-        stream_upsert(spark.readStream.schema(kinds).parquet(incoming), store, state, 8).awaitTermination()
+        last = max(d for c, d in expected if c == "a")
+        expected = {key: v for key, v in expected.items() if key != ("a", last)} | {("a", r.ts.day): r.close for r in fresh.collect() if r.ts.day >= last}
+        stream_upsert(spark.readStream.schema(kinds).parquet(incoming), store, state, 2).awaitTermination()
         assert {(r.symbol, r.ts.day): r.close for r in stored_bars(spark, store).collect()} == expected
-    buckets = {r.version: r.n for r in spark.read.parquet(store).groupBy("version").agg(F.countDistinct("bucket").alias("n")).collect()}
-    assert buckets == {0: spark.read.parquet(f"{store}/version=0").select("bucket").distinct().count(), 1: 1, 2: 1, 3: 1}
     # A batch that is replayed starts from the versions before it.
-    before = {tuple(r) for r in stored_bars(spark, store, 2).collect()}
+    before = {tuple(r) for r in stored_bars(spark, store, 3).collect()}
     assert {tuple(r) for r in stored_bars(spark, store).collect()} != before
+    versions = {r.version for r in spark.read.parquet(store).select("version").distinct().collect()}
+    touched = {p for p in _parts(spark, store) if p.version == 4}
+    assert {p.bucket for p in touched} == {spark.range(1).select(F.pmod(F.xxhash64(F.lit("a")), F.lit(2))).first()[0]}
+    assert versions <= {0, 2, 3, 4} and 1 not in versions  # version 1 was replaced two versions ago
+
+
+def test_what_an_upsert_writes_does_not_grow_with_the_history(spark, tmp_path):
+    sizes = {}
+    for days in (60, 600):
+        store, state, incoming = (str(tmp_path / f"{x}{days}") for x in ("store", "state", "in"))
+        write_version(rows(spark, "a", days).union(rows(spark, "b", days)), store, 0, 1)
+        fresh = rows(spark, "a", 2, days - 1)
+        fresh.coalesce(1).write.parquet(incoming)
+        stream_upsert(spark.readStream.schema(fresh.schema).parquet(incoming), store, state, 1).awaitTermination()
+        sizes[days] = sum(f.stat().st_size for f in (tmp_path / f"store{days}/version=1").rglob("*.parquet"))
+        assert stored_bars(spark, store).count() == 2 * days + 1
+    assert sizes[600] < 1.2 * sizes[60]
+
+
+def test_a_period_that_becomes_empty_and_bars_that_come_late(spark, tmp_path):
+    store, state, incoming = (str(tmp_path / x) for x in ("store", "state", "in"))
+    write_version(rows(spark, "a", 1).union(rows(spark, "b", 3)), store, 0, 4)
+    late = rows(spark, "b", 1).withColumn("close", F.lit(1).cast("long"))  # before b's last bar: nothing changes
+    next_month = rows(spark, "a", 1, 40)
+    late.union(next_month).coalesce(1).write.parquet(incoming)
+    stream_upsert(spark.readStream.schema(late.schema).parquet(incoming), store, state, 4, keep=0).awaitTermination()
+    got = sorted((r.symbol, r.ts, r.close) for r in stored_bars(spark, store).collect())
+    assert got == sorted((r.symbol, r.ts, r.close) for r in rows(spark, "b", 3).union(next_month).collect())
+    assert not superseded(_parts(spark, store), 1)
+
+
+def test_bucketed_bars_go_into_windows_without_an_exchange(spark, tmp_path):
+    bars = rows(spark, "a", 40).union(rows(spark, "b", 50)).union(rows(spark, "c", 2))
+    io.write_bucketed(bars, str(tmp_path / "bars"), "bucketed_bars", 4)
+    spark.sql("drop table bucketed_bars")  # another session knows the folder alone
+    stored = io.open_bucketed(spark, str(tmp_path / "bars"), "bucketed_bars", 4)
+    made = screen(stored, ["rise_three", "bullish_alignment", "rsi_below"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan and "Exchange" in screen(bars, ["rise_three"])._jdf.queryExecution().executedPlan().toString()
+    made = screen(stored, ["rise_three"])
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, screen(bars, ["rise_three"]).collect())) and made.count() > 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_by_key(spark, descending):
+    df = spark.createDataFrame([(f"s{k:02}", None if k % 7 == 0 else k * 5 % 4) for k in range(40)], "symbol string, v int")
+    whole = [(r.v, r.symbol) for r in sort_results(df, "v", descending).collect()]
+    seen, after = [], None
+    while got := [(r.v, r.symbol) for r in page_after(df, "v", after, 7, descending).collect()]:
+        assert got == [(r.v, r.symbol) for r in page(sort_results(df, "v", descending), len(seen) // 7, 7).collect()]
+        seen, after = seen + got, got[-1]
+    assert seen == whole
+    plan = page_after(df, "v", (2, "s05"), 7)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_bars_nested_in_chunks(spark, tmp_path):
+    bars = rows(spark, "a", 95).union(rows(spark, "b", 10)).union(rows(spark, "c", 3))
+    chosen = spark.createDataFrame([("a", 1), ("b", 2), ("none", 3)], "symbol string, score int")
+    nested = nest_chunks(chosen, bars, 10, parts=5)
+    io.write_json(nested, str(tmp_path / "json"))
+    back = spark.read.schema(nested.schema).json(str(tmp_path / "json"))
+    sizes = {(r.symbol, r.chunk): (r.score, len(r.bars or [])) for r in back.collect()}
+    assert sizes == {("a", k): (1, 10 if k < 9 else 5) for k in range(10)} | {("b", 0): (2, 10), ("none", 0): (3, 0)}
+    got = {}
+    for r in sorted(unnest(back).collect(), key=lambda r: (r.symbol, r.chunk, r.place)):
+        got.setdefault(r.symbol, []).append(r.ts)
+    assert got == {s: [r.ts for r in rows(spark, s, n).orderBy("ts").collect()] for s, n in (("a", 95), ("b", 10))}
 
 
 def test_columns_of_a_caller_are_kept(spark):
