@@ -788,9 +788,9 @@ def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark, "upsert")
     bars = weekly_bars(spark, sf_dir).select(*OHLCV)
     first = F.lit("1996-06-03").cast("date")
-    write_version(bars.where(F.col("ts") <= first), f"{folder}/store", 0, 16)
+    write_version(bars.where(F.col("ts") <= first), f"{folder}/store", 0, 8, "yyyy")
     last = F.max(F.when(F.col("ts") <= first, F.col("ts"))).over(Window.partitionBy("symbol"))
     bars.withColumn("last", last).where(F.col("last").isNull() | (F.col("ts") >= F.col("last"))).select(*OHLCV).write.parquet(f"{folder}/incoming")
     stream = spark.readStream.schema(bars.schema).parquet(f"{folder}/incoming")
-    stream_upsert(stream, f"{folder}/store", f"{folder}/state", 16).awaitTermination()
+    stream_upsert(stream, f"{folder}/store", f"{folder}/state", 8, "yyyy").awaitTermination()
     return stored_bars(spark, f"{folder}/store").select(*OHLCV)

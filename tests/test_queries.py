@@ -29,9 +29,6 @@ def con(sf_dir):
 def test_query(spark, sf_dir, con, name):
     df = __spark_entry__.queries()[name](spark, sf_dir)
     got = [tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()]
-    if name not in ORACLES:
-        assert len(got) >= 0
-        return
     rows = con.execute(ORACLES[name])
     names = [d[0] for d in rows.description]
     assert sorted(names) == sorted(df.columns)
