@@ -24,6 +24,8 @@ def _latest_two(bars: DataFrame, frame: Frame, price: str, high: bool, window: i
         best = extreme(price).over(frame.rows(-window, r))
         stays = F.col(price) >= best if high else F.col(price) <= best
         bars = bars.withColumn(name, F.when((F.col(i) >= window) & stays, point))
+    if frame.slice is not None:
+        return _in_slices(bars, frame, window, i, names, pair, out)
     full = F.col(names[window])
     before = F.last(full, ignorenulls=True).over(frame.rows(Window.unboundedPreceding, -1))
     # A struct around both keeps a pivot that has none before it.
@@ -34,6 +36,37 @@ def _latest_two(bars: DataFrame, frame: Frame, price: str, high: bool, window: i
     return bars.withColumn(out, F.filter(known, lambda p: p.isNotNull())).drop(pair, *held)
 
 
+def _in_slices(bars: DataFrame, frame: Frame, window: int, i: str, names: dict[int, str], pair: str, out: str) -> DataFrame:
+    """``_latest_two`` where symbols are cut into slices that begin with copies of two windows.
+
+    A slice answers for the full pivots from a window before its first own bar to a window before its last; it passes
+    its last two on to the slices after it, in two levels.
+    """
+    keys = [frame.symbol, frame.slice]
+    own = frame.ordered.rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.min(F.when(F.col(frame.own), F.col(i))).over(Window.partitionBy(*keys))
+    ends = F.max(F.when(F.col(frame.own), F.col(i))).over(Window.partitionBy(*keys))
+    begin, end, full, a, b = unused(bars, "_begin", "_end", "_full", "_a", "_b")
+    rows = bars.withColumns({begin: begins, end: ends})
+    rows = rows.withColumn(full, F.when(F.col(i) >= F.col(begin) - window, F.col(names[window])))
+    rows = rows.withColumn(pair, F.when(F.col(full).isNotNull(), F.struct(F.col(full).alias("a"), F.last(full, ignorenulls=True).over(own).alias("b"))))
+    found = rows.where(F.col(pair).isNotNull() & (F.col(i) <= F.col(end) - window)).groupBy(*keys).agg(F.max_by(pair, i).alias("p"))
+    order = Window.partitionBy(frame.symbol).orderBy(frame.slice)
+    found = found.select(*keys, F.col("p.a").alias(a), F.coalesce("p.b", F.lag("p.a").over(order)).alias(b))
+    every = bars.where(frame.own).select(*keys).distinct().join(found, keys, "left")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col(a).isNotNull(), F.struct(a, b)), ignorenulls=True).over(earlier)
+    carried = every.select(*keys, last[a].alias(a), last[b].alias(b))
+    rows = rows.join(carried, keys)
+    confirmed = F.last(pair, ignorenulls=True).over(frame.ordered.rowsBetween(Window.unboundedPreceding, -window))
+    rows = rows.withColumn(pair, confirmed)
+    newest = F.coalesce(F.col(pair)["a"], F.col(a))
+    older = F.when(F.col(pair).isNull(), F.col(b)).otherwise(F.coalesce(F.col(pair)["b"], F.col(a)))
+    provisional = [frame.lag(names[r], r) for r in sorted(names) if r < window]
+    known = F.array(*provisional, newest, older)
+    return rows.withColumn(out, F.filter(known, lambda p: p.isNotNull())).drop(pair, begin, end, full, a, b, *names.values())
+
+
 def trend_up(window: int = 8, min_bars: int = 30, max_gain: float = 5.0) -> Rule:
     """Two high and two low pivots in turn, both rising, at least a window apart, at comparable rates."""
     if min_bars <= window + window // 2:

@@ -71,7 +71,7 @@ def own(dealt: DataFrame) -> DataFrame:
 
 
 #: How many bars before the current one the built-in rules read.
-REACH: dict[str, int] = {"exchange_sh": 0, "exchange_sz": 0, "exchange_bj": 0, "no_buy_limit": 0, "rise_three": 2, "bullish_alignment": 30, "sma_cross": 20, "rsi_below": 14, "limit_up_gap": 22}
+REACH: dict[str, int] = {"exchange_sh": 0, "exchange_sz": 0, "exchange_bj": 0, "no_buy_limit": 0, "rise_three": 2, "bullish_alignment": 30, "sma_cross": 20, "rsi_below": 14, "limit_up_gap": 22, "trend_up": 16}
 
 
 def with_signal(bars: DataFrame, given: str | Rule | list[str | Rule], out: str = "flag", reach: int | None = None, rows: int = SLICE, frame: Frame = FRAME) -> DataFrame:

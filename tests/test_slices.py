@@ -65,9 +65,25 @@ def test_all_of_and_unknown_reach(bars):
     names = ["rise_three", "exchange_sh", "sma_cross"]
     assert rows_of(slices.with_signal(bars, names, rows=50)) == rows_of(rules.with_signal(bars, names))
     with pytest.raises(ValueError, match="reach"):
-        slices.with_signal(bars, "trend_up")
-    with pytest.raises(ValueError, match="whole symbol"):
-        slices.with_signal(bars, "trend_up", reach=50)
+        slices.with_signal(bars, "macd_cross")
+    with pytest.raises(ValueError, match="cut into slices already"):
+        slices.with_signal(bars, "macd_cross", reach=50)
+
+
+def test_pivots_are_carried_from_slice_to_slice(spark):
+    rng, rows = np.random.default_rng(21), []
+    for s in range(12):
+        n = 60 + 40 * s
+        close = np.maximum(60 + np.cumsum(rng.integers(-3, 4, n)) + (np.arange(n) // 3 if s % 2 else 0), 3)
+        calm = rng.random(n) < 0.4 * (s % 3 == 0)  # stretches without pivots, ties
+        close = np.where(calm, close[0], close)
+        for k in range(n):
+            rows.append((f"s{s:02}", START + timedelta(minutes=k), int(close[k]), int(close[k] + rng.integers(0, 3)), int(close[k] - rng.integers(0, 3)), int(close[k]), 1))
+    bars = spark.createDataFrame(rows, SCHEMA).cache()
+    want = rules.with_signal(bars, "trend_up")
+    assert want.where("flag").count() > 10
+    for size in (9, 33, 500):
+        assert rows_of(slices.with_signal(bars, "trend_up", rows=size)) == rows_of(want)
 
 
 def test_indicators_in_slices(bars):
