@@ -7,7 +7,8 @@ page, offset and length. Members are stored, not compressed, so a record is a ra
 
 Reading takes only ranges of an archive: the end of central directory (with its ZIP64 form), the central
 directory, the members' local headers, the index, and then records by their ranges: one by one where some pages are
-wanted, neighbours together up to ``SPAN`` bytes where all are. Digests and lengths of payloads are checked
+wanted, neighbours together up to ``SPAN`` bytes where all are; a ``catalogue`` of many archives says which hold the
+wanted pages. Digests and lengths of payloads are checked
 against the records' headers.
 
 Pages with equal payloads are found by a shuffle on the payload's SHA-1: the smallest page_id of each is
@@ -42,7 +43,7 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import durable, scratch
+from barlab.llm.common import durable, kept, scratch
 
 #: Bytes of records in an archive, about; of neighbouring records that are read at once.
 ARCHIVE, SPAN = 256 << 20, 1 << 20
@@ -293,6 +294,66 @@ def read_archives(listed: DataFrame, folder: str, pages: list[int | None] | None
     return listed.select("archive", "bytes").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def catalogue(listed: DataFrame, folder: str) -> DataFrame:
+    """Where each page's record is, from the indexes of the archives ``listed``: (page_id, archive, at, length), kept in ranges of page_id.
+
+    A list of pages is then looked up in a few row groups, and only the archives that hold them are opened.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        storage, path = _storage(folder)
+        for batch in batches:
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with storage.open_input_file(f"{path}/{name}") as file:
+                    read = lambda offset, length, f=file: f.read_at(length, offset)
+                    members = {m.name: m for m in directory(read, size)}
+                    base = locate(read, members[RECORDS])
+                    rows = [line.split(" ") for line in read(locate(read, members[INDEX]), members[INDEX].size).decode().splitlines()]
+                columns = [pa.array([None if page == "-" else int(page) for page, _, _ in rows], pa.int64()), pa.array([name] * len(rows), pa.string()), pa.array([base + int(at) for _, at, _ in rows], pa.int64()), pa.array([int(n) for _, _, n in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "archive", "at", "length"])
+
+    found = listed.select("archive", "bytes").mapInArrow(run, "page_id long, archive string, at long, length long")
+    return kept(found.repartitionByRange("page_id").sortWithinPartitions("page_id"), "catalogue")
+
+
+def _neighbours(ranges: list[tuple[int, int]], span: int) -> Iterator[list[tuple[int, int]]]:
+    """``ranges`` (offset, length) in order, those that touch together, up to ``span`` bytes."""
+    held: list[tuple[int, int]] = []
+    for at, n in ranges:
+        if held and (sum(held[-1]) != at or at + n - held[0][0] > span):
+            yield held
+            held = []
+        held.append((at, n))
+    if held:
+        yield held
+
+
+def read_pages(catalogued: DataFrame, folder: str, pages: DataFrame | list[int], span: int = SPAN) -> DataFrame:
+    """The records of ``pages`` (ids, or a table with page_id of any size) by a ``catalogue``: as ``read_archives``, and the payload (null in a revisit).
+
+    An archive's wanted records are read in the order of their places, neighbours together.
+    """
+    chosen = catalogued.where(F.col("page_id").isin(pages)) if isinstance(pages, list) else catalogued.join(pages.select(F.col("page_id").cast("long").alias("page_id")).distinct(), "page_id", "left_semi")
+    schema = READ.append(pa.field("payload", pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        storage, path = _storage(folder)
+        for batch in batches:
+            names, at, length = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for name in dict.fromkeys(names):
+                own = [(a, n) for x, a, n in zip(names, at, length, strict=True) if x == name]
+                with storage.open_input_file(f"{path}/{name}") as file:
+                    for together in _neighbours(own, span):
+                        first, last = together[0][0], sum(together[-1])
+                        data = file.read_at(last - first, first)
+                        found = [parse(zlib.decompress(data[a - first : a - first + n], wbits=31)) for a, n in together]
+                        rows = zip(*[(r.page_id, r.payload_bytes, r.payload_digest, r.kind, r.refers_to, r.payload) for r in found], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+
+    spread = chosen.select("archive", "at", "length").repartition("archive").sortWithinPartitions("archive", "at")
+    return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+
+
 def through_archives(pages: DataFrame, least: int = LEAST, folder: str | None = None) -> DataFrame:
     """Writes archives of ``pages`` to ``folder`` (a new one in the shared folder by default) and reads them back."""
     folder = folder or f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"

@@ -120,3 +120,41 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.through_archives(pages).collect()), key=str)
     assert got == [(1, 0, "response", None), (2, 0, "revisit", 1), (3, 3_000_000, "response", None), (3, 3_000_000, "response", None), (None, 0, "revisit", 1), (None, 4, "response", None)]
     assert warc.through_archives(pages.limit(0)).count() == 0
+
+
+def test_a_catalogue_opens_only_the_archives_of_the_wanted_pages(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(k, f"http://x/{k}", "same" if k % 50 == 7 else r.bytes(1500).hex(), 1) for k in range(400)] + [(None, None, "no id", 1), (5, "http://x/5", "again", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, archive int")
+    folder = str(tmp_path / "archives")
+    listed = warc.archives(warc.roles(pages).repartition(8), folder, size=40_000)
+    n = listed.count()
+    assert n > 10
+    where = warc.catalogue(listed, folder)
+    assert where.count() == 402 and where.select("archive").distinct().count() == n
+    whole = {}
+    for x in warc.read_archives(listed, folder).collect():
+        whole.setdefault(x.page_id, []).append(tuple(x))
+    html = {}
+    for page, _, text, _ in rows:
+        html.setdefault(page, []).append(text.encode())
+    for wanted in ([3], [5, 7, 57, 399, 12345], spark.createDataFrame([(k,) for k in range(0, 400, 3)], "page_id int")):
+        ids = wanted if isinstance(wanted, list) else [x.page_id for x in wanted.collect()]
+        got = warc.read_pages(where, folder, wanted).collect()
+        assert sorted(map(str, (tuple(g)[:5] for g in got))) == sorted(str(x) for k in ids for x in whole.get(k, []))
+        assert all(g.payload is None if g.record_type == "revisit" else bytes(g.payload) in html[g.page_id] for g in got)
+    # Archives that hold none of the wanted pages may be gone.
+    needed = {x.archive for x in where.where("page_id in (3, 8)").collect()}
+    for f in (tmp_path / "archives").iterdir():
+        if f.name not in needed:
+            f.unlink()
+    assert sorted(x.page_id for x in warc.read_pages(where, folder, [3, 8]).collect()) == [3, 8]
+
+
+def test_an_empty_catalogue(spark, tmp_path):
+    listed = warc.archives(warc.roles(spark.createDataFrame([], "page_id long, url string, html string")), str(tmp_path))
+    assert warc.read_pages(warc.catalogue(listed, str(tmp_path)), str(tmp_path), [1]).count() == 0
+
+
+def test_neighbours():
+    assert list(warc._neighbours([(0, 5), (5, 5), (10, 90), (100, 1), (200, 1)], 50)) == [[(0, 5), (5, 5)], [(10, 90)], [(100, 1)], [(200, 1)]]
