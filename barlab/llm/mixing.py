@@ -15,9 +15,10 @@ A source may hold any share of the rows, and so may an id: places are prefix sum
 hash within a source and over rows within a bucket, and every shuffle is by source and bucket or by position.
 Sizes are counted once, on ids and sizes alone, for the sums over buckets; ``curriculum`` then moves texts
 twice, to their bucket and to their range of positions. The bounds of these ranges follow from the demand of all
-sources, which is a polynomial of t, so no rows are sampled for them. Two limits: only the table of sources, a row
-each, is brought into one task (10 million sources are some 0.5 GB there, sorted with spilling), and rows that
-agree in both id and text share a bucket.
+sources, which is a polynomial of t, so no rows are sampled for them. Rows that agree in both id and text share a bucket: where
+a bucket has over ``CROWD`` rows, those of the keys that crowd it are dealt to parts by a checksum of the other columns, equal rows become one
+with a count, and each takes its place by that. Only the table of sources, a row
+each, is brought into one task (10 million sources are some 0.5 GB there, sorted with spilling).
 
 Null texts have size 0, and so do empty ones; they are never taken, and a source without words has target
 0. Rows that share id and text are dealt in the order of a hash of their other columns; repeated rows count
@@ -40,6 +41,8 @@ DRIFTS = (-0.5, 0.0, 0.5)
 EPOCHS = 3
 #: Rows of a bucket of the hash within the largest source, about; words of a partition of ``curriculum``, about.
 BUCKET, PART_WORDS = 256, 1 << 22
+#: Rows of a bucket beyond which it is looked into for keys of more than half as many rows.
+CROWD = 1 << 14
 
 
 def words(text: Column) -> Column:
@@ -72,29 +75,52 @@ def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> Data
     text = F.coalesce(field(text_col), F.lit(""))
     key = F.md5(F.concat_ws(":", F.coalesce(field(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
     source_key = F.coalesce(F.concat(F.lit("s"), field(source_col).cast("string")), F.lit("n"))
-    return rows.select("doc", source_key.alias("source_key"), words(field(text_col)).alias("size"), key.alias("key"))
+    # With the key, a checksum of all columns but the text tells rows apart.
+    other = [field(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col]
+    rest = F.to_json(F.struct(*other, field(text_col).isNull().alias("none")), {"ignoreNullFields": "false"})
+    rest = F.substring(F.sha2(rest, 256), 1, 32)
+    return rows.select("doc", source_key.alias("source_key"), words(field(text_col)).alias("size"), key.alias("key"), rest.alias("rest"))
 
 
 @dataclass(frozen=True)
 class _Sums:
-    """``bits``: of the hash that name a bucket; ``offsets``: per source and bucket, the words before it and the source's target."""
+    """``bits``: of the hash that name a bucket; ``crowds``: the crowding keys of each bucket that has any, if there are any;
+    ``offsets``: per source and part of a bucket, the words before it and the source's target."""
 
     bits: int
     offsets: DataFrame
+    crowds: DataFrame | None = None
 
-    def bucket(self) -> Column:
-        """The leading bits of the hash, so that buckets follow its order."""
-        return F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - self.bits)
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with bucket, and where keys crowd also segment (odd: one of them) and part within the bucket."""
+        # The leading bits of the hash, so that buckets follow its order.
+        leading = lambda c: F.shiftright(F.conv(F.substring(c, 1, 8), 16, 10).cast("long"), 32 - self.bits)
+        rows = rows.withColumn("bucket", leading("key"))
+        if self.crowds is None:
+            return rows
+        rows = rows.join(self.crowds, ["source_key", "bucket"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+        crowds = F.array_contains("keys", F.col("key"))
+        rows = rows.withColumn("segment", 2 * F.size(F.filter("keys", lambda k: k < F.col("key"))) + crowds.cast("int"))
+        return rows.withColumn("part", F.when(crowds, leading("rest")).otherwise(0)).drop("keys")
+
+    @property
+    def keys(self) -> list[str]:
+        return ["source_key", "bucket", *(["segment", "part"] if self.crowds is not None else [])]
 
 
 def _sums(slim: DataFrame, epochs: int) -> _Sums:
     totals = durable(slim.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("source", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 1 << 30))))
     most = totals.agg(F.max("n")).first()[0] or 0
     sums = _Sums(min(32, max(0, (most - 1) // BUCKET).bit_length()), totals)
-    own = slim.groupBy("source_key", sums.bucket().alias("bucket")).agg(F.sum("size").alias("own"))
-    earlier = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    own = durable(sums.dealt(slim).groupBy(*sums.keys).agg(F.sum("size").alias("own"), F.count("*").alias("n")))
+    full = own.where(F.col("n") > CROWD).select("source_key", "bucket")
+    if not full.isEmpty():
+        each = sums.dealt(slim).join(full, ["source_key", "bucket"], "left_semi").groupBy("source_key", "bucket", "key").count().where(F.col("count") > CROWD // 2)
+        sums = replace(sums, crowds=durable(each.groupBy("source_key", "bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))))
+        own = sums.dealt(slim).groupBy(*sums.keys).agg(F.sum("size").alias("own"))
+    earlier = W.partitionBy("source_key").orderBy(*sums.keys[1:]).rowsBetween(W.unboundedPreceding, -1)
     offsets = own.withColumn("base", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(targets(totals, epochs=epochs), "source_key")
-    return replace(sums, offsets=durable(offsets.drop("own")))
+    return replace(sums, offsets=durable(offsets.drop("own", "n")))
 
 
 def _tie(rows: DataFrame) -> Column:
@@ -108,10 +134,20 @@ def _tie(rows: DataFrame) -> Column:
 
 def _placed(rows: DataFrame, sums: _Sums, id_col: str) -> DataFrame:
     """``rows`` with source_size, target, goal, drift and the place before each."""
-    rows = rows.withColumn("bucket", sums.bucket()).withColumn("tie", _tie(rows))
-    inside = W.partitionBy("source_key", "bucket").orderBy("key", F.col("doc").getField(id_col), "tie").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("place", F.sum("size").over(inside) - F.col("size")).join(sums.offsets, ["source_key", "bucket"])
-    return rows.withColumn("place", F.col("place") + F.col("base"))
+    rows = sums.dealt(rows)
+    inside = W.partitionBy(*sums.keys)
+    light = rows if sums.crowds is None else rows.where(F.col("segment") % 2 == 0)
+    up_to = inside.orderBy("key", F.col("doc").getField(id_col), "tie").rowsBetween(W.unboundedPreceding, 0)
+    made = light.withColumn("tie", _tie(light)).withColumn("place", F.sum("size").over(up_to) - F.col("size")).drop("tie")
+    if sums.crowds is not None:
+        # Of crowding keys equal rows become one with a count; they have one size.
+        heavy = rows.where(F.col("segment") % 2 == 1).groupBy(*sums.keys, "key", "rest").agg(F.first("doc").alias("doc"), F.first("size").alias("size"), F.count("*").alias("n"))
+        up_to = inside.orderBy("rest").rowsBetween(W.unboundedPreceding, 0)
+        heavy = heavy.withColumn("first", F.sum(F.col("size") * F.col("n")).over(up_to) - F.col("size") * F.col("n"))
+        heavy = heavy.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("place", F.col("first") + F.col("turn") * F.col("size"))
+        made = made.unionByName(heavy.select(*made.columns))
+    made = made.drop("rest").join(sums.offsets, sums.keys)
+    return made.withColumn("place", F.col("place") + F.col("base"))
 
 
 def _taken(copy: Column | int) -> Column:

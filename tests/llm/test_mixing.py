@@ -99,7 +99,7 @@ def test_partitions_follow_each_other_in_training_time(spark, sf_dir, monkeypatc
 def test_an_id_of_many_rows_is_dealt_over_buckets(spark):
     docs = spark.range(4000).select(F.when(F.col("id") < 3000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("w "), "id").alias("text"), F.lit("a").alias("source"))
     rows = mixing._keyed(docs, "doc_id", "source", "text")
-    most = rows.groupBy(mixing._sums(rows, 3).bucket()).count().agg(F.max("count")).first()[0]
+    most = mixing._sums(rows, 3).dealt(rows).groupBy("bucket").count().agg(F.max("count")).first()[0]
     assert most < 2 * mixing.BUCKET
     assert [r.taken for r in mixing.mixture(docs).collect()] == [2] * 4000
 
@@ -140,3 +140,36 @@ def test_columns_of_any_type_and_name(spark):
     got = [tuple(r) for r in made.collect()]
     assert sum(size(g[1]) for g in got if g[0] == 2) == taken[2] and {str(g[3:]) for g in got} <= {str(r[3:]) for r in rows}
     assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in mixing.curriculum(docs.repartition(4)).collect())
+
+
+@pytest.fixture
+def crowded(spark):
+    """A third of the rows equal, some that share id and text alone, and others."""
+    rows = [(5, "a b c", "s", 1)] * 900 + [(6, "d e", "s", k) for k in range(300)] + [(None, "g", "t", 2)] * 200 + [(6, "", "s", 9), (6, None, "s", 9)] * 60
+    rows += [(k, "w " * (k % 9), "st"[k % 2], k) for k in range(1300)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(6)
+
+
+def test_rows_that_share_id_and_text_are_dealt_by_counts(crowded, monkeypatch):
+    want = sorted(map(str, mixing.mixture(crowded).collect()))
+    whole = mixing.curriculum(crowded.drop("extra"))
+    columns = ("doc_id", "text", "source")
+    texts = sorted(map(str, whole.select(*columns).collect()))
+    monkeypatch.setattr(mixing, "CROWD", 20)
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    rows = mixing._keyed(crowded, "doc_id", "source", "text")
+    sums = mixing._sums(rows.drop("doc"), 3)
+    keys = sorted(k for r in sums.crowds.collect() for k in r["keys"])
+    counts = sorted(r["count"] for r in rows.groupBy("source_key", "key").count().where("count > 20").collect())
+    assert len(keys) == len(counts) == 4 and counts[-1] == 900
+    # No window holds the rows of a crowding key: equal ones are one row, others are in parts.
+    dealt = sums.dealt(rows.drop("doc"))
+    assert dealt.where("segment % 2 = 0").groupBy(*sums.keys).count().agg(F.max("count")).first()[0] < 100
+    assert dealt.where("segment % 2 = 1").groupBy(*sums.keys).agg(F.countDistinct("rest").alias("n")).agg(F.max("n")).first()[0] < 30
+    assert sorted(map(str, mixing.mixture(crowded).collect())) == want
+    assert sorted(map(str, mixing.curriculum(crowded.drop("extra")).select(*columns).collect())) == texts
+    got = mixing.curriculum(crowded)
+    assert sorted(map(str, got.select(*columns).collect())) == texts
+    assert {r.extra for r in got.collect() if r.text == "a b c"} == {1} and len({r.extra for r in got.collect() if r.text == "d e"}) > 100
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.curriculum(crowded.repartition(3)).collect()))
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
