@@ -7,7 +7,7 @@ starts from an empty model and carries checksums of its ids and of its code, so
 The model of a block predicts ids from what the block has shown so far:
 
 - order 2 and order 1: the id that last followed the same two, or the same one, with how often in a row it did;
-- order 0: how often each id occurred, refreshed every ``REFRESH`` ids.
+- order 0: how often each id occurred, refreshed every ``REFRESH`` ids, and the most frequent one.
 
 First comes a decision whether the next id is the candidate of the highest order that has one. Its probability mixes
 the three orders' estimates by weights that follow how well each did (Bayes with forgetting). If not, order 1 may offer
@@ -177,6 +177,11 @@ class _Coder:
             self.digit(lanes, low >> _DIGIT)
             self.low[lanes], self.range[lanes] = low << _SHIFT, size << _SHIFT
 
+    def settle_all(self, m: int) -> None:
+        """``settle`` for the first ``m`` lanes."""
+        low, size = self.low[:m], self.range[:m]
+        self.settle(np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _LOW)))
+
     def digit(self, lanes: np.ndarray, digit: np.ndarray) -> None:
         raise NotImplementedError
 
@@ -197,6 +202,15 @@ class Encoder(_Coder):
         self._narrow(lanes, np.where(value, _U(0), part), np.where(value, part, size - part))
         return value
 
+    def flag_all(self, m: int, p: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """``flag`` for the first ``m`` lanes."""
+        low, size = self.low[:m], self.range[:m]
+        part = (size >> _U(12)) * p
+        rest = size - part
+        low += part * ~value
+        np.copyto(size, np.where(value, part, rest))
+        return value
+
     def number(self, lanes: np.ndarray, total: np.ndarray, value: np.ndarray, span: Callable) -> np.ndarray:
         """``value``, coded as the part of ``total`` that ``span(value)`` says: (first, size)."""
         unit = self.range.take(lanes) // total
@@ -233,6 +247,15 @@ class Decoder(_Coder):
         self._narrow(lanes, np.where(value, _U(0), part), np.where(value, part, size - part))
         return value
 
+    def flag_all(self, m: int, p: np.ndarray, value: None) -> np.ndarray:
+        low, size = self.low[:m], self.range[:m]
+        part = (size >> _U(12)) * p
+        value = self.code[:m] - low < part
+        rest = size - part
+        low += part * ~value
+        np.copyto(size, np.where(value, part, rest))
+        return value
+
     def number(self, lanes: np.ndarray, total: np.ndarray, value: Callable, span: Callable) -> np.ndarray:
         """As in the encoder, but ``value`` says which number a place in ``total`` stands for."""
         unit = self.range.take(lanes) // total
@@ -249,9 +272,10 @@ def _local(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """For each id the number of distinct ids of its block before its first place there, and whether it is new."""
     n = len(ids)
     where = np.arange(n) // block
-    key = (where << 32) | ids.astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    head = np.concatenate(([True], np.diff(key[order]) != 0))
+    # Sorted by block, id and place; places have 12 bits, as blocks hold at most 4096 ids.
+    key = np.sort((where << 44) | (ids.astype(np.int64) << 12) | (np.arange(n) % block))
+    order = (key >> 44) * block + (key & 4095)
+    head = np.concatenate(([True], np.diff(key >> 12) != 0))
     first = np.empty(n, np.int64)
     first[order] = order[head][np.cumsum(head) - 1]
     new = first == np.arange(n)
@@ -277,21 +301,22 @@ class _Model:
         # Order 0 as of the last refresh: places of each id among all, the id of each place, ids known then.
         self.first, self.size, self.known, self.total = np.zeros((lanes, block), np.uint16), np.zeros((lanes, block), np.uint16), np.zeros(lanes, np.int64), 0
         self.place = np.zeros((lanes, block), np.uint16)
-        runs = (np.arange(16) + 0.5) / (np.arange(16) + 1.5)
+        self.best, self.most = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint16)  # the most frequent id, and its count
+        runs = ((np.arange(16) + 0.5) / (np.arange(16) + 1.5)).astype(np.float32)
         # Estimates by run: of the candidate of order 2, of that of order 1, and of that of order 1 where order 2 has failed.
         self.rate2, self.rate1, self.other = np.tile(runs, lanes), np.tile(runs, lanes), np.tile(runs / 2, lanes)
-        self.weight = np.full((3, lanes), 1 / 3)
-        self.bits = np.ones((lanes, 33), np.int64)
+        self.weight = np.full((3, lanes), 1 / 3, np.float32)
+        self.bits = np.ones((lanes, 33), np.uint16)
 
-    def _refresh(self, done: np.ndarray | None, t: int, m: int) -> None:
+    def _refresh(self, decoding: bool, t: int, m: int) -> None:
         self.total = t
         self.known[:m] = self.seen[:m]
         most = int(self.seen[:m].max())
         ends = np.cumsum(self.count[:m, :most], axis=1, dtype=np.uint16)
         self.size[:m, :most] = self.count[:m, :most]
         self.first[:m, :most] = ends - self.count[:m, :most]
-        if done is not None:
-            self.place[:m, :t] = np.sort(done[:t, :m].T, axis=1)
+        if decoding:
+            self.place[:m, :t] = np.repeat(np.tile(np.arange(most, dtype=np.uint16), m), self.count[:m, :most].reshape(-1)).reshape(m, t)
 
     def walk(self, coder: Encoder | Decoder, numbers: np.ndarray | None = None, ids: np.ndarray | None = None) -> np.ndarray:
         """Codes the local ``numbers`` (steps x lanes) with the new ``ids``; without them, reads and returns ids."""
@@ -307,7 +332,7 @@ class _Model:
         for t in range(block):
             m = int(active[t])
             if t == refresh:
-                self._refresh(None if encoding else done, t, m)
+                self._refresh(not encoding, t, m)
                 refresh = t + min(t, REFRESH)
             s1 = prev1[:m]
             at1 = base1[:m] + s1
@@ -316,34 +341,31 @@ class _Model:
             c1, n1, c2, n2 = last1 >> 4, last1 & 15, last2 >> 4, last2 & 15
             true = numbers[t, :m] if encoding else None
             value = np.full(m, -1, np.int64)
-            # Is it the candidate of the highest order that has one?
-            ask = np.flatnonzero(last1 | last2)
-            if len(ask):
-                run1, run2 = n1.take(ask), n2.take(ask)
-                with2 = run2 > 0
-                one = c1.take(ask)
-                lead = np.where(with2, c2.take(ask), one)
-                agree = (one == lead) & (run1 > 0)
-                r1, r2 = base_run.take(ask) + run1, base_run.take(ask) + run2
+            if t:
+                # Is it the candidate of the highest order that has one? That of order 0 is the most frequent id.
+                with1, with2 = n1 > 0, n2 > 0
+                lead = np.where(with2, c2, np.where(with1, c1, self.best[:m]))
+                agree = with1 & (c1 == lead)
+                r1, r2 = base_run[:m] + n1, base_run[:m] + n2
                 old1, old2 = self.rate1.take(r1), self.rate2.take(r2)
-                q1 = np.where(agree, old1, 1 / 32)
+                q0 = count.take(base0[:m] + lead).astype(np.float32) / (t + 1)
+                q1 = np.where(agree, old1, np.where(with1, np.float32(1 / 32), q0))
                 q2 = np.where(with2, old2, q1)
-                q0 = count.take(base0.take(ask) + lead) / (t + 1.0)
-                w0, w1, w2 = (w.take(ask) for w in self.weight)
+                w0, w1, w2 = self.weight[:, :m]
                 p = np.clip(w0 * q0 + w1 * q1 + w2 * q2, 1 / 1024, 1023 / 1024)
-                hit = coder.flag(ask, (p * 4096).astype(_U), true.take(ask) == lead if encoding else None)
+                hit = coder.flag_all(m, (p * 4096).astype(_U), true == lead if encoding else None)
                 miss = ~hit
-                w0, w1, w2 = (w * np.abs(q - miss) for w, q in ((w0, q0), (w1, q1), (w2, q2)))
+                w0, w1, w2 = w0 * np.abs(q0 - miss), w1 * np.abs(q1 - miss), w2 * np.abs(q2 - miss)
                 scale = 0.98 / (w0 + w1 + w2)
                 for k, w in enumerate((w0, w1, w2)):
-                    self.weight[k][ask] = w * scale + 0.02 / 3
+                    self.weight[k, :m] = w * scale + 0.02 / 3
                 self.rate2[r2] = old2 + (hit - old2) * with2 / 16
                 self.rate1[r1] = old1 + (hit - old1) * agree / 16
-                value[ask] = np.where(hit, lead, -1)
+                np.copyto(value, lead, where=hit)
                 # Else, is it another candidate of order 1?
-                ask = ask[miss & with2 & ~agree & (run1 > 0)]
+                ask = np.flatnonzero(miss & with2 & with1 & ~agree)
                 if len(ask):
-                    r1, lead = base_run.take(ask) + n1.take(ask), c1.take(ask)
+                    r1, lead = r1.take(ask), c1.take(ask)
                     q = self.other.take(r1)
                     hit = coder.flag(ask, (np.clip(q, 1 / 1024, 1023 / 1024) * 4096).astype(_U), true.take(ask) == lead if encoding else None)
                     self.other[r1] = q + (hit - q) / 16
@@ -352,13 +374,18 @@ class _Model:
             if len(rest):
                 value[rest] = self._order0(coder, rest, true.take(rest) if encoding else None, ids[t] if encoding else None)
             # What was shown.
-            count[base0[:m] + value] += 1
+            at0 = base0[:m] + value
+            now = count.take(at0) + np.uint16(1)
+            count[at0] = now
+            more = now > self.most[:m]
+            np.copyto(self.best[:m], value, where=more)
+            np.copyto(self.most[:m], now, where=more)
             self.last1[at1] = value << 4 | np.where((c1 == value) & (n1 > 0), np.minimum(n1 + 1, 15), 1)
             self.last2[at2] = value << 4 | np.where((c2 == value) & (n2 > 0), np.minimum(n2 + 1, 15), 1)
             done[t, :m] = value
             prev2[:m] = s1
             prev1[:m] = value + 1
-            coder.settle(everyone[:m])
+            coder.settle_all(m)
         return done if encoding else self.ids[everyone[None, :], done]
 
     def _order0(self, coder: Encoder | Decoder, rest: np.ndarray, true: np.ndarray | None, ids: np.ndarray | None) -> np.ndarray:
@@ -395,12 +422,12 @@ class _Model:
     def _new_ids(self, coder: Encoder | Decoder, lanes: np.ndarray, ids: np.ndarray | None) -> None:
         """An id as the number of bits of id + 1, by how often each was, and the bits below the highest."""
         counts = self.bits[lanes]
-        ends = np.cumsum(counts, axis=1)
+        ends = np.cumsum(counts, axis=1, dtype=np.uint16)
         row = np.arange(len(lanes))
         span = lambda v: ((ends[row, v] - counts[row, v]).astype(_U), counts[row, v].astype(_U))
         total = ends[:, -1].astype(_U)
         if ids is None:
-            width = coder.number(lanes, total, lambda c: (ends <= c.astype(np.int64)[:, None]).sum(axis=1), span)
+            width = coder.number(lanes, total, lambda c: (ends <= c.astype(np.uint16)[:, None]).sum(axis=1), span)
         else:
             x = ids.astype(np.int64) + 1
             width = np.frexp(x.astype(np.float64))[1].astype(np.int64) - 1
