@@ -7,14 +7,15 @@ averages are equal. A rule may be
 - a column: ``@rule("name")`` on ``fn(frame) -> Column``;
 - a series function: ``@pandas_rule("name")`` on ``fn(pdf) -> bools`` over a symbol's ordered bars;
 - a prefix function: ``@prefix_rule("name")`` on ``fn(symbol, pdf) -> bool`` over each prefix, which takes
-  quadratic time and serves as a compatible form and as a test oracle.
+  quadratic time where the function reads it all, and serves as a compatible form and as a test oracle; with ``arrays=True`` a prefix's
+  columns are numpy arrays, and a function that reads the last bars of it takes as long at every bar.
 
 Rules may also see a symbol's snapshot (``info``) and its minute bars, of which those up to the end of each bar's day count:
 
 - ``@rule("name", info=True, minutes=lambda: {"top": F.max("high")})``: the columns ``info`` and ``minute`` are structs, of the snapshot and of
   aggregates of the day's minute bars (null where it has none);
 - ``@pandas_rule("name", full=True)`` on ``fn(info, day, minute) -> bools``, and ``@prefix_rule("name", full=True)`` on ``fn(info,
-  day, minute) -> bool``: day and minute bars of a symbol are cogrouped; ``info`` is a dict.
+  day, minute) -> bool``: day and minute bars of a symbol come together; ``info`` is a dict.
 
 Minute bars and names are passed as ``feeds``; without them there are none. The snapshot is of the symbol's last bar in the range,
 also for earlier bars, as in the blueprint (its decision Q6): a rule that reads its price looks ahead.
@@ -30,12 +31,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlab.functions.columns import no_buy_limit, on_exchange
 from barlab.functions.frames import FRAME, Frame, unused
+from barlab.operators.streams import Prefix, arrays_of, in_order, to_pandas, whole_symbols
 
 #: (bars, frame, name of the new column) -> bars with the boolean column.
 Rule = Callable[[DataFrame, Frame, str], DataFrame]
@@ -129,45 +132,86 @@ def staged_rule(name: str) -> Callable:
     return add
 
 
-def _grouped(series: Callable[[str, pd.DataFrame], Iterable[bool]]) -> Rule:
+def _bools(made: Iterable[bool], n: int) -> list[bool] | np.ndarray:
+    """What a rule says of ``n`` bars."""
+    given = np.asarray(made) if isinstance(made, (pd.Series, np.ndarray)) and made.dtype == bool else [bool(x) for x in made]
+    if len(given) != n:
+        raise ValueError(f"a rule gave {len(given)} values for {n} bars")
+    return given
+
+
+def _flagged(rows: pa.RecordBatch, names: list[str], parts: list[list[bool] | np.ndarray]) -> pa.RecordBatch:
+    """``rows`` and the bools of their symbols."""
+    flags = pa.array(np.concatenate([np.asarray(p, bool) for p in parts]))
+    return pa.RecordBatch.from_arrays([*rows.columns, flags], names)
+
+
+def _frames(rows: pa.RecordBatch, cuts: np.ndarray, **more: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A table of its own for each symbol."""
+    made = to_pandas(rows).assign(**more)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield made.iloc[a:b].reset_index(drop=True)
+
+
+def _grouped(series: Callable[[list[str], pa.RecordBatch, np.ndarray], Iterator[Iterable[bool]]]) -> Rule:
+    """The rule that ``series`` gives for (symbols, their bars, where these begin and end), symbol by symbol."""
+
     def apply(bars: DataFrame, frame: Frame, out: str) -> DataFrame:
-        symbol, ts = frame.symbol, frame.ts
+        names = [*bars.columns, out]
+        key = [c.lower() for c in bars.columns].index(frame.symbol.lower())
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(ts, kind="stable").reset_index(drop=True)
-            return pdf.assign(**{out: [bool(x) for x in series(pdf[symbol].iloc[0], pdf)]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, cuts in whole_symbols(batches, [key]):
+                symbols = rows.column(key).take(pa.array(cuts[:-1])).to_pylist()
+                parts = [_bools(made, n) for made, n in zip(series(symbols, rows, cuts), np.diff(cuts), strict=True)]
+                yield _flagged(rows, names, parts)
 
         schema = T.StructType([*bars.schema.fields, T.StructField(out, T.BooleanType())])
-        return bars.groupBy(symbol).applyInPandas(run, schema)
+        return in_order(bars, [frame.symbol], [F.asc_nulls_last(frame.ts)]).mapInArrow(run, schema)
 
     return apply
 
 
-#: (info, day bars, minute bars, number of minute bars up to the end of each day) -> bools.
-_Series = Callable[[dict, pd.DataFrame, pd.DataFrame, np.ndarray], Iterable[bool]]
+#: Kinds of rows that are streamed together.
+_INFO, _DAY, _MINUTE = 0, 1, 2
+#: (snapshots, day bars, their cuts, minute bars, their cuts, number of minute bars of the symbol up to the end of each day) -> bools of each symbol.
+_Series = Callable[[list[dict], pa.RecordBatch, np.ndarray, pa.RecordBatch, np.ndarray, np.ndarray], Iterator[Iterable[bool]]]
 
 
 def _cogrouped(series: _Series) -> Fed:
+    """The rule over snapshots, day and minute bars, which are one stream: of each symbol the snapshot, then its day bars, then its minute bars."""
+
     def apply(bars: DataFrame, frame: Frame, out: str, feeds: Feeds) -> DataFrame:
-        symbol, ts = frame.symbol, frame.ts
-        (info,) = unused(bars, "_info")
         minutes = feeds.minutes_of(bars)
-        minutes = minutes.toDF(*minutes.columns)  # new columns, where day bars were made of minute bars
-        rows = bars.join(info_of(bars, frame, feeds).withColumnRenamed("info", info), symbol, "left")
-
-        def run(day: pd.DataFrame, minute: pd.DataFrame) -> pd.DataFrame:
-            day = day.sort_values(ts, kind="stable").reset_index(drop=True)
-            minute = minute.sort_values(ts, kind="stable").reset_index(drop=True)
-            if day.empty:
-                return day.drop(columns=[info]).assign(**{out: pd.Series(dtype=bool)})
-            own = day[info].iloc[0]
-            ends = pd.to_datetime(day[ts]).dt.normalize() + pd.Timedelta(days=1)
-            seen = np.searchsorted(pd.to_datetime(minute[ts]).to_numpy(), ends.to_numpy(), side="left")
-            day = day.drop(columns=[info])
-            return day.assign(**{out: [bool(x) for x in series(own if isinstance(own, dict) else own.asDict(), day, minute, seen)]})
+        kinds = {"_info": T.StructType.fromDDL(INFO), "_bar": bars.schema, "_minute": minutes.schema}
+
+        def of_kind(rows: DataFrame, kind: int, ts: Column, value: Column) -> DataFrame:
+            made = [(value if k == kind else F.lit(None)).cast(t).alias(c) for k, (c, t) in enumerate(kinds.items())]
+            return rows.select(F.col(frame.symbol).alias("_symbol"), F.lit(kind).alias("_kind"), ts.cast("timestamp").alias("_ts"), F.unix_date(_day(ts)).cast("long").alias("_date"), *made)
+
+        infos = of_kind(info_of(bars, frame, feeds), _INFO, F.lit(None).cast("timestamp"), F.col("info"))
+        rows = infos.unionAll(of_kind(bars, _DAY, F.col(frame.ts), F.struct("*"))).unionAll(of_kind(minutes, _MINUTE, F.col(frame.ts), F.struct("*")))
+        names = [*bars.columns, out]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, cuts in whole_symbols(batches, [0]):
+                kind = rows.column("_kind").to_numpy()
+                mine = [kind == k for k in (_INFO, _DAY, _MINUTE)]
+                # Symbols of minute bars alone have no rows to give.
+                wanted = np.add.reduceat(mine[_DAY], cuts[:-1], dtype=np.int64) > 0
+                cut = lambda k: np.concatenate([[0], np.cumsum(mine[k])])[cuts]
+                made = [pa.RecordBatch.from_struct_array(rows.column(c).filter(pa.array(m))) for c, m in zip(kinds, mine, strict=True)]
+                # Without a time: after all others.
+                date = rows.column("_date").fill_null(np.iinfo(np.int64).max).to_numpy()
+                days, ends, (begin, end) = date[mine[_DAY]], date[mine[_MINUTE]], (cut(_DAY), cut(_MINUTE))
+                seen = np.concatenate([np.searchsorted(ends[c:d], days[a:b], side="right") for a, b, c, d in zip(begin, begin[1:], end, end[1:])])
+                given = series(made[_INFO].to_pylist(), made[_DAY], begin, made[_MINUTE], end, seen)
+                parts = [_bools(g, n) for g, n in zip(given, np.diff(begin)[wanted], strict=True)]
+                if parts:
+                    yield _flagged(made[_DAY], names, parts)
 
         schema = T.StructType([*bars.schema.fields, T.StructField(out, T.BooleanType())])
-        return rows.groupBy(symbol).cogroup(minutes.groupBy(symbol)).applyInPandas(run, schema)
+        return in_order(rows, ["_symbol"], ["_kind", F.asc_nulls_last("_ts")]).mapInArrow(run, schema)
 
     return Fed(apply)
 
@@ -179,23 +223,45 @@ def pandas_rule(name: str, full: bool = False) -> Callable:
     """
 
     def add(fn: Callable[..., Iterable[bool]]) -> Callable:
-        if full:
-            _RULES[name] = _cogrouped(lambda info, day, minute, seen: fn(info, day.assign(minutes_seen=seen), minute))
-        else:
-            _RULES[name] = _grouped(lambda _, pdf: fn(pdf))
+        def fed(infos, day, begin, minute, end, seen):
+            pairs = zip(_frames(day, begin, minutes_seen=seen), _frames(minute, end), strict=True)
+            own = iter(infos)
+            for d, m in pairs:
+                if len(d):
+                    yield fn(next(own), d, m)
+
+        _RULES[name] = _cogrouped(fed) if full else _grouped(lambda _, rows, cuts: map(fn, _frames(rows, cuts)))
         return fn
 
     return add
 
 
-def prefix_rule(name: str, full: bool = False) -> Callable:
-    """Registers a rule given as a function of the symbol and each prefix of its series; ``full``: of its snapshot, and prefixes of day and minute bars."""
+def prefix_rule(name: str, full: bool = False, arrays: bool = False) -> Callable:
+    """Registers a rule given as a function of the symbol and each prefix of its series; ``full``: of its snapshot, and prefixes of day and minute bars.
+
+    ``arrays``: prefixes are no tables but ``Prefix``, whose columns are numpy arrays. Cutting a table takes some fifty times as long as cutting an array.
+    """
 
     def add(fn: Callable[..., bool]) -> Callable:
-        if full:
-            _RULES[name] = _cogrouped(lambda info, day, minute, seen: (fn(info, day.iloc[: i + 1], minute.iloc[:n]) for i, n in enumerate(seen)))
-        else:
-            _RULES[name] = _grouped(lambda symbol, pdf: (fn(symbol, pdf.iloc[: i + 1]) for i in range(len(pdf))))
+        def tables(rows: pa.RecordBatch, cuts: np.ndarray) -> Iterator[Callable[[int], pd.DataFrame | Prefix]]:
+            """For each symbol, what gives its first n bars."""
+            if arrays:
+                columns = arrays_of(rows)
+                return (lambda n, a=a: Prefix(columns, a, a + n) for a in cuts[:-1].tolist())
+            return (lambda n, pdf=pdf: pdf.iloc[:n] for pdf in _frames(rows, cuts))
+
+        def alone(symbols, rows, cuts):
+            for symbol, first, n in zip(symbols, tables(rows, cuts), np.diff(cuts).tolist(), strict=True):
+                yield [bool(fn(symbol, first(i))) for i in range(1, n + 1)]
+
+        def fed(infos, day, begin, minute, end, seen):
+            own, counts = iter(infos), seen.tolist()
+            for first, minutes, a, b in zip(tables(day, begin), tables(minute, end), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                if a < b:
+                    info = next(own)
+                    yield [bool(fn(info, first(i), minutes(n))) for i, n in enumerate(counts[a:b], 1)]
+
+        _RULES[name] = _cogrouped(fed) if full else _grouped(alone)
         return fn
 
     return add

@@ -21,6 +21,7 @@ from barlab.operators.backtest import backtest_hold, backtest_ledger, backtest_s
 from barlab.operators.backtest import trades as ledger_trades
 from barlab.operators.grid import sma_grid
 from barlab.operators.pivots import vertices
+from barlab.operators.streams import Prefix
 from barlab.plans import register
 from barlab.plans.adapter import BARS, CAPITAL, TICKS, capital, factors, names, prints, table, weekly_bars
 from barlab.sources import io
@@ -392,9 +393,9 @@ def _ewm_above(pdf: pd.DataFrame) -> pd.Series:
     return pdf["close"] > pdf["close"].ewm(alpha=0.5, adjust=False).mean()
 
 
-@D.prefix_rule("rise_by_prefix")
-def _rise_by_prefix(symbol: str, prefix: pd.DataFrame) -> bool:
-    c = prefix["close"].to_numpy()
+@D.prefix_rule("rise_by_prefix", arrays=True)
+def _rise_by_prefix(symbol: str, prefix: Prefix) -> bool:
+    c = prefix["close"]
     return len(c) >= 3 and c[-1] > c[-2] > c[-3]
 
 
