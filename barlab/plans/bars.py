@@ -421,9 +421,9 @@ def _above_minutes(info: dict, day: pd.DataFrame, minute: pd.DataFrame) -> pd.Se
     return (5 * day["close"] > last) & (info["price"] > day["open"].iloc[0])
 
 
-@D.prefix_rule("above_minutes_by_prefix", full=True)
-def _above_minutes_by_prefix(info: dict, day: pd.DataFrame, minute: pd.DataFrame) -> bool:
-    return len(minute) >= 5 and 5 * day["close"].iloc[-1] > minute["close"].iloc[-5:].sum() and info["price"] > day["open"].iloc[0]
+@D.prefix_rule("above_minutes_by_prefix", full=True, arrays=True)
+def _above_minutes_by_prefix(info: dict, day: Prefix, minute: Prefix) -> bool:
+    return len(minute) >= 5 and 5 * day["close"][-1] > minute["close"][-5:].sum() and info["price"] > day["open"][0]
 
 
 #: Tables ``minutes`` and ``days`` of the same symbols; ``dm`` adds what rules read of both.

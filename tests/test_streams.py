@@ -42,3 +42,21 @@ def test_a_prefix_rule_reads_arrays(spark, batch_rows):
     rules.remove("three_up")
     assert "FlatMapGroups" not in plan(got) and got.columns == [*df.columns, "flag"] and got.schema["ts"] == df.schema["ts"]
     assert flags(got) == want | {"s1": [False] * 3} and any(map(any, want.values()))
+
+
+def test_a_prefix_rule_reads_arrays_of_day_and_minute_bars(spark, batch_rows):
+    from test_rules import two_intervals
+
+    @rules.prefix_rule("two_above", full=True, arrays=True)
+    def _two_above(info, day, minute):
+        return len(minute) >= 2 and 2 * day["close"][-1] > minute["close"][-2:].sum() and info["price"] >= day["open"][0]
+
+    @rules.prefix_rule("two_above_tables", full=True)
+    def _two_above_tables(info, day, minute):
+        return len(minute) >= 2 and 2 * day["close"].iloc[-1] > minute["close"].iloc[-2:].sum() and info["price"] >= day["open"].iloc[0]
+
+    day, minute = two_intervals(spark)
+    got, want = (flags(with_signal(day, name, feeds=rules.Feeds(minute))) for name in ("two_above", "two_above_tables"))
+    for name in ("two_above", "two_above_tables"):
+        rules.remove(name)
+    assert got == want and any(map(any, got.values()))
