@@ -60,3 +60,23 @@ def test_a_prefix_rule_reads_arrays_of_day_and_minute_bars(spark, batch_rows):
     for name in ("two_above", "two_above_tables"):
         rules.remove(name)
     assert got == want and any(map(any, got.values()))
+
+
+def test_the_market_is_screened_without_a_group_for_each_symbol(spark, batch_rows):
+    from test_rules import two_intervals
+
+    from barlab.operators.screen import screen
+
+    @rules.pandas_rule("minutes_today", full=True)
+    def _minutes_today(info, day, minute):
+        return day["minutes_seen"].diff().fillna(day["minutes_seen"]) > 0
+
+    day, minute = two_intervals(spark)
+    got = screen(day, ["minutes_today"], feeds=rules.Feeds(minute))
+    made = {r.symbol for r in got.collect()}
+    rules.remove("minutes_today")
+    days, seen = {}, {(m.symbol, m.ts.date()) for m in minute.collect()}
+    for d in sorted(day.collect(), key=lambda d: d.ts):
+        days.setdefault(d.symbol, []).append(d.ts.date())
+    assert "FlatMapCoGroups" not in plan(got)
+    assert made == {s for s, own in days.items() if any(s == t and (len(own) < 2 or own[-2] < at) and at <= own[-1] for t, at in seen)}
