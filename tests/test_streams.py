@@ -1,7 +1,9 @@
 """Rules over symbols that are streamed in batches."""
 
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_rules import bars, flags, flat
 
 from barlab.operators import rules
@@ -80,3 +82,29 @@ def test_the_market_is_screened_without_a_group_for_each_symbol(spark, batch_row
         days.setdefault(d.symbol, []).append(d.ts.date())
     assert "FlatMapCoGroups" not in plan(got)
     assert made == {s for s, own in days.items() if any(s == t and (len(own) < 2 or own[-2] < at) and at <= own[-1] for t, at in seen)}
+
+
+def test_a_series_rule_gets_its_own_tables(spark, batch_rows):
+    from test_rules import two_intervals
+
+    @rules.pandas_rule("own_tables", full=True)
+    def _own_tables(info, day, minute):
+        own = {info["code"]} == set(day["symbol"]) and set(minute["symbol"]) <= {info["code"]}
+        ordered = day["ts"].is_monotonic_increasing and minute["ts"].is_monotonic_increasing
+        plain = day["ts"].dt.tz is None and list(day.index) == list(range(len(day))) and info["price"] == day["close"].iloc[-1]
+        ends = day["ts"].dt.normalize() + pd.Timedelta(days=1)
+        return (day["minutes_seen"] == [(minute["ts"] < e).sum() for e in ends]) & own & ordered & plain
+
+    day, minute = two_intervals(spark)
+    got = with_signal(day, "own_tables", feeds=rules.Feeds(minute.union(minute.limit(1).withColumn("symbol", F.lit("none")))))
+    made = flags(got)
+    rules.remove("own_tables")
+    assert "FlatMapCoGroups" not in plan(got) and all(map(all, made.values()))
+    assert {s: len(f) for s, f in made.items()} == {r.symbol: r["count"] for r in day.groupBy("symbol").count().collect()}
+
+
+def test_a_rule_gives_a_value_for_each_bar(spark):
+    rules.pandas_rule("too_few")(lambda pdf: [True])
+    with pytest.raises(Exception, match="1 values for 2 bars"):
+        with_signal(bars(spark, {"a": flat([1, 2])}), "too_few").collect()
+    rules.remove("too_few")
