@@ -2,21 +2,21 @@
 
 Documents are encoded with a tokenizer file, each closed by an end id, and written in ascending order of doc_id.
 A file holds whole documents: blocks of up to ``BLOCK`` ids, an index of its documents, and a footer. Each block
-starts from an empty model and carries checksums of its ids and of its code, so any block is read alone.
+carries its own model, and checksums of its ids and of its code, so any block is read alone.
 
-The model of a block predicts ids from what the block has shown so far:
+The model of a block:
 
-- order 2 and order 1: the id that last followed the same two, or the same one, with how often in a row it did;
-- order 0: how often each id occurred, refreshed every ``REFRESH`` ids, and the most frequent one.
+- order 0: its distinct ids and how often each occurs, in a table before the code, the gaps between ids and the counts in bits;
+- order 2 and order 1: the id that last followed the same two, or the same one, with how often in a row it did, from what the block has
+  shown so far.
 
 First comes a decision whether the next id is the candidate of the highest order that has one. Its probability mixes
-the three orders' estimates by weights that follow how well each did (Bayes with forgetting). If not, order 1 may offer
-another candidate; else order 0 codes the id among those seen; an unseen id is coded by its adaptive number of bits
-and these bits. All decisions narrow one 64-bit range (carryless, 16 bits out at a time). Estimates use
-only sums, products and quotients of doubles, so every machine computes the same.
+the three orders' estimates by weights that follow how well each did (Bayes with forgetting). If not, order 0 codes the id by its
+count. Both narrow one range of up to 48 bits, of which 16 bits leave at a time; carries are passed on at the end. Estimates use
+only sums, products and quotients of floats, so every machine computes the same.
 
-Blocks are coded side by side, step by step, in numpy: a step codes one id of each of up to ``LANES`` blocks. Encoding and
-decoding run the same model.
+Blocks are coded side by side, step by step, in numpy: a step codes one id of each of up to ``LANES`` blocks, all by the same operations
+on whole arrays. Encoding and decoding run the same model. Tables are packed and read for all blocks at once.
 
 In Spark: rows are range-sorted by (doc_id, hash of text, row), so a doc_id or a row that repeats any number of times is
 dealt over tasks; a task writes files of about ``FILE_IDS`` ids under names of its own and returns their list, which is kept. Files of
@@ -37,7 +37,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +50,13 @@ from pyspark.sql import functions as F
 from barlab.llm.common import durable, scratch, unused
 
 END_ID = 2
-#: Ids of a block, blocks that are coded side by side, ids of a file (about), and of steps between two refreshes of order 0.
-BLOCK, LANES, FILE_IDS, REFRESH = 1024, 4096, 1 << 22, 64
+#: Ids of a block, blocks that are coded side by side, and ids of a file (about).
+BLOCK, LANES, FILE_IDS = 1024, 4096, 1 << 22
 #: Words whose ids a task remembers, and bytes of text that are split together.
 MEMO, GROUP = 600_000, 4 << 20
 #: Words of letters that are one character each in lower case, with signs after them; a character that they do not have marks ends.
-_PLAIN, _TAIL, _MARK = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)"), re.compile(r"[!-&(-/:-@\[-`{-~]+"), "\x01"
+_SIGNS = r"[!-&(-/:-@\[-`{-~]"
+_PLAIN, _ENDED, _TAIL, _MARK = f"\\A[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+{_SIGNS}*\\z", f"{_SIGNS}\\z", re.compile(_SIGNS + "+"), "\x01"
 
 # ---------------------------------------------------------------- texts to ids
 
@@ -76,6 +77,10 @@ def _merger(path: str):
     return tiktoken.Encoding("marked", pat_str=f"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks, special_tokens={})
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Texts -> ids, for tokenizer files that drop white space: words cut at it encode alone, and each distinct one once.
 
@@ -96,33 +101,39 @@ class WordEncoder:
     def _forget(self) -> None:
         """Words by number, and the ids of each: a stretch of ``pool``."""
         self.number: dict[str, int] = {}
-        self.pool, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.pool, self.sizes, self.begins = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        plain, other, pieces = [], [], []
-        for w in words:
-            if self.merger is not None and (m := _PLAIN.fullmatch(w)):
-                plain.append(w)
-                pieces.append(2 if m[2] else 1)
-            else:
-                other.append(w)
-        if plain:
-            marked = _MARK.join(plain).lower() + _MARK
-            if sum(pieces) > len(plain):
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds ``words``, which are not known, and returns their numbers."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        if self.merger is None:
+            plain[:] = False
+        made = np.empty(len(words), np.int64)
+        if plain.any():
+            chosen = words.filter(pa.array(plain))
+            own = _strings(chosen)
+            ended = pc.match_substring_regex(chosen, _ENDED).to_numpy(zero_copy_only=False)
+            marked = _MARK.join(own).lower() + _MARK
+            if ended.any():
                 marked = _TAIL.sub(_MARK + r"\g<0>", marked)
             ids = self.merger.encode_to_numpy(marked, disallowed_special=()).astype(np.uint32)
-            ends = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(pieces) - 1]
-            self._add(plain, ids, np.diff(ends, prepend=0))
-        if other:
-            found = self._library(other)
-            self._add(other, np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64))
-
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.number.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+            ends = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(1 + ended) - 1]
+            made[plain] = self._add(own, ids, np.diff(ends, prepend=0))
+        if not plain.all():
+            own = _strings(words.filter(pa.array(~plain)))
+            found = self._library(own)
+            made[~plain] = self._add(own, np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64))
+        return made
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        first = len(self.sizes)
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(sizes) - sizes])
         self.pool, self.sizes = np.concatenate([self.pool, ids]), np.concatenate([self.sizes, sizes])
+        return np.arange(first, len(self.sizes))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (without nulls), end to end, and how many each has."""
@@ -130,14 +141,17 @@ class WordEncoder:
         coded = split.flatten().dictionary_encode()
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        words = coded.dictionary.to_pylist()
+        words = _strings(coded.dictionary)
         if len(self.sizes) + len(words) > MEMO or len(self.pool) > 4 * MEMO:
             self._forget()
-        self._learn([w for w in words if w not in self.number])
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = numbers < 0
+        if new.any():
+            numbers[new] = self._learn(coded.dictionary.filter(pa.array(new)))
+        which = numbers[coded.indices.to_numpy()]
         counts = self.sizes[which]
         ends = np.cumsum(counts)
-        at = np.arange(ends[-1]) + np.repeat((np.cumsum(self.sizes) - self.sizes)[which] - (ends - counts), counts)
+        at = np.arange(ends[-1]) + np.repeat(self.begins[which] - (ends - counts), counts)
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy()]
         return self.pool[at], np.diff(bounds)
 
@@ -149,317 +163,272 @@ def word_encoder(path: str) -> WordEncoder:
 
 # ---------------------------------------------------------------- range coder
 
-_U = np.uint64
-_TOP, _LOW = _U(1 << 48), _U(1 << 44)  # digits are 16 bits; ranges of at least 44 bits are left after each digit
-_SHIFT, _DIGIT = _U(16), _U(48)
+_DIGIT, _LEAST, _ODDS = 16, 1 << 32, 12  # bits of a digit, least range after a step, bits of a flag's chances
 
 
-class _Coder:
-    """64-bit ranges, one for each lane. ``lanes``: indices of those that code something."""
+class Encoder:
+    """Ranges of 32 to 48 bits, one for each lane. Digits leave with their carries, which are passed on in the end."""
 
     def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-
-    def _narrow(self, lanes: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
-        self.low[lanes] = self.low.take(lanes) + first
-        self.range[lanes] = size
-
-    def settle(self, lanes: np.ndarray) -> None:
-        """Passes the digits that are certain, so that at least 44 bits of range are left."""
-        while len(lanes):
-            low, size = self.low.take(lanes), self.range.take(lanes)
-            certain = (low ^ (low + size)) < _TOP
-            go = certain | (size < _LOW)
-            if not go.any():
-                return
-            lanes, low, size, certain = lanes[go], low[go], size[go], certain[go]
-            size = np.where(certain, size, (~low + _U(1)) & (_LOW - _U(1)))
-            self.digit(lanes, low >> _DIGIT)
-            self.low[lanes], self.range[lanes] = low << _SHIFT, size << _SHIFT
-
-    def settle_all(self, m: int) -> None:
-        """``settle`` for the first ``m`` lanes."""
-        low, size = self.low[:m], self.range[:m]
-        self.settle(np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _LOW)))
-
-    def digit(self, lanes: np.ndarray, digit: np.ndarray) -> None:
-        raise NotImplementedError
-
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+        self.digits: list[np.ndarray] = []
+        self.given: list[np.ndarray] = []
 
-class Encoder(_Coder):
-    def __init__(self, lanes: int, room: int):
-        super().__init__(lanes)
-        self.out, self.used = np.zeros((lanes, room), "<u2"), np.zeros(lanes, np.int64)
-
-    def digit(self, lanes: np.ndarray, digit: np.ndarray) -> None:
-        self.out[lanes, self.used[lanes]] = digit
-        self.used[lanes] += 1
-
-    def flag(self, lanes: np.ndarray, p: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """``value``, coded with chances ``p`` of 4096 that it is true."""
-        size = self.range.take(lanes)
-        part = (size >> _U(12)) * p
-        self._narrow(lanes, np.where(value, _U(0), part), np.where(value, part, size - part))
-        return value
-
-    def flag_all(self, m: int, p: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """``flag`` for the first ``m`` lanes."""
+    def step(self, m: int, odds: np.ndarray, lead: np.ndarray, true: np.ndarray, at: np.ndarray, table: _Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Codes the numbers ``true`` of the first ``m`` lanes: with chances ``odds`` ``lead``, else by their counts."""
         low, size = self.low[:m], self.range[:m]
-        part = (size >> _U(12)) * p
-        rest = size - part
-        low += part * ~value
-        np.copyto(size, np.where(value, part, rest))
-        return value
-
-    def number(self, lanes: np.ndarray, total: np.ndarray, value: np.ndarray, span: Callable) -> np.ndarray:
-        """``value``, coded as the part of ``total`` that ``span(value)`` says: (first, size)."""
-        unit = self.range.take(lanes) // total
-        first, size = span(value)
-        self._narrow(lanes, unit * first, unit * size)
-        return value
+        part = (size >> _ODDS) * odds
+        hit = true == lead
+        unit = (size - part) >> table.bits[:m]
+        span = table.spans.take(at + true).astype(np.int64)
+        low += np.where(hit, 0, part + unit * (span >> 16))
+        np.copyto(size, np.where(hit, part, unit * (span & 0xFFFF)))
+        while size.min() < _LEAST:
+            self._digit(size < _LEAST)
+        return hit, true
+
+    def _digit(self, short: np.ndarray) -> None:
+        m = len(short)
+        digits, given = np.zeros(len(self.low), np.uint32), np.zeros(len(self.low), bool)
+        low, size = self.low[:m], self.range[:m]
+        digits[:m], given[:m] = low >> 32, short
+        np.copyto(low, (low & (_LEAST - 1)) << _DIGIT, where=short)
+        size *= np.where(short, 1 << _DIGIT, 1)
+        self.digits.append(digits)
+        self.given.append(given)
 
     def finish(self) -> list[bytes]:
-        everyone = np.arange(len(self.low))
-        for k in (48, 32, 16, 0):
-            self.digit(everyone, (self.low >> _U(k)) & _U(0xFFFF))
-        return [self.out[k, : self.used[k]].tobytes() for k in everyone]
+        for _ in range(3):
+            self._digit(np.ones(len(self.low), bool))
+        given = np.ascontiguousarray(np.stack(self.given).T)
+        digits = np.ascontiguousarray(np.stack(self.digits).T)[given]
+        while (over := digits >> 16).any():
+            digits &= 0xFFFF
+            digits[:-1] += over[1:]
+        data, ends = digits.astype("<u2").tobytes(), (2 * np.cumsum(given.sum(axis=1))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
 
+class Decoder:
+    """The encoder's ranges, and where in them the code lies."""
 
-class Decoder(_Coder):
     def __init__(self, codes: list[bytes]):
-        super().__init__(len(codes))
         sizes = np.array([len(c) // 2 for c in codes])
-        self.data = np.concatenate([np.frombuffer(b"".join(codes), "<u2"), np.zeros(8, np.uint16)]).astype(_U)
-        self.at = np.cumsum(sizes) - sizes
-        self.code = np.zeros(len(codes), _U)
-        everyone = np.arange(len(codes))
-        for _ in range(4):
-            self.digit(everyone, None)
-
-    def digit(self, lanes: np.ndarray, digit: np.ndarray | None) -> None:
-        self.code[lanes] = (self.code[lanes] << _SHIFT) | self.data[np.minimum(self.at[lanes], len(self.data) - 1)]
-        self.at[lanes] += 1
-
-    def flag(self, lanes: np.ndarray, p: np.ndarray, value: None) -> np.ndarray:
-        size = self.range.take(lanes)
-        part = (size >> _U(12)) * p
-        value = self.code.take(lanes) - self.low.take(lanes) < part
-        self._narrow(lanes, np.where(value, _U(0), part), np.where(value, part, size - part))
-        return value
-
-    def flag_all(self, m: int, p: np.ndarray, value: None) -> np.ndarray:
-        low, size = self.low[:m], self.range[:m]
-        part = (size >> _U(12)) * p
-        value = self.code[:m] - low < part
-        rest = size - part
-        low += part * ~value
-        np.copyto(size, np.where(value, part, rest))
-        return value
-
-    def number(self, lanes: np.ndarray, total: np.ndarray, value: Callable, span: Callable) -> np.ndarray:
-        """As in the encoder, but ``value`` says which number a place in ``total`` stands for."""
-        unit = self.range.take(lanes) // total
-        found = value(np.minimum((self.code.take(lanes) - self.low.take(lanes)) // unit, total - _U(1)))
-        first, size = span(found)
-        self._narrow(lanes, unit * first, unit * size)
-        return found
+        self.data = np.concatenate([np.frombuffer(b"".join(codes), "<u2"), np.zeros(8, np.uint16)]).astype(np.uint16)
+        first = np.cumsum(sizes) - sizes
+        self.code = sum(self.data.take(np.minimum(first + k, len(self.data) - 1)).astype(np.int64) << (32 - 16 * k) for k in range(3))
+        self.at, self.range = first + 3, np.full(len(codes), 1 << 48, np.int64)
+
+    def step(self, m: int, odds: np.ndarray, lead: np.ndarray, true: None, at: np.ndarray, table: _Counts) -> tuple[np.ndarray, np.ndarray]:
+        code, size = self.code[:m], self.range[:m]
+        part = (size >> _ODDS) * odds
+        hit = code < part
+        unit = (size - part) >> table.bits[:m]
+        # Both are below 2^53, so the quotient of doubles is exact when it is cut.
+        place = ((code - part) / unit).astype(np.int64)
+        place = np.minimum(np.maximum(place, 0), table.most[:m])
+        found = np.where(hit, lead, table.numbers.take(at + place))
+        span = table.spans.take(at + found).astype(np.int64)
+        code -= np.where(hit, 0, part + unit * (span >> 16))
+        np.copyto(size, np.where(hit, part, unit * (span & 0xFFFF)))
+        while size.min() < _LEAST:
+            short, where = size < _LEAST, self.at[:m]
+            factor = np.where(short, 1 << _DIGIT, 1)
+            code *= factor
+            size *= factor
+            code += self.data.take(where, mode="clip") * short
+            where += short
+        return hit, found
+
+
+# ---------------------------------------------------------------- counts of a block
+
+
+class _Counts:
+    """What order 0 knows of each block: its distinct ids, ascending, and how often each occurs. Flat, a stretch of ``block`` for each lane."""
+
+    def __init__(self, lengths: np.ndarray, distinct: np.ndarray, counts: np.ndarray):
+        """``counts``: of the ``distinct`` ids of each block, end to end."""
+        lanes, block = len(lengths), int(lengths[0])
+        begin = np.cumsum(distinct) - distinct
+        lane = np.repeat(np.arange(lanes), distinct)
+        number = np.arange(len(counts)) - begin[lane]
+        first = np.cumsum(counts) - counts
+        first -= first[begin][lane]
+        self.spans = np.zeros(lanes * block, np.uint32)  # the first of its places in the high bits, their number in the low ones
+        self.spans[lane * block + number] = first << 16 | counts
+        self.numbers = np.zeros(lanes * block, np.uint16)  # by place
+        places = np.repeat(number.astype(np.uint16), counts)
+        if len(places) == len(self.numbers):
+            self.numbers = places
+        else:
+            self.numbers[np.repeat(lane * block + first, counts) + np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)] = places
+        self.bits, self.most = np.frexp(lengths - 0.5)[1].astype(np.int64), lengths - 1
+        self.best = (self.spans.reshape(lanes, block) & 0xFFFF).argmax(axis=1).astype(np.uint16)
+
+
+_TABLE = struct.Struct("<HHH")  # distinct ids, low bits of gaps, length of what follows in 16 bits
+
+
+def _each(sizes: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Sums of ``sizes`` before each, within stretches of ``per`` of them."""
+    before = np.cumsum(sizes) - sizes
+    return before - np.repeat(before[np.cumsum(per) - per], per)
+
+
+def _sides(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of gaps and of counts, where each block's gaps are followed by its counts."""
+    own = np.arange(int(distinct.sum())) + np.repeat(np.cumsum(distinct) - distinct, distinct)
+    return own, own + np.repeat(distinct, distinct)
+
+
+def pack_tables(distinct: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The tables of blocks, in bits: of gaps the high part and of counts their number of bits in unary, then what is below."""
+    begin, per = np.cumsum(distinct) - distinct, 2 * distinct
+    gaps = np.diff(ids, prepend=-1) - 1
+    gaps[begin] = ids[begin]
+    low = np.maximum(np.frexp(0.7 * np.add.reduceat(gaps, begin) / distinct + 0.01)[1] - 1, 0).astype(np.int64)
+    of_gaps, of_counts = _sides(distinct)
+    values, width, steps = (np.empty(2 * len(ids), np.int64) for _ in range(3))
+    values[of_gaps], width[of_gaps] = gaps, np.repeat(low, distinct)
+    values[of_counts], width[of_counts] = counts, np.frexp(counts.astype(np.float64))[1] - 1
+    steps[of_gaps], steps[of_counts] = (gaps >> width[of_gaps]) + 1, width[of_counts] + 1
+    unary, below = np.add.reduceat(steps, 2 * begin), np.add.reduceat(width, 2 * begin)
+    words = -(-(unary + below) // 16)
+    start = 16 * (np.cumsum(words) - words)
+    bits = np.zeros(16 * int(words.sum()), np.uint8)
+    bits[np.repeat(start, per) + _each(steps, per) + steps - 1] = 1
+    at = np.repeat(start + unary, per) + _each(width, per)
+    for k in range(int(width.max())):
+        use = np.flatnonzero(width > k)
+        bits[at[use] + k] = values[use] >> k & 1
+    data, ends = np.packbits(bits).tobytes(), (2 * np.cumsum(words)).tolist()
+    heads = zip(distinct.tolist(), low.tolist(), words.tolist(), strict=True)
+    return [_TABLE.pack(*h) + data[a:b] for h, a, b in zip(heads, [0, *ends], ends, strict=False)]
+
+
+def unpack_tables(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(distinct ids of each block, these ids, their counts, where each table ends)."""
+    distinct, low, words = np.array([_TABLE.unpack_from(c) for c in codes], np.int64).T
+    ends = (_TABLE.size + 2 * words).tolist()
+    bits = np.unpackbits(np.frombuffer(b"".join(c[_TABLE.size : e] for c, e in zip(codes, ends, strict=True)), np.uint8))
+    start, per, begin = 16 * (np.cumsum(words) - words), 2 * distinct, np.cumsum(distinct) - distinct
+    ones = np.flatnonzero(bits)
+    ones = ones[np.repeat(np.searchsorted(ones, start) - 2 * begin, per) + np.arange(2 * int(distinct.sum()))]
+    steps = np.diff(ones, prepend=-1)
+    steps[2 * begin] = ones[2 * begin] - start + 1
+    of_gaps, of_counts = _sides(distinct)
+    width = steps - 1
+    width[of_gaps] = np.repeat(low, distinct)
+    at = np.repeat(ones[np.cumsum(per) - 1] + 1, per) + _each(width, per)
+    values = np.ones(len(ones), np.int64)
+    values[of_gaps] = steps[of_gaps] - 1
+    values <<= width
+    for k in range(int(width.max())):
+        use = np.flatnonzero(width > k)
+        values[use] |= bits[at[use] + k].astype(np.int64) << k
+    gaps = values[of_gaps]
+    return distinct, _each(gaps + 1, distinct) + gaps, values[of_counts], ends
 
 
 # ---------------------------------------------------------------- model
 
+def _chances() -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of orders 1 and 2 for the candidate that leads, by 32 * n2 + 16 * (order 1 has another) + n1; n: how often in a row one followed.
 
-def _local(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each id the number of distinct ids of its block before its first place there, and whether it is new."""
-    n = len(ids)
-    where = np.arange(n) // block
-    # Sorted by block, id and place; places have 12 bits, as blocks hold at most 4096 ids.
-    key = np.sort((where << 44) | (ids.astype(np.int64) << 12) | (np.arange(n) % block))
-    order = (key >> 44) * block + (key & 4095)
-    head = np.concatenate(([True], np.diff(key >> 12) != 0))
-    first = np.empty(n, np.int64)
-    first[order] = order[head][np.cumsum(head) - 1]
-    new = first == np.arange(n)
-    count = np.cumsum(new)
-    before = np.concatenate(([0], count))[: n : block]
-    return count[first] - 1 - before[where], new
-
-
-class _Model:
-    """The blocks' models, and the walk over their ids with a coder. Tables are flat, a stretch for each lane."""
-
-    def __init__(self, lengths: np.ndarray):
-        lanes, block = len(lengths), int(lengths[0])
-        if block > 4096:
-            raise ValueError("a block of over 4096 ids")
-        self.lengths, self.block = lengths, block
-        self.hash_bits = max(4, (2 * block - 1).bit_length())
-        # By context: the id that followed last, and in the low four bits how often in a row.
-        self.last1, self.last2 = np.zeros(lanes * (block + 1), np.uint16), np.zeros(lanes << self.hash_bits, np.uint16)
-        self.ids = np.zeros((lanes, block), np.uint32)  # by local number
-        self.seen = np.zeros(lanes, np.int64)
-        self.count = np.zeros((lanes, block), np.uint16)
-        # Order 0 as of the last refresh: places of each id among all, the id of each place, ids known then.
-        self.first, self.size, self.known, self.total = np.zeros((lanes, block), np.uint16), np.zeros((lanes, block), np.uint16), np.zeros(lanes, np.int64), 0
-        self.place = np.zeros((lanes, block), np.uint16)
-        self.best, self.most = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint16)  # the most frequent id, and its count
-        runs = ((np.arange(16) + 0.5) / (np.arange(16) + 1.5)).astype(np.float32)
-        # Estimates by run: of the candidate of order 2, of that of order 1, and of that of order 1 where order 2 has failed.
-        self.rate2, self.rate1, self.other = np.tile(runs, lanes), np.tile(runs, lanes), np.tile(runs / 2, lanes)
-        self.weight = np.full((3, lanes), 1 / 3, np.float32)
-        self.bits = np.ones((lanes, 33), np.uint16)
-
-    def _refresh(self, decoding: bool, t: int, m: int) -> None:
-        self.total = t
-        self.known[:m] = self.seen[:m]
-        most = int(self.seen[:m].max())
-        ends = np.cumsum(self.count[:m, :most], axis=1, dtype=np.uint16)
-        self.size[:m, :most] = self.count[:m, :most]
-        self.first[:m, :most] = ends - self.count[:m, :most]
-        if decoding:
-            self.place[:m, :t] = np.repeat(np.tile(np.arange(most, dtype=np.uint16), m), self.count[:m, :most].reshape(-1)).reshape(m, t)
-
-    def walk(self, coder: Encoder | Decoder, numbers: np.ndarray | None = None, ids: np.ndarray | None = None) -> np.ndarray:
-        """Codes the local ``numbers`` (steps x lanes) with the new ``ids``; without them, reads and returns ids."""
-        lanes, block = len(self.lengths), self.block
-        encoding = numbers is not None
-        done = np.zeros((block, lanes), np.uint16)
-        active = np.searchsorted(-self.lengths, -np.arange(block), side="left")  # lanes longer than each step
-        prev1, prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        everyone, shift, keep = np.arange(lanes), 32 - self.hash_bits, (1 << self.hash_bits) - 1
-        base0, base1, base2, base_run = everyone * block, everyone * (block + 1), everyone << self.hash_bits, everyone << 4
-        count = self.count.reshape(-1)
-        refresh = 1
-        for t in range(block):
-            m = int(active[t])
-            if t == refresh:
-                self._refresh(not encoding, t, m)
-                refresh = t + min(t, REFRESH)
-            s1 = prev1[:m]
-            at1 = base1[:m] + s1
-            at2 = base2[:m] + ((((s1 * 0x9E3779B1) ^ (prev2[:m] * 0x85EBCA6B)) & 0xFFFFFFFF) * 0x2C1B3C6D >> shift & keep)
-            last1, last2 = self.last1.take(at1).astype(np.int64), self.last2.take(at2).astype(np.int64)
-            c1, n1, c2, n2 = last1 >> 4, last1 & 15, last2 >> 4, last2 & 15
-            true = numbers[t, :m] if encoding else None
-            value = np.full(m, -1, np.int64)
-            if t:
-                # Is it the candidate of the highest order that has one? That of order 0 is the most frequent id.
-                with1, with2 = n1 > 0, n2 > 0
-                lead = np.where(with2, c2, np.where(with1, c1, self.best[:m]))
-                agree = with1 & (c1 == lead)
-                r1, r2 = base_run[:m] + n1, base_run[:m] + n2
-                old1, old2 = self.rate1.take(r1), self.rate2.take(r2)
-                q0 = count.take(base0[:m] + lead).astype(np.float32) / (t + 1)
-                q1 = np.where(agree, old1, np.where(with1, np.float32(1 / 32), q0))
-                q2 = np.where(with2, old2, q1)
-                w0, w1, w2 = self.weight[:, :m]
-                p = np.clip(w0 * q0 + w1 * q1 + w2 * q2, 1 / 1024, 1023 / 1024)
-                hit = coder.flag_all(m, (p * 4096).astype(_U), true == lead if encoding else None)
-                miss = ~hit
-                w0, w1, w2 = w0 * np.abs(q0 - miss), w1 * np.abs(q1 - miss), w2 * np.abs(q2 - miss)
-                scale = 0.98 / (w0 + w1 + w2)
-                for k, w in enumerate((w0, w1, w2)):
-                    self.weight[k, :m] = w * scale + 0.02 / 3
-                self.rate2[r2] = old2 + (hit - old2) * with2 / 16
-                self.rate1[r1] = old1 + (hit - old1) * agree / 16
-                np.copyto(value, lead, where=hit)
-                # Else, is it another candidate of order 1?
-                ask = np.flatnonzero(miss & with2 & with1 & ~agree)
-                if len(ask):
-                    r1, lead = r1.take(ask), c1.take(ask)
-                    q = self.other.take(r1)
-                    hit = coder.flag(ask, (np.clip(q, 1 / 1024, 1023 / 1024) * 4096).astype(_U), true.take(ask) == lead if encoding else None)
-                    self.other[r1] = q + (hit - q) / 16
-                    value[ask] = np.where(hit, lead, -1)
-            rest = np.flatnonzero(value < 0)
-            if len(rest):
-                value[rest] = self._order0(coder, rest, true.take(rest) if encoding else None, ids[t] if encoding else None)
-            # What was shown.
-            at0 = base0[:m] + value
-            now = count.take(at0) + np.uint16(1)
-            count[at0] = now
-            more = now > self.most[:m]
-            np.copyto(self.best[:m], value, where=more)
-            np.copyto(self.most[:m], now, where=more)
-            self.last1[at1] = value << 4 | np.where((c1 == value) & (n1 > 0), np.minimum(n1 + 1, 15), 1)
-            self.last2[at2] = value << 4 | np.where((c2 == value) & (n2 > 0), np.minimum(n2 + 1, 15), 1)
-            done[t, :m] = value
-            prev2[:m] = s1
-            prev1[:m] = value + 1
-            coder.settle_all(m)
-        return done if encoding else self.ids[everyone[None, :], done]
-
-    def _order0(self, coder: Encoder | Decoder, rest: np.ndarray, true: np.ndarray | None, ids: np.ndarray | None) -> np.ndarray:
-        """By counts as of the last refresh; place 0 and on stand for ids that came later or are new."""
-        known, seen = self.known[rest], self.seen[rest]
-        escape, base = (known + 1).astype(_U), rest * self.block
-        total = escape + _U(self.total)
-
-        def span(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            old = v >= 0
-            at = np.maximum(v, 0)
-            return np.where(old, escape + self.first.take(base + at), _U(0)), np.where(old, self.size.take(base + at), escape)
-
-        if true is None:
-            place = lambda c: np.where(c < escape, -1, self.place.take(base + np.where(c < escape, _U(0), c - escape).astype(np.int64)).astype(np.int64))
-            value = coder.number(rest, total, place, span)
-        else:
-            value = coder.number(rest, total, np.where(true < known, true, -1), span)
-        at = np.flatnonzero(value < 0)
-        if not len(at):
-            return value
-        lanes, known, seen = rest[at], known[at], seen[at]
-        coder.settle(lanes)
-        # One of those since the refresh, or 0 for a new one.
-        late = (seen - known + 1).astype(_U)
-        which = lambda v: (v.astype(_U), _U(1))
-        number = coder.number(lanes, late, (lambda c: c.astype(np.int64)) if true is None else np.where(true[at] < seen, true[at] - known + 1, 0), which)
-        value[at] = np.where(number > 0, known + number - 1, seen)
-        new = lanes[number == 0]
-        if len(new):
-            self._new_ids(coder, new, None if true is None else ids[new])
-        return value
-
-    def _new_ids(self, coder: Encoder | Decoder, lanes: np.ndarray, ids: np.ndarray | None) -> None:
-        """An id as the number of bits of id + 1, by how often each was, and the bits below the highest."""
-        counts = self.bits[lanes]
-        ends = np.cumsum(counts, axis=1, dtype=np.uint16)
-        row = np.arange(len(lanes))
-        span = lambda v: ((ends[row, v] - counts[row, v]).astype(_U), counts[row, v].astype(_U))
-        total = ends[:, -1].astype(_U)
-        if ids is None:
-            width = coder.number(lanes, total, lambda c: (ends <= c.astype(np.uint16)[:, None]).sum(axis=1), span)
-        else:
-            x = ids.astype(np.int64) + 1
-            width = np.frexp(x.astype(np.float64))[1].astype(np.int64) - 1
-            width = coder.number(lanes, total, width, span)
-        self.bits[lanes, width] += 2
-        high, low = np.maximum(width - 15, 0), np.minimum(width, 15)
-        upper = np.zeros(len(lanes), np.int64)
-        which = lambda v: (v.astype(_U), _U(1))
-        if (wide := np.flatnonzero(high)).size:
-            upper[wide] = coder.number(lanes[wide], _U(1) << high[wide].astype(_U), (lambda c: c.astype(np.int64)) if ids is None else (x[wide] >> 15) - (1 << high[wide]), which)
-            coder.settle(lanes[wide])
-        lower = coder.number(lanes, _U(1) << low.astype(_U), (lambda c: c.astype(np.int64)) if ids is None else x & ((1 << low) - 1), which)
-        made = (1 << width) + (upper << 15) + lower - 1
-        self.ids[lanes, self.seen[lanes]] = made
-        self.seen[lanes] += 1
+    From 1/32 to 63/64, so that with all weights above 1/200 no chance gets to 0 or 1.
+    """
+    one = np.array([1 / 32, 1 / 16, 1 / 4, 5 / 8, 3 / 4, 13 / 16] + [7 / 8] * 10)
+    two = np.array([0, 1 / 8, 3 / 4, 15 / 16, 31 / 32, 31 / 32] + [63 / 64] * 10)
+    first = np.tile(np.concatenate([one, np.full(16, 1 / 32)]), 16)
+    second = np.where(np.arange(512) < 32, first, np.repeat(two, 32))
+    return first.astype(np.float32), second.astype(np.float32)
+
+
+_ONE, _TWO = _chances()
+
+
+def _walk(lengths: np.ndarray, table: _Counts, coder: Encoder | Decoder, numbers: np.ndarray | None = None) -> np.ndarray:
+    """Codes the ``numbers`` (steps x lanes) that ids have in their blocks; without them, reads and returns them."""
+    lanes, block = len(lengths), int(lengths[0])
+    hash_bits = max(4, (2 * block - 1).bit_length())
+    # By context: the number that followed last, and in the low four bits how often in a row.
+    last1, last2 = np.repeat(table.best << 4, block + 1), np.zeros(lanes << hash_bits, np.uint16)  # order 0 has the most frequent id
+    done = np.zeros((block, lanes), np.uint16) if numbers is None else numbers
+    active = np.searchsorted(-lengths, -np.arange(block), side="left").tolist()  # lanes longer than each step
+    everyone, shift, keep = np.arange(lanes), 32 - hash_bits, (1 << hash_bits) - 1
+    base0, base1, base2 = everyone * block, everyone * (block + 1), everyone << hash_bits
+    weight = np.full((3, lanes), 1 / 3, np.float32)
+    part = (1 / lengths).astype(np.float32)
+    prev, older = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    guess, four, one = np.empty((3, lanes), np.float32), np.uint16(4), np.uint16(1)
+    for t, m in enumerate(active):
+        if m < len(prev):
+            prev, older, weight, guess = prev[:m], older[:m], weight[:, :m], guess[:, :m]
+            base0, base1, base2, part = base0[:m], base1[:m], base2[:m], part[:m]
+        at1 = base1 + prev
+        at2 = base2 + ((prev * 0x9E3779B1 ^ older) >> shift & keep)
+        old1, old2 = last1.take(at1), last2.take(at2)
+        n1, n2, c1, c2 = old1 & np.uint16(15), old2 & np.uint16(15), old1 >> four, old2 >> four
+        # Is it the candidate of the highest order that has one?
+        lead = np.where(n2 > 0, c2, c1)
+        state = ((n2 << np.uint16(5)) + n1).astype(np.int64)
+        state += (c1 != lead) * np.int64(16)
+        np.multiply((table.spans.take(base0 + lead) & 0xFFFF).astype(np.float32), part, out=guess[0])
+        _ONE.take(state, out=guess[1], mode="clip")
+        _TWO.take(state, out=guess[2], mode="clip")
+        mixed = weight * guess
+        odds = ((mixed[0] + mixed[1] + mixed[2]) * np.float32(1 << _ODDS)).astype(np.int64)
+        hit, found = coder.step(m, odds, lead, None if numbers is None else numbers[t, :m], base0, table)
+        # What was shown.
+        weight *= np.abs(guess - (~hit).astype(np.float32))
+        weight *= np.float32(0.98) / (weight[0] + weight[1] + weight[2])
+        weight += np.float32(0.02 / 3)
+        shown = (found << four) + one
+        last1[at1] = shown + np.minimum(n1, 14) * (c1 == found)
+        last2[at2] = shown + np.minimum(n2, 14) * (c2 == found)
+        if numbers is None:
+            done[t, :m] = found
+        older = prev * 0x85EBCA6B
+        prev = found + np.int64(1)
+    return done
+
+
+def _numbers(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each id among the distinct ones of its block, a row for each block; of each block how many these are; they themselves, and their counts."""
+    n, bits = len(ids), max(1, (block - 1).bit_length())
+    narrow = int(ids.max()) >> (32 - bits) == 0
+    kind = np.uint32 if narrow else np.uint64
+    key = np.full(-(-n // block) * block, np.iinfo(kind).max, kind)
+    key[:n] = ids
+    key = key.reshape(-1, block)
+    if n % block:  # what fills up the last block comes after its ids
+        key[-1, n % block :] >>= kind(bits)
+    key = np.sort((key << kind(bits)) | np.arange(block, dtype=kind), axis=1)
+    place, sorted_ids = (key & kind((1 << bits) - 1)).astype(np.int64), key >> kind(bits)
+    head = np.ones(key.shape, bool)
+    np.not_equal(sorted_ids[:, 1:], sorted_ids[:, :-1], out=head[:, 1:])
+    made = np.empty(key.shape, np.uint16)
+    made.reshape(-1)[place + np.arange(0, key.size, block)[:, None]] = np.cumsum(head, axis=1, dtype=np.uint16) - np.uint16(1)
+    at = np.flatnonzero(head.reshape(-1)[:n])
+    return made, np.bincount(at // block), sorted_ids.reshape(-1)[at].astype(np.int64), np.diff(at, append=n)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, int, bytes]]:
     """(number of ids, their checksum, code) of each block of ``ids``."""
+    if block > 4096:
+        raise ValueError("a block of over 4096 ids")
     for a in range(0, len(ids), block * LANES):
         part = np.ascontiguousarray(ids[a : a + block * LANES], "<u4")
         lengths = np.full(-(-len(part) // block), block, np.int64)
         lengths[-1] = len(part) - block * (len(lengths) - 1)
-        numbers, _ = _local(part, block)
-        wide = np.zeros((2, len(lengths) * block), np.int64)
-        wide[0, : len(part)], wide[1, : len(part)] = numbers, part
+        own, distinct, known, counts = _numbers(part, block)
         # Steps by lanes; a short block is the last, as lanes come by descending length.
-        numbers, given = (np.ascontiguousarray(x.reshape(len(lengths), block).T[: lengths[0]]) for x in wide)
-        coder = Encoder(len(lengths), 5 * int(lengths[0]) + 8)
-        _Model(lengths).walk(coder, numbers, given)
-        for k, code in enumerate(coder.finish()):
-            yield int(lengths[k]), zlib.crc32(part[k * block : k * block + lengths[k]].tobytes()), code
+        numbers = np.ascontiguousarray(own.T[: lengths[0]])
+        coder = Encoder(len(lengths))
+        _walk(lengths, _Counts(lengths, distinct, counts), coder, numbers)
+        for k, (head, code) in enumerate(zip(pack_tables(distinct, known, counts), coder.finish(), strict=True)):
+            yield int(lengths[k]), zlib.crc32(part[k * block : k * block + lengths[k]].tobytes()), head + code
 
 
 def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
@@ -468,9 +437,12 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
     for a in range(0, len(blocks), LANES):
         order = sorted(range(a, min(a + LANES, len(blocks))), key=lambda k: -blocks[k][0])
         lengths = np.array([blocks[k][0] for k in order], np.int64)
-        ids = _Model(lengths).walk(Decoder([blocks[k][2] for k in order])).T
+        codes = [blocks[k][2] for k in order]
+        distinct, known, counts, ends = unpack_tables(codes)
+        numbers = _walk(lengths, _Counts(lengths, distinct, counts), Decoder([c[e:] for c, e in zip(codes, ends, strict=True)]))
+        ids = known.astype("<u4")[numbers.T + (np.cumsum(distinct) - distinct)[:, None]]
         for row, k in zip(ids, order, strict=True):
-            own = np.ascontiguousarray(row[: blocks[k][0]], "<u4")
+            own = row[: blocks[k][0]]
             if zlib.crc32(own.tobytes()) != blocks[k][1]:
                 raise ValueError("a block's ids do not match their checksum")
             out[k] = own
@@ -479,7 +451,7 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
 
 # ---------------------------------------------------------------- files
 
-MAGIC = b"IDBLOCK1"
+MAGIC = b"IDBLOCK2"
 _BLOCK, _DOC, _FOOT = struct.Struct("<IIII"), struct.Struct("<?qQ"), struct.Struct("<QQQQI8s")
 
 Range = Callable[[int, int], bytes]  # (offset, length) -> bytes
