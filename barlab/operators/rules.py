@@ -173,42 +173,72 @@ def _grouped(series: Callable[[list[str], pa.RecordBatch, np.ndarray], Iterator[
 
 
 #: Kinds of rows that are streamed together.
-_INFO, _DAY, _MINUTE = 0, 1, 2
+_NAME, _DAY, _MINUTE = 0, 1, 2
 #: (snapshots, day bars, their cuts, minute bars, their cuts, number of minute bars of the symbol up to the end of each day) -> bools of each symbol.
 _Series = Callable[[list[dict], pa.RecordBatch, np.ndarray, pa.RecordBatch, np.ndarray, np.ndarray], Iterator[Iterable[bool]]]
 
 
+def _snapshots(bars: DataFrame) -> Column:
+    """The snapshot that a symbol has if a bar is its last, without code and name; fields that ``bars`` say nothing of are left out."""
+    have = {"price": F.col("close"), **{c: F.col(c) for c in ("turnover", "float_stock", "total_stock") if c in bars.columns}}
+    have |= {v: F.col(c) * F.col("close") for v, c in (("float_value", "float_stock"), ("total_value", "total_stock")) if c in have}
+    types = dict(f.split(" ") for f in INFO.split(", "))
+    return F.struct(*[v.cast(types[c]).alias(c) for c, v in have.items()])
+
+
 def _cogrouped(series: _Series) -> Fed:
-    """The rule over snapshots, day and minute bars, which are one stream: of each symbol the snapshot, then its day bars, then its minute bars."""
+    """The rule over snapshots, day and minute bars, which are one stream: of each symbol its name, then its day bars, then its minute bars.
+
+    The snapshot is read from the last day bar of the stream. An aggregate for it would make the day bars again, from other columns, so that
+    no exchange below it serves both.
+    """
 
     def apply(bars: DataFrame, frame: Frame, out: str, feeds: Feeds) -> DataFrame:
         minutes = feeds.minutes_of(bars)
-        kinds = {"_info": T.StructType.fromDDL(INFO), "_bar": bars.schema, "_minute": minutes.schema}
-
-        def of_kind(rows: DataFrame, kind: int, ts: Column, value: Column) -> DataFrame:
-            made = [(value if k == kind else F.lit(None)).cast(t).alias(c) for k, (c, t) in enumerate(kinds.items())]
-            return rows.select(F.col(frame.symbol).alias("_symbol"), F.lit(kind).alias("_kind"), ts.cast("timestamp").alias("_ts"), F.unix_date(_day(ts)).cast("long").alias("_date"), *made)
-
-        infos = of_kind(info_of(bars, frame, feeds), _INFO, F.lit(None).cast("timestamp"), F.col("info"))
-        rows = infos.unionAll(of_kind(bars, _DAY, F.col(frame.ts), F.struct("*"))).unionAll(of_kind(minutes, _MINUTE, F.col(frame.ts), F.struct("*")))
-        names = [*bars.columns, out]
+        snapshots = bars.select(_snapshots(bars).alias("info")).schema["info"].dataType
+        whole, part = (T.StructType([T.StructField(f.name, f.dataType) for f in b.schema]) for b in (bars, minutes))
+        # Day and minute bars of the same columns share one.
+        of_minutes = "_bar" if whole == part else "_minute"
+        kinds = {"_name": T.StringType(), "_info": snapshots, "_bar": whole, of_minutes: part}
+
+        def of_kind(rows: DataFrame, kind: int, symbol: str, ts: Column, **values: Column) -> DataFrame:
+            made = [values.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+            return rows.select(F.col(symbol).alias("_symbol"), F.lit(kind).alias("_kind"), ts.cast("timestamp").alias("_ts"), F.unix_date(_day(ts)).cast("long").alias("_date"), *made)
+
+        rows = of_kind(bars, _DAY, frame.symbol, F.col(frame.ts), _info=_snapshots(bars), _bar=F.struct("*"))
+        rows = rows.unionAll(of_kind(minutes, _MINUTE, frame.symbol, F.col(frame.ts), **{of_minutes: F.struct("*")}))
+        if feeds.names is not None:
+            named = feeds.names.where("symbol is not null").groupBy("symbol").agg(F.min("name").alias("name"))
+            rows = rows.unionAll(of_kind(named, _NAME, "symbol", F.lit(None).cast("timestamp"), _name=F.col("name")))
+        names, fields = [*bars.columns, out], [f.split(" ")[0] for f in INFO.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, cuts in whole_symbols(batches, [0]):
                 kind = rows.column("_kind").to_numpy()
-                mine = [kind == k for k in (_INFO, _DAY, _MINUTE)]
+                mine = [kind == k for k in (_NAME, _DAY, _MINUTE)]
                 # Symbols of minute bars alone have no rows to give.
                 wanted = np.add.reduceat(mine[_DAY], cuts[:-1], dtype=np.int64) > 0
-                cut = lambda k: np.concatenate([[0], np.cumsum(mine[k])])[cuts]
-                made = [pa.RecordBatch.from_struct_array(rows.column(c).filter(pa.array(m))) for c, m in zip(kinds, mine, strict=True)]
+                if not wanted.any():
+                    continue
+                sums = lambda m: np.concatenate([[0], np.cumsum(m)])
+                cut = lambda k: sums(mine[k])[cuts]
+                of = lambda c, k: rows.column(c).filter(pa.array(mine[k]))
+                day, minute = (pa.RecordBatch.from_struct_array(of(c, k)) for c, k in (("_bar", _DAY), (of_minutes, _MINUTE)))
                 # Without a time: after all others.
                 date = rows.column("_date").fill_null(np.iinfo(np.int64).max).to_numpy()
                 days, ends, (begin, end) = date[mine[_DAY]], date[mine[_MINUTE]], (cut(_DAY), cut(_MINUTE))
                 seen = np.concatenate([np.searchsorted(ends[c:d], days[a:b], side="right") for a, b, c, d in zip(begin, begin[1:], end, end[1:])])
-                given = series(made[_INFO].to_pylist(), made[_DAY], begin, made[_MINUTE], end, seen)
+                # The last bar that has a time.
+                timed = np.diff(sums(of("_ts", _DAY).is_valid().to_numpy(zero_copy_only=False))[begin])
+                last = pa.array(begin[:-1] + timed - 1, mask=timed == 0).filter(pa.array(wanted))
+                infos = [dict.fromkeys(fields) | (found or {}) for found in of("_info", _DAY).take(last).to_pylist()]
+                codes = rows.column(0).take(pa.array(cuts[:-1][wanted])).cast(pa.string()).to_pylist()
+                first = rows.column("_name").take(pa.array(cuts[:-1][wanted])).to_pylist()
+                for info, code, name in zip(infos, codes, first, strict=True):
+                    info["code"], info["name"] = code, name
+                given = series(infos, day, begin, minute, end, seen)
                 parts = [_bools(g, n) for g, n in zip(given, np.diff(begin)[wanted], strict=True)]
-                if parts:
-                    yield _flagged(made[_DAY], names, parts)
+                yield _flagged(day, names, parts)
 
         schema = T.StructType([*bars.schema.fields, T.StructField(out, T.BooleanType())])
         return in_order(rows, ["_symbol"], ["_kind", F.asc_nulls_last("_ts")]).mapInArrow(run, schema)

@@ -1,5 +1,7 @@
 """Rules over symbols that are streamed in batches."""
 
+from datetime import datetime
+
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -84,6 +86,36 @@ def test_the_market_is_screened_without_a_group_for_each_symbol(spark, batch_row
     assert made == {s for s, own in days.items() if any(s == t and (len(own) < 2 or own[-2] < at) and at <= own[-1] for t, at in seen)}
 
 
+def test_the_snapshot_is_of_the_last_bar_with_a_time(spark, batch_rows):
+    @rules.pandas_rule("told", full=True)
+    def _told(info, day, minute):
+        return day["close"].map(lambda c: str(info) == expected[info["code"]])
+
+    schema = "symbol string, ts timestamp_ntz, open long, high long, low long, close long, volume long, turnover double, float_stock long"
+    row = lambda s, d, c, t, f: (s, d and datetime(2024, 1, d), 1, 1, 1, c, 1, t, f)
+    df = spark.createDataFrame([row("a", 1, 5, 0.5, 10), row("a", 3, 7, None, 20), row("a", 2, 6, 0.1, 30), row("a", None, 9, 0.9, 90), row("b", None, 4, 0.2, 2), row("c", 1, None, 0.3, 3)], schema)
+    names = spark.createDataFrame([("a", "beta"), ("a", "alpha"), ("x", "none"), (None, "null")], "symbol string, name string")
+    fields = lambda *v: str(dict(zip([f.split(" ")[0] for f in rules.INFO.split(", ")], v, strict=True)))
+    expected = {"a": fields("a", "alpha", 7, None, 20, None, 140, None), "b": fields("b", *[None] * 7), "c": fields("c", None, None, 0.3, 3, None, None, None)}
+    got = with_signal(df, "told", feeds=rules.Feeds(df.where("symbol = 'b'"), names))
+    assert sorted(r.symbol for r in got.where("flag").collect()) == ["a"] * 4 + ["b", "c"]
+    rules.remove("told")
+
+
+def test_day_bars_are_made_once_for_a_rule_on_two_intervals(spark):
+    """An aggregate of its own for the snapshot made them again."""
+    import barlab.plans.bars  # noqa: F401  (registers the rule)
+    from barlab.operators import bars as A
+    from barlab.plans.adapter import prints
+
+    minute = A.bars_from_ticks(prints(spark, "/root/testdata/sf0.001"), "minute", ("event_id",)).select("symbol", "ts", "open", "high", "low", "close", "volume")
+    day = A.resample(minute, "day").select(*minute.columns)
+    got = with_signal(day, "above_minutes", feeds=rules.Feeds(minute))
+    got.collect()
+    final = plan(got).split("== Initial Plan ==")[0]
+    assert len([line for line in final.split("\n") if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]) == 3
+
+
 def test_a_series_rule_gets_its_own_tables(spark, batch_rows):
     from test_rules import two_intervals
 
