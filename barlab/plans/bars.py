@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -414,11 +415,14 @@ def _above_morning(f):
     return (F.col("close") > F.col("minute.morning")) & (F.col("minute.prints") >= 2) & (F.col("close") < F.col("info.price"))
 
 
-@D.pandas_rule("above_minutes", full=True)
-def _above_minutes(info: dict, day: pd.DataFrame, minute: pd.DataFrame) -> pd.Series:
+@D.pandas_rule("above_minutes", full=True, arrays=True)
+def _above_minutes(info: dict, day: Prefix, minute: Prefix) -> np.ndarray:
     """The day's close is above the mean of the last five minute bars, and the last price above the first open."""
-    last = minute["close"].rolling(5).sum().reindex(day["minutes_seen"] - 1).to_numpy()
-    return (5 * day["close"] > last) & (info["price"] > day["open"].iloc[0])
+    seen, closes = day["minutes_seen"], minute["close"]
+    if len(closes) < 5:
+        return np.zeros(len(day), bool)
+    sums = np.convolve(closes, np.ones(5, closes.dtype))
+    return (seen >= 5) & (5 * day["close"] > sums[seen - 1]) & (info["price"] > day["open"][0])
 
 
 @D.prefix_rule("above_minutes_by_prefix", full=True, arrays=True)

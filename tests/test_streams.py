@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -86,6 +87,28 @@ def test_the_market_is_screened_without_a_group_for_each_symbol(spark, batch_row
     assert made == {s for s, own in days.items() if any(s == t and (len(own) < 2 or own[-2] < at) and at <= own[-1] for t, at in seen)}
 
 
+def test_a_series_rule_reads_arrays(spark, batch_rows):
+    from test_rules import two_intervals
+
+    @rules.pandas_rule("up_arrays", arrays=True)
+    def _up_arrays(prefix):
+        return np.concatenate([[False], np.diff(prefix["close"]) > 0])
+
+    @rules.pandas_rule("seen_arrays", full=True, arrays=True)
+    def _seen_arrays(info, day, minute):
+        ends = day["ts"].astype("datetime64[D]") + 1
+        return (day["minutes_seen"] == [(minute["ts"] < e).sum() for e in ends]) & (info["price"] == day["close"][-1]) & (info["code"] == day["symbol"])
+
+    df = bars(spark, {f"s{k}": flat([(7 * k + i * i) % 11 for i in range(3 * k)]) for k in range(1, 9)})
+    up = {s: [False, *[b > a for a, b in zip(c, c[1:], strict=False)]] for s, c in ((f"s{k}", [(7 * k + i * i) % 11 for i in range(3 * k)]) for k in range(1, 9))}
+    day, minute = two_intervals(spark)
+    # Minute bars of the same columns as the day bars, and of others.
+    made = [flags(with_signal(df, "up_arrays")), *[flags(with_signal(day, "seen_arrays", feeds=rules.Feeds(m))) for m in (minute, minute.withColumn("more", F.lit(1)))]]
+    for name in ("up_arrays", "seen_arrays"):
+        rules.remove(name)
+    assert made[0] == up and all(all(map(all, m.values())) and m.keys() == {r.symbol for r in day.collect()} for m in made[1:])
+
+
 def test_the_snapshot_is_of_the_last_bar_with_a_time(spark, batch_rows):
     @rules.pandas_rule("told", full=True)
     def _told(info, day, minute):
