@@ -351,7 +351,7 @@ _ONE, _TWO = _chances()
 def _walk(lengths: np.ndarray, table: _Counts, coder: Encoder | Decoder, numbers: np.ndarray | None = None) -> np.ndarray:
     """Codes the ``numbers`` (steps x lanes) that ids have in their blocks; without them, reads and returns them."""
     lanes, block = len(lengths), int(lengths[0])
-    hash_bits = max(4, (2 * block - 1).bit_length())
+    hash_bits = max(4, (block - 1).bit_length())
     # By context: the number that followed last, and in the low four bits how often in a row.
     last1, last2 = np.repeat(table.best << 4, block + 1), np.zeros(lanes << hash_bits, np.uint16)  # order 0 has the most frequent id
     done = np.zeros((block, lanes), np.uint16) if numbers is None else numbers
