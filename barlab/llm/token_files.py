@@ -52,11 +52,11 @@ from barlab.llm.common import durable, scratch, unused
 END_ID = 2
 #: Ids of a block, blocks that are coded side by side, and ids of a file (about).
 BLOCK, LANES, FILE_IDS = 1024, 4096, 1 << 22
-#: Words whose ids a task remembers, and bytes of text that are split together.
-MEMO, GROUP = 600_000, 4 << 20
+#: Bytes of text that are split together.
+GROUP = 16 << 20
 #: Words of letters that are one character each in lower case, with signs after them; a character that they do not have marks ends.
-_SIGNS = r"[!-&(-/:-@\[-`{-~]"
-_PLAIN, _ENDED, _TAIL, _MARK = f"\\A[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+{_SIGNS}*\\z", f"{_SIGNS}\\z", re.compile(_SIGNS + "+"), "\x01"
+_SIGNS, _SIGN = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"), r"!-&(-/:-@\[-`{-~"
+_PLAIN, _LETTERS, _MARK = f"\\A[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[{_SIGN}]*\\z", f"\\A[^{_SIGN}]+", "\x01"
 
 # ---------------------------------------------------------------- texts to ids
 
@@ -74,17 +74,26 @@ def _merger(path: str):
     if model["model"].get("end_of_word_suffix") != "</w>" or any(vocabulary[a + b] != 512 + k for k, (a, b) in enumerate(merges)):
         return None
     ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + _MARK.encode() * t.endswith("</w>"): k for t, k in vocabulary.items() if k not in special}
-    return tiktoken.Encoding("marked", pat_str=f"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks, special_tokens={})
+    # Without a special token the library stops at every character to look for one.
+    return tiktoken.Encoding("marked", pat_str=f"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks, special_tokens={"\x02": 1 + max(vocabulary.values())})
 
 
-def _strings(words: pa.Array) -> list[str]:
-    return words.to_numpy(zero_copy_only=False).tolist()
+def _arrays(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of ids, as bytes, so that Arrow can pick and join them."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(4 * np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(values.astype(np.uint32))])
+
+
+def _values(arrays: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the stretches, end to end, and where each begins and the last one ends."""
+    offsets = np.frombuffer(arrays.buffers()[1], np.int64)[: len(arrays) + 1] // 4
+    return np.frombuffer(arrays.buffers()[2] or b"", np.uint32)[: offsets[-1]], offsets
 
 
 class WordEncoder:
-    """Texts -> ids, for tokenizer files that drop white space: words cut at it encode alone, and each distinct one once.
+    """Texts -> ids, for tokenizer files that drop white space: words cut at it encode alone, and each distinct one of a group of texts once.
 
-    Words of Latin letters with signs after them, of which the pre-tokenizer makes a piece each, are encoded by a faster library with the same merges.
+    Words of Latin letters with signs after them, of which the pre-tokenizer makes a piece each, are encoded by a faster library with the same merges:
+    each distinct word in lower case once, and the signs apart.
     """
 
     def __init__(self, path: str):
@@ -96,64 +105,42 @@ class WordEncoder:
             raise ValueError("a tokenizer that keeps white space; its words do not encode alone")
         self.merger = _merger(path)
         self.ends = np.array([t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])
-        self._forget()
-
-    def _forget(self) -> None:
-        """Words by number, and the ids of each: a stretch of ``pool``."""
-        self.number: dict[str, int] = {}
-        self.pool, self.sizes, self.begins = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: pa.Array) -> np.ndarray:
-        """Adds ``words``, which are not known, and returns their numbers."""
-        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
-        if self.merger is None:
-            plain[:] = False
-        made = np.empty(len(words), np.int64)
-        if plain.any():
-            chosen = words.filter(pa.array(plain))
-            own = _strings(chosen)
-            ended = pc.match_substring_regex(chosen, _ENDED).to_numpy(zero_copy_only=False)
-            marked = _MARK.join(own).lower() + _MARK
-            if ended.any():
-                marked = _TAIL.sub(_MARK + r"\g<0>", marked)
-            ids = self.merger.encode_to_numpy(marked, disallowed_special=()).astype(np.uint32)
-            ends = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(1 + ended) - 1]
-            made[plain] = self._add(own, ids, np.diff(ends, prepend=0))
-        if not plain.all():
-            own = _strings(words.filter(pa.array(~plain)))
-            found = self._library(own)
-            made[~plain] = self._add(own, np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64))
-        return made
-
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        first = len(self.sizes)
-        self.number.update(zip(words, range(first, first + len(words)), strict=True))
-        self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.pool, self.sizes = np.concatenate([self.pool, ids]), np.concatenate([self.sizes, sizes])
-        return np.arange(first, len(self.sizes))
+    def _each(self, words: pa.Array) -> pa.Array:
+        """The ids of words, by the library."""
+        found = self._library(words.to_pylist())
+        return _arrays(np.array(list(chain.from_iterable(found)), np.uint32), np.cumsum(list(map(len, found)), dtype=np.int64))
+
+    def _merged(self, words: pa.Array) -> pa.Array:
+        """The ids of words in lower case, by the faster library."""
+        marked = pc.binary_join_element_wise(words, pa.scalar(_MARK, words.type), pa.scalar("", words.type))
+        ids = self.merger.encode_to_numpy(str(marked.buffers()[2], "utf-8"), disallowed_special=())
+        return _arrays(ids, np.flatnonzero(self.ends[ids]) + 1)
+
+    def _plain(self, words: pa.Array) -> pa.Array:
+        """The ids of words of letters with signs after them."""
+        words = pc.utf8_lower(words)
+        letters = pc.ascii_rtrim(words, characters=_SIGNS)
+        coded = letters.dictionary_encode()
+        own = self._merged(coded.dictionary).take(coded.indices)
+        if pc.sum(pc.binary_length(words)) == pc.sum(pc.binary_length(letters)):
+            return own
+        signs = pc.replace_substring_regex(words, _LETTERS, "").dictionary_encode()
+        return pc.binary_join_element_wise(own, self._each(signs.dictionary).take(signs.indices), pa.scalar(b"", own.type))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (without nulls), end to end, and how many each has."""
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        if not len(coded):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        words = _strings(coded.dictionary)
-        if len(self.sizes) + len(words) > MEMO or len(self.pool) > 4 * MEMO:
-            self._forget()
-        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        new = numbers < 0
-        if new.any():
-            numbers[new] = self._learn(coded.dictionary.filter(pa.array(new)))
-        which = numbers[coded.indices.to_numpy()]
-        counts = self.sizes[which]
-        ends = np.cumsum(counts)
-        at = np.arange(ends[-1]) + np.repeat(self.begins[which] - (ends - counts), counts)
-        bounds = np.concatenate(([0], ends))[split.offsets.to_numpy()]
-        return self.pool[at], np.diff(bounds)
+        words = coded.dictionary
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False).astype(bool) & (self.merger is not None)
+        known = pa.concat_arrays([self._plain(words.filter(pa.array(plain))), self._each(words.filter(pa.array(~plain)))]) if plain.any() else self._each(words)
+        place = np.where(plain, np.cumsum(plain), plain.sum() + np.cumsum(~plain)) - 1
+        ids, bounds = _values(known.take(pa.array(place[coded.indices.to_numpy()])))
+        return ids, np.diff(bounds[split.offsets.to_numpy()])
 
 
 @lru_cache(maxsize=2)
@@ -267,68 +254,83 @@ class _Counts:
         self.best = (self.spans.reshape(lanes, block) & 0xFFFF).argmax(axis=1).astype(np.uint16)
 
 
-_TABLE = struct.Struct("<HHH")  # distinct ids, low bits of gaps, length of what follows in 16 bits
+_TABLE = struct.Struct("<HBHH")  # distinct ids, low bits of gaps, bytes of their high parts, bytes of counts in unary (none: two bytes a count)
 
 
-def _each(sizes: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """Sums of ``sizes`` before each, within stretches of ``per`` of them."""
-    before = np.cumsum(sizes) - sizes
-    return before - np.repeat(before[np.cumsum(per) - per], per)
+def _before(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
-def _sides(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of gaps and of counts, where each block's gaps are followed by its counts."""
-    own = np.arange(int(distinct.sum())) + np.repeat(np.cumsum(distinct) - distinct, distinct)
-    return own, own + np.repeat(distinct, distinct)
+def _unary(values: np.ndarray, per: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers from 1, each as a bit after as many others as it is above 1: bytes of stretches of ``per`` numbers, and how many each has."""
+    ends = np.cumsum(values)
+    bits = np.diff(ends[np.cumsum(per) - 1], prepend=0)
+    size = -(-bits // 8)
+    out = np.zeros(8 * int(size.sum()), np.uint8)
+    out[ends + np.repeat(8 * _before(size) - _before(bits) - 1, per)] = 1
+    return np.packbits(out).tobytes(), size
+
+
+def _from_unary(data: bytes, per: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+    values, begin = np.diff(ones, prepend=-1), _before(per)
+    values[begin] = ones[begin] - 8 * _before(size) + 1
+    return values
 
 
 def pack_tables(distinct: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """The tables of blocks, in bits: of gaps the high part and of counts their number of bits in unary, then what is below."""
-    begin, per = np.cumsum(distinct) - distinct, 2 * distinct
+    """The tables of blocks: high parts of gaps in unary, their low bits, and counts, in unary where these are small."""
+    begin = _before(distinct)
     gaps = np.diff(ids, prepend=-1) - 1
     gaps[begin] = ids[begin]
     low = np.maximum(np.frexp(0.7 * np.add.reduceat(gaps, begin) / distinct + 0.01)[1] - 1, 0).astype(np.int64)
-    of_gaps, of_counts = _sides(distinct)
-    values, width, steps = (np.empty(2 * len(ids), np.int64) for _ in range(3))
-    values[of_gaps], width[of_gaps] = gaps, np.repeat(low, distinct)
-    values[of_counts], width[of_counts] = counts, np.frexp(counts.astype(np.float64))[1] - 1
-    steps[of_gaps], steps[of_counts] = (gaps >> width[of_gaps]) + 1, width[of_counts] + 1
-    unary, below = np.add.reduceat(steps, 2 * begin), np.add.reduceat(width, 2 * begin)
-    words = -(-(unary + below) // 16)
-    start = 16 * (np.cumsum(words) - words)
-    bits = np.zeros(16 * int(words.sum()), np.uint8)
-    bits[np.repeat(start, per) + _each(steps, per) + steps - 1] = 1
-    at = np.repeat(start + unary, per) + _each(width, per)
-    for k in range(int(width.max())):
-        use = np.flatnonzero(width > k)
-        bits[at[use] + k] = values[use] >> k & 1
-    data, ends = np.packbits(bits).tobytes(), (2 * np.cumsum(words)).tolist()
-    heads = zip(distinct.tolist(), low.tolist(), words.tolist(), strict=True)
-    return [_TABLE.pack(*h) + data[a:b] for h, a, b in zip(heads, [0, *ends], ends, strict=False)]
+    high, high_size = _unary((gaps >> np.repeat(low, distinct)) + 1, distinct)
+    small = np.add.reduceat(counts, begin) < 16 * distinct
+    unary, unary_size = np.zeros(0, np.uint8), np.zeros(len(distinct), np.int64)
+    if small.any():
+        unary, unary_size[small] = _unary(counts[np.repeat(small, distinct)], distinct[small])
+    below: list[bytes] = [b""] * len(distinct)
+    for width in np.unique(low[low > 0]).tolist():
+        kind = np.dtype("<u2" if width <= 16 else "<u4")
+        blocks = np.flatnonzero(low == width)
+        own = gaps[np.repeat(low == width, distinct)].astype(kind)
+        bits = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(-1, 8 * kind.itemsize)[:, :width].reshape(-1)
+        ends = (width * np.cumsum(distinct[blocks])).tolist()
+        for k, a, b in zip(blocks.tolist(), [0, *ends], ends, strict=False):
+            below[k] = np.packbits(bits[a:b]).tobytes()
+    plain = counts.astype("<u2").tobytes()
+    out, at, to = [], 0, 0
+    for k, (n, w, h, u, first) in enumerate(zip(distinct.tolist(), low.tolist(), high_size.tolist(), unary_size.tolist(), begin.tolist(), strict=True)):
+        out.append(_TABLE.pack(n, w, h, u) + high[at : at + h] + below[k] + (unary[to : to + u] if u else plain[2 * first : 2 * (first + n)]))
+        at, to = at + h, to + u
+    return out
 
 
 def unpack_tables(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(distinct ids of each block, these ids, their counts, where each table ends)."""
-    distinct, low, words = np.array([_TABLE.unpack_from(c) for c in codes], np.int64).T
-    ends = (_TABLE.size + 2 * words).tolist()
-    bits = np.unpackbits(np.frombuffer(b"".join(c[_TABLE.size : e] for c, e in zip(codes, ends, strict=True)), np.uint8))
-    start, per, begin = 16 * (np.cumsum(words) - words), 2 * distinct, np.cumsum(distinct) - distinct
-    ones = np.flatnonzero(bits)
-    ones = ones[np.repeat(np.searchsorted(ones, start) - 2 * begin, per) + np.arange(2 * int(distinct.sum()))]
-    steps = np.diff(ones, prepend=-1)
-    steps[2 * begin] = ones[2 * begin] - start + 1
-    of_gaps, of_counts = _sides(distinct)
-    width = steps - 1
-    width[of_gaps] = np.repeat(low, distinct)
-    at = np.repeat(ones[np.cumsum(per) - 1] + 1, per) + _each(width, per)
-    values = np.ones(len(ones), np.int64)
-    values[of_gaps] = steps[of_gaps] - 1
-    values <<= width
-    for k in range(int(width.max())):
-        use = np.flatnonzero(width > k)
-        values[use] |= bits[at[use] + k].astype(np.int64) << k
-    gaps = values[of_gaps]
-    return distinct, _each(gaps + 1, distinct) + gaps, values[of_counts], ends
+    distinct, low, high_size, unary_size = np.array([_TABLE.unpack_from(c) for c in codes], np.int64).T
+    at_low = _TABLE.size + high_size
+    at_counts = at_low - (-low * distinct // 8)
+    small = unary_size > 0
+    ends = at_counts + np.where(small, unary_size, 2 * distinct)
+    parts = lambda which, first, last: [codes[k][a:b] for k, a, b in zip(np.flatnonzero(which).tolist(), first[which].tolist(), last[which].tolist(), strict=True)]
+    everyone = np.ones(len(codes), bool)
+    gaps = (_from_unary(b"".join(parts(everyone, np.full(len(codes), _TABLE.size), at_low)), distinct, high_size) - 1) << np.repeat(low, distinct)
+    for width in np.unique(low[low > 0]).tolist():
+        kind = np.dtype("<u2" if width <= 16 else "<u4")
+        which = low == width
+        own = parts(which, at_low, at_counts)
+        bits = [np.unpackbits(np.frombuffer(c, np.uint8), count=width * n) for c, n in zip(own, distinct[which].tolist(), strict=True)]
+        wide = np.zeros((int(distinct[which].sum()), 8 * kind.itemsize), np.uint8)
+        wide[:, :width] = np.concatenate(bits).reshape(-1, width)
+        gaps[np.repeat(which, distinct)] |= np.packbits(wide.reshape(-1), bitorder="little").view(kind)
+    counts = np.zeros(len(gaps), np.int64)
+    if small.any():
+        counts[np.repeat(small, distinct)] = _from_unary(b"".join(parts(small, at_counts, ends)), distinct[small], unary_size[small])
+    if not small.all():
+        counts[np.repeat(~small, distinct)] = np.frombuffer(b"".join(parts(~small, at_counts, ends)), "<u2")
+    before = np.cumsum(gaps + 1)
+    return distinct, before - 1 - np.repeat(before[_before(distinct)] - 1 - gaps[_before(distinct)], distinct), counts, ends.tolist()
 
 
 # ---------------------------------------------------------------- model
@@ -451,7 +453,7 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
 
 # ---------------------------------------------------------------- files
 
-MAGIC = b"IDBLOCK2"
+MAGIC = b"IDBLOCK3"
 _BLOCK, _DOC, _FOOT = struct.Struct("<IIII"), struct.Struct("<?qQ"), struct.Struct("<QQQQI8s")
 
 Range = Callable[[int, int], bytes]  # (offset, length) -> bytes

@@ -45,6 +45,24 @@ def test_documents_encode_like_the_library(spark):
     assert ours(texts) == [library(t) for t in texts]
 
 
+def test_letters_and_signs():
+    letters = [chr(c) for c in range(32, 0x590)]
+    texts = [f"{c} {c}a{c}, {c}{c}B{c}!) ({c}" for c in letters]
+    assert ours(texts) == [library(t) for t in texts]
+
+
+def test_words_in_any_case_and_with_any_signs_are_merged_once(monkeypatch):
+    encoder, given = T.WordEncoder(PATH), []
+    merge = encoder.merger.encode_to_numpy
+    monkeypatch.setattr(encoder.merger, "encode_to_numpy", lambda text, **options: given.append(text) or merge(text, **options))
+    texts = ["Blorny blorny, BLORNY. (x) blorny!) krast", "krast; Krast\" é É, blorny"]
+    ids, counts = encoder(pa.array(texts))
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [library(t) for t in texts]
+    assert sorted("".join(given).split(T._MARK)) == ["", "blorny", "krast", "é"]
+    # The library looks for a special token from one to the next, and stops at every character where there is none.
+    assert encoder.merger.special_tokens_set
+
+
 def streams():
     r = np.random.default_rng(5)
     yield np.zeros(0, np.uint32)
